@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analytics are batch jobs over daily snapshots; no operator here needs stream state.  The
+row-level decision operators (``operators.decisions``: triage, tiers, momentum, forecast curve) are
+stateless column expressions, so they also run unchanged on a DataFrame from ``spark.readStream``
+(see ``tests/test_decisions.py``).
+"""
