@@ -131,11 +131,10 @@ def features(v: DataFrame, variant: str = "v3", null_target: str | None = None,
     }
     names = feature_names(variant, max_feature_day)
     ranks = rank_features(v, variant)
-    rank_names = [c for c in ranks.columns if c != "video_id"]
     keys = ["video_id", "author_id", "topic", "create_date", TARGET]
     rows = beside.select(*keys, log_target().alias("y"), *[wide[c].alias(c) for c in names if c in wide])
     joined = rows.join(ranks, "video_id", "left")
-    return joined.select(*keys, "y", *[zero(c).alias(c) if c in rank_names else zero(c).alias(c) for c in names])
+    return joined.select(*keys, "y", *[zero(c).alias(c) for c in names])
 
 
 NOTEBOOK_NUMBERS = ("duration", "speaking_rate", "joy", "sadness", "anger")

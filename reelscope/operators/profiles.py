@@ -54,7 +54,3 @@ def library_search(
     first = hits.orderBy("video_id").limit(n)
     return first.select(*[F.col(c).alias(name if labels else c) for c, name in LIBRARY_LABELS.items()])
 
-
-def conversion_takeaways(ranking: DataFrame, value: str, n: int = 3) -> DataFrame:
-    """Top ``n`` rows of a ranking."""
-    return ranking.orderBy(F.desc(value)).limit(n)
