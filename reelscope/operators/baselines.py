@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelscope.functions.columns import attach_scalars, num, zero
 from reelscope.functions.fixed_values import TARGET
 from reelscope.operators.distribution import medians
-from reelscope.operators.metrics import error_metrics
+from reelscope.operators.metrics import error_metrics, long_predictions
 
 DAYS_LEFT = 27.0
 
@@ -66,13 +66,21 @@ INCREMENT_BASELINES = {
 }
 
 
+def baseline_predictions(v: DataFrame, null_target: str = "zero") -> DataFrame:
+    """``video_id, model, y, yhat`` of all baselines from one scan."""
+    y, plays = _target(null_target), zero("plays_day3")
+    center = medians(v, {"ratio": y / (plays + F.lit(1.0))})
+    mean = v.agg(F.avg(y).alias("mean"))
+    beside = attach_scalars(attach_scalars(v, center, "_r"), mean, "_g")
+    wide = beside.select(
+        "video_id", y.alias("y"), F.lit(0.0).alias("p0"), F.col("_g.mean").alias("p1"),
+        (plays * F.col("_r.ratio")).alias("p2"),
+        F.greatest(zero("velocity_1_3") * F.lit(DAYS_LEFT), F.lit(0.0)).alias("p3"),
+    )
+    names = {name: f"p{i}" for i, name in enumerate(INCREMENT_BASELINES)}
+    return long_predictions(wide, "y", names, ("video_id",))
+
+
 def run_baselines(v: DataFrame, null_target: str = "zero") -> DataFrame:
     """Metrics of every baseline on the increment target."""
-    parts = [
-        make(v, null_target).select(F.lit(name).alias("model"), "y", "yhat")
-        for name, make in INCREMENT_BASELINES.items()
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return error_metrics(rows)
+    return error_metrics(baseline_predictions(v, null_target))

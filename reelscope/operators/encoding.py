@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.functions.columns import attach_scalars, num
@@ -43,10 +43,11 @@ def te_lookup(df: DataFrame, fitted: DataFrame, overall: DataFrame, column: str,
 
 def target_encode_oof(
     train: DataFrame, column: str, target: str = TARGET, smoothing: float = ENCODING_SMOOTHING, folds: int = 5,
-    row_id: str = "video_id",
+    row_id: str = "video_id", fold: Column | None = None,
 ) -> DataFrame:
-    """Add ``{column}_te`` to training rows from the other folds only (folds by a hash of the id)."""
-    placed = train.withColumn("_fold", F.pmod(F.xxhash64(row_id), F.lit(folds)).cast("int"))
+    """Add ``{column}_te`` to training rows from the other folds only (by default folds by a hash of the id)."""
+    fold = fold if fold is not None else F.pmod(F.xxhash64(row_id), F.lit(folds))
+    placed = train.withColumn("_fold", fold.cast("int"))
     cells = _totals(placed, [column, "_fold"], target)
     whole = cells.groupBy(column).agg(F.sum("k").alias("all_k"), F.sum("s").alias("all_s"))
     overall = cells.agg((F.sum("s") / F.sum("k")).alias("global_mean"))

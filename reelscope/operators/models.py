@@ -22,8 +22,10 @@ from reelscope.operators import encoding, splits
 from reelscope.operators.distribution import profile
 from reelscope.operators.features import features
 from reelscope.operators.metrics import bounded_log, log_scale_metrics
+from reelscope.sources.tables import materialize
 
 SEED = 42
+BROADCAST_NODES = 500_000
 ENCODED = ("author_id_te", "topic_te")
 NOT_INPUTS = ("video_id", "author_id", "topic", "create_date", "incr_plays_3_30", "y", "is_train", "is_head")
 
@@ -109,9 +111,13 @@ def model_registry(selection="best") -> list[str]:
 
 
 def training_frame(v: DataFrame, q: float = 0.8, **options) -> DataFrame:
-    """Features, ``is_train`` and the encodings fitted on the training part."""
-    rows = splits.time_split(features(v, **options), q)
-    return encoding.with_encodings(rows, rows.where("is_train"))
+    """Features, ``is_train`` and the encodings fitted on the training part, as a written table.
+
+    Features come from ranks and medians of the whole table and every later step reads them several
+    times, so they are written before and after the encodings.
+    """
+    rows = splits.time_split(materialize(features(v, **options), "features"), q)
+    return materialize(encoding.with_encodings(rows, rows.where("is_train")), "training")
 
 
 def _pipeline(spec: ModelSpec, inputs: list[str], params: dict) -> Pipeline:
@@ -161,11 +167,14 @@ class QuantileForest:
     def predict(self, df: DataFrame, row_id: str = "video_id", keep=("y",)) -> DataFrame:
         """``row_id, keep…`` and one log prediction per quantile: the mean of the row's leaf quantiles.
 
-        The leaf table is bounded by trees x leaves of the model, whatever the data size; the rows of
-        a video stay together, so the mean combines before its shuffle.
+        The leaf table has at most one row per node of the model, whatever the data size; it is broadcast
+        only when that count is small.  The rows of a video stay together, so the mean combines before
+        its shuffle.
         """
         spread = _leaf_rows(self.model.transform(df), [row_id, *keep])
-        picked = spread.join(F.broadcast(self.leaves), ["tree", "leaf"], "left")
+        small = self.model.stages[-1].totalNumNodes <= BROADCAST_NODES
+        table = F.broadcast(self.leaves) if small else self.leaves
+        picked = spread.join(table, ["tree", "leaf"], "left")
         means = [F.avg(name).alias(name) for name in self.probs]
         grouped = picked.groupBy(row_id, *keep).agg(*means)
         ordered = F.array_sort(F.array(*self.probs))
@@ -185,12 +194,9 @@ def fit_quantile_forest(
     probs = probs or {"p10": 0.1, "p50": 0.5, "p90": 0.9}
     params = {"leaves": True, **(params or {})}
     model = fit("random_forest", train, params, inputs)
-    members = _leaf_rows(model.transform(train), ["y"]).withColumn(
-        "_cell", F.concat_ws("/", F.col("tree"), F.col("leaf").cast("int"))
-    )
-    table = profile(members, ["_cell"], {"y": "y"}, {n: ("quantile", "y", p) for n, p in probs.items()})
-    cell = F.split("_cell", "/")
-    leaves = table.select(cell[0].cast("int").alias("tree"), cell[1].cast("double").alias("leaf"), *probs)
+    members = _leaf_rows(model.transform(train), ["y"])
+    leaves = profile(members, ["tree", "leaf"], {"y": "y"}, {n: ("quantile", "y", p) for n, p in probs.items()})
+    leaves = materialize(leaves, "leaves")
     return QuantileForest(model, leaves, probs)
 
 
@@ -203,11 +209,7 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, params: dict | Non
 
 
 def run_models(frame: DataFrame, selection="best", params: dict | None = None) -> DataFrame:
-    """Hold-out metrics of every selected model; ``frame`` comes from :func:`training_frame`.
-
-    The frame is persisted once: each model reads it many times.
-    """
-    frame = frame.persist()
+    """Hold-out metrics of every selected model; ``frame`` comes from :func:`training_frame`."""
     train, test = frame.where("is_train"), frame.where(~F.col("is_train"))
     parts = [
         fit_predict(name, train, test, params).select(F.lit(name).alias("model"), "y", "yhat")
@@ -248,14 +250,13 @@ def hyper_search(
     The later part of the training rows (in time order) is the validation set.
     """
     spark = train.sparkSession
-    marked = splits.positional_split(train, head).persist()
+    marked = materialize(splits.positional_split(train, head), "search")
     early, late = marked.where("is_head"), marked.where(~F.col("is_head"))
     found = []
     for i, params in enumerate(draw_trials(space or GBT_SPACE, trials, seed)):
         scored = fit_predict(name, early, late, params).withColumn("model", F.lit(name))
         smape = log_scale_metrics(scored).select("smape").first()
         found.append((i, float(smape[0]) if smape else None, {k: float(x) for k, x in params.items()}))
-    marked.unpersist()
     rows = F.array(*[
         F.struct(
             F.lit(i).alias("trial"), F.lit(s).cast("double").alias("smape"),
@@ -271,17 +272,16 @@ def expanding_cv(
     min_train: int = 100, min_test: int = 50, **options,
 ) -> DataFrame:
     """Metrics per expanding fold; the encodings are fitted again on each fold's training rows."""
-    rows = features(v, **options).persist()
+    rows = materialize(features(v, **options), "features")
     folds = splits.expanding_folds(rows, k, embargo_days, min_train, min_test).orderBy("fold").collect()  # at most k
     if not folds:
         raise ValueError("no fold has enough training and test rows")
     parts = []
     for f in folds:
-        train = rows.where(F.col("create_date") <= F.lit(f.train_end))
-        test = rows.where(F.col("create_date").between(F.lit(f.test_start), F.lit(f.test_end)))
-        scored = fit_predict(
-            name, encoding.with_encodings(train, train), encoding.with_encodings(test, train), params
-        )
+        early = F.col("create_date") <= F.lit(f.train_end)
+        late = F.col("create_date").between(F.lit(f.test_start), F.lit(f.test_end))
+        fold = materialize(encoding.with_encodings(rows.where(early | late), rows.where(early)), "fold")
+        scored = fit_predict(name, fold.where(early), fold.where(late), params)
         parts.append(scored.select(
             F.lit(f.fold + 1).alias("fold"), F.lit(f.train_rows).alias("train_rows"),
             F.lit(f.test_rows).alias("test_rows"), "y", "yhat",

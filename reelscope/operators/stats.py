@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from reelscope.functions.columns import num
 from reelscope.functions.fixed_values import EMOTIONS, TARGET
@@ -56,7 +57,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
     return front * (total - 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation from its t statistic; the input is one row per feature."""
     def one(r, k):

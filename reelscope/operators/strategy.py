@@ -9,6 +9,7 @@ from reelscope.functions import fixed_values as fixed
 from reelscope.functions.columns import archetype, bucket_label, clean_label, half_even, label_table, music_category
 from reelscope.operators.distribution import ROWS, profile
 from reelscope.operators.trajectory import trajectory_matrix
+from reelscope.sources.tables import materialize
 
 
 def creator_span(creator: DataFrame) -> DataFrame:
@@ -220,10 +221,10 @@ def conversion_extremes(topic_report: DataFrame) -> DataFrame:
 
 
 def strategy_bundle(creator: DataFrame, v: DataFrame, videos: DataFrame, engagement: DataFrame) -> dict[str, DataFrame]:
-    """All reports as DataFrames.  The author table is shared by three of them; persist it if it is large."""
-    authors = join_author_span_videos(creator, v)
-    joined = join_raw_processed(videos, v)
-    assigned = archetype_assign(engagement)
+    """All reports as DataFrames; the three tables they share are written once."""
+    authors = materialize(join_author_span_videos(creator, v), "authors")
+    joined = materialize(join_raw_processed(videos, v), "payoff")
+    assigned = materialize(archetype_assign(engagement), "archetypes")
     return {
         "topic_conversion": follower_conversion_topic(authors),
         "duration_conversion": follower_conversion_duration(authors),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +11,6 @@ from reelscope.operators import cleaning, summary, topic_series
 from reelscope.sources import fixtures, tables
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that every executor can reach: the one the session names in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    named = tempfile.mkdtemp(prefix="reelscope-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def run_etl(spark: SparkSession, raw: str, processed: str) -> None:
     """Raw parquet tables → ``processed_video_30d`` and ``processed_topic_daily``.
 
@@ -47,9 +31,10 @@ class Workspace:
     def __init__(self, spark: SparkSession, source: str):
         self.spark = spark
         self.source = source
-        self.folder = os.path.join(shared_folder(spark), f"reelscope-{uuid.uuid4().hex}")
+        self.folder = os.path.join(tables.shared_folder(spark), f"reelscope-{uuid.uuid4().hex}")
         self._raw_ready = False
         self._processed_ready = False
+        self._kept: dict = {}
 
     def _raw(self) -> None:
         if not self._raw_ready:
@@ -75,6 +60,16 @@ class Workspace:
         self._processed()
         return tables.scan_processed(self.spark, self.folder)
 
+    def cached(self, name: str, build, frame: bool = True):
+        """Build once per session: a DataFrame becomes a written table, anything else is kept as is."""
+        if name not in self._kept:
+            made = build()
+            if frame:
+                tables.write_table(made, self.folder, name)
+                made = tables.read_table(self.spark, self.folder, name)
+            self._kept[name] = made
+        return self._kept[name]
+
     @property
     def videos(self) -> DataFrame:
         return self.raw()[0]

@@ -14,7 +14,7 @@ BUNDLE_MODELS = ("point_model", "forest_model")
 
 def train_bundle(v: DataFrame, params: dict | None = None, forest: dict | None = None) -> dict:
     """Point model, quantile forest, training medians, topic encodings and topic profiles."""
-    frame = models.training_frame(v).persist()
+    frame = models.training_frame(v)
     train = frame.where("is_train")
     inputs = models.input_columns(frame)
     point = models.fit("gbt_mape", train, params, inputs)

@@ -110,10 +110,8 @@ def videos(spark: SparkSession, folder: str) -> DataFrame:
     def unless(every: int, value):
         return F.when(vid % every != 0, value)
 
-    music = F.element_at(
-        F.array(*[F.lit(x) for x in ("original_sound", "single_song", "recommend_list", "search_result", "effect")]),
-        F.when(vid % 6 < 5, (vid % 6 + 1).cast("int")),
-    )
+    sounds = ("original_sound", "single_song", "recommend_list", "search_result", "effect")
+    music = F.coalesce(*[F.when(vid % 6 == i, F.lit(x)) for i, x in enumerate(sounds)])
     return part.join(first, "video_id").select(
         "video_id",
         author_of().alias("author_id"),

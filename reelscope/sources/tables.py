@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,33 @@ def write_table(df: DataFrame, folder: str, name: str, cluster_by: str | None =
     df.write.mode("overwrite").parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that every executor can reach: the one the session names in ``spark.checkpoint.dir``.
+
+    Only a local master may fall back to a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    named = tempfile.mkdtemp(prefix="reelscope-")
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and scan it from there.
+
+    Cuts the lineage before a result is read many times: later plans stay small, and a lost executor
+    costs a re-read of files.
+    """
+    spark = df.sparkSession
+    target = os.path.join(shared_folder(spark), "reelscope-tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(target)
+    return spark.read.parquet(target)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``table_name, row_count`` of several tables in one job."""
     parts = [
