@@ -2,7 +2,7 @@
 
 Medians, quantiles, average ranks and row numbers all need sorted data.  A plain window (or the
 built-in exact ``percentile``) brings a whole group to one task, which fails when one group holds a
-third of the table.  Here each value is first put in a *value bucket*: a fixed, order-preserving
+third of the table.  Where a group can be large, each value is first put in a *value bucket*, a fixed, order-preserving
 function of the number itself (1024 buckets per power of two).  Then
 
 * rows collapse to distinct values with counts (map-side combined, so ties cost one row),
@@ -23,6 +23,8 @@ from reelscope.functions.columns import col, num
 BUCKETS_PER_OCTAVE = 1024.0
 SMALLEST_STEP = float(1 << 20)
 HOT_KEYS = 1000
+SMALL_GROUP = 1_000_000
+HEAVY_GROUPS = 20_000
 
 ROWS = "__rows"
 
@@ -35,19 +37,17 @@ def value_bucket(value: Column) -> Column:
 
 
 def _long_values(df: DataFrame, keep: list, metrics: dict[str, Column | str]) -> DataFrame:
+    """One narrow row per value; ``metric`` is the position of the metric in the dict."""
     cells = F.array(*[
-        F.struct(F.lit(name).alias("metric"), num(value).alias("v")) for name, value in metrics.items()
+        F.struct(F.lit(i).alias("metric"), num(value).alias("v")) for i, value in enumerate(metrics.values())
     ])
     long = df.select(*keep, F.inline(cells))
     return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def _count_values(long: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        long.withColumn("bucket", value_bucket(F.col("v")))
-        .groupBy(*keys, "bucket", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("bucket", value_bucket(F.col("v")))
 
 
 def _bucket_offsets(counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,19 +64,56 @@ def _bucket_offsets(counted: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, by: list[str], metrics: dict[str, Column | str], outputs: dict[str, tuple]) -> DataFrame:
-    """Exact quantiles, counts, sums and means per group in one pass over the input.
+def profile(
+    df: DataFrame, by: list[str], metrics: dict[str, Column | str], outputs: dict[str, tuple],
+    groups: int | None = None, small: int = SMALL_GROUP,
+) -> DataFrame:
+    """Exact quantiles, counts, sums and means per group.
 
     ``outputs`` maps a result column to ``("quantile", metric, p)`` (linear interpolation),
     ``("count", metric)``, ``("sum", metric)`` or ``("mean", metric)``.  The metric ``ROWS`` counts all
-    rows of a group.  Null values are skipped; rows with a null group key are dropped.  With
-    ``by=[]`` the result is one row (no row at all when every metric is empty).
+    rows of a group.  Null values are skipped; rows with a null group key are dropped.  ``by=[]`` gives
+    one row.
+
+    ``groups`` is an upper bound on the number of groups where the caller can prove one (a fixed list of
+    labels, a handful of models); then everything goes through value buckets.  Otherwise groups of up to
+    ``small`` rows take the built-in exact percentile, which holds one group in memory, and only the
+    heavier ones take the buckets.  The heavy list is a top-k, so its broadcast is bounded.
     """
+    kept = df.select(*by, *[num(v).alias(f"_m{i}") for i, v in enumerate(metrics.values())])
+    for key in by:
+        kept = kept.where(F.col(key).isNotNull())
+    columns = {name: f"_m{i}" for i, name in enumerate(metrics)}
+    if not by or groups is not None:
+        return _profile_by_bucket(kept, by, columns, outputs)
+    heavy = (
+        kept.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
+        .orderBy(F.desc("_n"), *by).limit(HEAVY_GROUPS).select(*by)
+    )
+    light_part = _profile_in_memory(kept.join(F.broadcast(heavy), by, "left_anti"), by, columns, outputs)
+    heavy_part = _profile_by_bucket(kept.join(F.broadcast(heavy), by, "left_semi"), by, columns, outputs)
+    return light_part.unionByName(heavy_part)
+
+
+def _profile_in_memory(df: DataFrame, by: list[str], metrics: dict[str, str], outputs: dict[str, tuple]) -> DataFrame:
+    def one(spec: tuple) -> Column:
+        if spec[1] == ROWS:
+            return F.count(F.lit(1))
+        value = F.when(~F.isnan(metrics[spec[1]]), F.col(metrics[spec[1]]))
+        return {
+            "quantile": lambda: F.percentile(value, F.lit(float(spec[2]))),
+            "count": lambda: F.count(value), "sum": lambda: F.sum(value), "mean": lambda: F.avg(value),
+        }[spec[0]]()
+
+    return df.groupBy(*by).agg(*[one(spec).alias(out) for out, spec in outputs.items()])
+
+
+def _profile_by_bucket(df: DataFrame, by: list[str], metrics: dict[str, str], outputs: dict[str, tuple]) -> DataFrame:
+    """Value buckets; the number of groups is bounded, so the list of wanted buckets is broadcast."""
     metrics = dict(metrics)
     if any(o[1] == ROWS for o in outputs.values()):
         metrics[ROWS] = F.lit(0.0)
-    for key in by:
-        df = df.where(F.col(key).isNotNull())
+    code = {name: i for i, name in enumerate(metrics)}
     keys = [*by, "metric"]
     counted = _count_values(_long_values(df, by, metrics), keys)
     offsets = _bucket_offsets(counted, keys)
@@ -91,7 +128,7 @@ def profile(df: DataFrame, by: list[str], metrics: dict[str, Column | str], outp
             "mean": F.col("total_sum") / F.col("total"),
         }
         cells = F.array(*[
-            F.struct(F.lit(s[1]).alias("of"), F.lit(o).alias("out"), value[s[0]].alias("value"))
+            F.struct(F.lit(code[s[1]]).alias("of"), F.lit(o).alias("out"), value[s[0]].alias("value"))
             for o, s in simple.items()
         ])
         parts.append(
@@ -100,7 +137,7 @@ def profile(df: DataFrame, by: list[str], metrics: dict[str, Column | str], outp
         )
     if quantile:
         cells = F.array(*[
-            F.struct(F.lit(s[1]).alias("of"), F.lit(o).alias("out"), F.lit(float(s[2])).alias("p"))
+            F.struct(F.lit(code[s[1]]).alias("of"), F.lit(o).alias("out"), F.lit(float(s[2])).alias("p"))
             for o, s in quantile.items()
         ])
         last = F.col("before") + F.col("bucket_n")
@@ -119,7 +156,7 @@ def profile(df: DataFrame, by: list[str], metrics: dict[str, Column | str], outp
         inside = Window.partitionBy(*keys, "bucket", "out").orderBy("v")
         upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         located = (
-            counted.join(targets, [*keys, "bucket"])
+            counted.join(F.broadcast(targets), [*keys, "bucket"])  # at most groups x outputs x 2 rows
             .withColumn("stop", F.col("before") + F.sum("n").over(upto))
             .withColumn("start", F.col("stop") - F.col("n"))
         )
@@ -156,14 +193,6 @@ def medians(df: DataFrame, metrics: dict[str, Column | str]) -> DataFrame:
     return profile(df, [], metrics, {name: ("quantile", name, 0.5) for name in metrics})
 
 
-def rank_table(df: DataFrame, by: list[str], metrics: dict[str, Column | str]) -> DataFrame:
-    """Average rank of every distinct value: ``by, metric, v, n, avg_rank, total``."""
-    keys = [*by, "metric"]
-    for key in by:
-        df = df.where(F.col(key).isNotNull())
-    return rank_counts(_count_values(_long_values(df, by, metrics), keys), keys)
-
-
 def rank_counts(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Average ranks from counted values (``keys, bucket, v, n``)."""
     inside = Window.partitionBy(*keys, "bucket").orderBy("v")
@@ -214,11 +243,11 @@ def rank_percent(
     by = by or {}
     cells = F.array(*[
         F.struct(
-            F.lit(name).alias("metric"),
+            F.lit(i).alias("metric"),
             (F.col(by[name]).cast("string") if name in by else F.lit("")).alias("part"),
             num(value).alias("v"),
         )
-        for name, value in metrics.items()
+        for i, (name, value) in enumerate(metrics.items())
     ])
     long = df.select(row_id, F.inline(cells)).where(
         F.col("part").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")
@@ -229,7 +258,7 @@ def rank_percent(
     )
     ranked = lookup_join(long, ranks, [*keys, "v"], "n", row_id)
     return ranked.groupBy(row_id).agg(
-        *[F.max(F.when(F.col("metric") == name, F.col("pct"))).alias(name) for name in metrics]
+        *[F.max(F.when(F.col("metric") == i, F.col("pct"))).alias(name) for i, name in enumerate(metrics)]
     )
 
 

@@ -19,14 +19,16 @@ HEATMAP_COLUMNS = (*EMOTIONS, "duration", "speaking_rate", "follower_count", "pl
 
 
 def pearson_matrix(v: DataFrame, columns=HEATMAP_COLUMNS) -> DataFrame:
-    """``a, b, corr`` for every pair, each over the rows that have both; one aggregate for all pairs."""
-    pairs = list(combinations(columns, 2))
-    wide = v.agg(*[F.corr(num(a), num(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    """``a, b, corr`` for every pair, each over the rows that have both.
+
+    Pairs become rows so that one small aggregate serves them all; it combines before the shuffle, which
+    carries one row per pair and task.
+    """
     cells = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), num(a).alias("x"), num(b).alias("y"))
+        for a, b in combinations(columns, 2)
     ])
-    return wide.select(F.inline(cells))
+    return v.select(F.inline(cells)).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -88,8 +90,8 @@ def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_row
 
     def ranks(axis: str) -> DataFrame:
         counted = (
-            pairs.withColumn("v", F.col(axis)).withColumn("bucket", value_bucket(F.col("v")))
-            .groupBy("feature", "bucket", "v").agg(F.sum("n").alias("n"))
+            pairs.groupBy("feature", F.col(axis).alias("v")).agg(F.sum("n").alias("n"))
+            .withColumn("bucket", value_bucket(F.col("v")))
         )
         table = rank_counts(counted, ["feature"])
         return table.select(

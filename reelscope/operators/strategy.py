@@ -81,7 +81,7 @@ def follower_conversion_topic(authors: DataFrame, display: bool = False) -> Data
 def _per_bucket(df: DataFrame, column: str, bucket, buckets, metrics, outputs) -> DataFrame:
     """Profile by labelled bucket; buckets without rows are kept."""
     names = label_table(df.sparkSession, column, [b[0] for b in buckets])
-    found = profile(df.withColumn(column, bucket), [column], metrics, outputs)
+    found = profile(df.withColumn(column, bucket), [column], metrics, outputs, groups=len(buckets))
     counts = {o: F.coalesce(F.col(o), F.lit(0)) for o, s in outputs.items() if s[0] == "count"}
     return F.broadcast(names).join(found, column, "left").withColumns(counts)
 
@@ -144,7 +144,7 @@ def hashtag_payoff(joined: DataFrame, display: bool = False) -> DataFrame:
 
 def music_payoff(joined: DataFrame, display: bool = False) -> DataFrame:
     named = joined.withColumn("music_category", music_category("music_selected_from"))
-    out = profile(named, ["music_category"], PAYOFF_METRICS, PAYOFF_OUTPUTS)
+    out = profile(named, ["music_category"], PAYOFF_METRICS, PAYOFF_OUTPUTS, groups=len(fixed.MUSIC_RULES) + 1)
     return _payoff_display(out.orderBy(F.desc("median_views"), "music_category"), display)
 
 
@@ -178,7 +178,7 @@ def archetype_shares(assigned: DataFrame, display: bool = False) -> DataFrame:
 def archetype_curves(assigned: DataFrame, days=fixed.CURVE_DAYS, display: bool = False) -> DataFrame:
     """``archetype, day, median_norm``: median share of the day-30 plays reached by each day."""
     metrics = {str(d): F.col(f"day_{d}") / F.col("day_30").cast("double") for d in days}
-    wide = profile(assigned, ["archetype"], metrics, {f"m{d}": ("quantile", str(d), 0.5) for d in days})
+    wide = profile(assigned, ["archetype"], metrics, {f"m{d}": ("quantile", str(d), 0.5) for d in days}, groups=len(fixed.ARCHETYPES))
     cells = F.array(*[F.struct(F.lit(d).alias("day"), F.col(f"m{d}").alias("median_norm")) for d in days])
     out = wide.select("archetype", F.inline(cells)).where(F.col("median_norm").isNotNull())
     return out.withColumn("median_norm", half_even("median_norm", 3)) if display else out

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelscope.functions.columns import zero
 from reelscope.functions.fixed_values import EMOTIONS, SNAPSHOT_DAYS
 from reelscope.operators import cleaning
 from reelscope.operators.distribution import lookup_join
+from reelscope.sources.tables import materialize
 
 COUNTERS = {
     "plays": "play_count", "likes": "like_count", "comments": "comment_count", "shares": "share_count",
@@ -113,8 +114,6 @@ def creator_stats_prior(v: DataFrame) -> DataFrame:
 
     Works on (author, date) totals, so an author contributes at most one row per calendar day.
     """
-    from pyspark.sql import Window
-
     per_day = v.groupBy("author_id", "create_date").agg(
         F.count("video_id").alias("_n"), F.count("plays_day30").alias("_k"), F.sum("plays_day30").alias("_s")
     )
@@ -149,11 +148,10 @@ def with_creator_stats(base: DataFrame) -> DataFrame:
 def video_summary(videos: DataFrame, engagement: DataFrame, creator: DataFrame) -> DataFrame:
     """Raw tables → one row per video.
 
-    ``base`` feeds both the author statistics and the result.  On large data write it first and call
-    :func:`with_creator_stats` on the written table (``plans.pipeline.run_etl`` does), so that the raw
-    tables are read once.
+    The base feeds both the author statistics and the result; it is written once, so that the raw tables
+    are read and joined once.
     """
-    return with_creator_stats(video_base(videos, engagement, creator))
+    return with_creator_stats(materialize(video_base(videos, engagement, creator), "video_base"))
 
 
 def drop_null_target(v: DataFrame, columns=("incr_plays_3_30",)) -> DataFrame:
