@@ -12,7 +12,7 @@ from reelscope.operators.distribution import lookup_join
 
 def _totals(train: DataFrame, keys: list[str], target: str) -> DataFrame:
     return train.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(target).alias("k"), F.sum(num(target)).alias("s")
+        F.count(F.lit(1)).alias("rows"), F.count(target).alias("_k"), F.sum(num(target)).alias("_s")
     )
 
 
@@ -28,9 +28,9 @@ def target_encode_fit(
     A value whose targets are all null gets the global mean.
     """
     totals = _totals(train, [column], target)
-    overall = totals.agg((F.sum("s") / F.sum("k")).alias("global_mean"))
+    overall = totals.agg(F.try_divide(F.sum("_s"), F.sum("_k")).alias("global_mean"))
     known = attach_scalars(totals.where(F.col(column).isNotNull()), overall, "_g")
-    fitted = known.select(column, "rows", _blend(F.col("s"), F.col("k"), F.col("_g.global_mean"), smoothing).alias("encoding"))
+    fitted = known.select(column, "rows", _blend(F.col("_s"), F.col("_k"), F.col("_g.global_mean"), smoothing).alias("encoding"))
     return fitted, overall
 
 
@@ -49,11 +49,11 @@ def target_encode_oof(
     fold = fold if fold is not None else F.pmod(F.xxhash64(row_id), F.lit(folds))
     placed = train.withColumn("_fold", fold.cast("int"))
     cells = _totals(placed, [column, "_fold"], target)
-    whole = cells.groupBy(column).agg(F.sum("k").alias("all_k"), F.sum("s").alias("all_s"))
-    overall = cells.agg((F.sum("s") / F.sum("k")).alias("global_mean"))
+    whole = cells.groupBy(column).agg(F.sum("_k").alias("_all_k"), F.sum("_s").alias("_all_s"))
+    overall = cells.agg(F.try_divide(F.sum("_s"), F.sum("_k")).alias("global_mean"))
     others = attach_scalars(cells.join(whole, column), overall, "_g")
-    left_k = F.col("all_k") - F.col("k")
-    left_s = F.coalesce("all_s", F.lit(0.0)) - F.coalesce("s", F.lit(0.0))
+    left_k = F.col("_all_k") - F.col("_k")
+    left_s = F.coalesce("_all_s", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))
     fitted = others.select(
         column, "_fold", "rows", _blend(left_s, left_k, F.col("_g.global_mean"), smoothing).alias("encoding")
     )
