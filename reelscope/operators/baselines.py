@@ -83,4 +83,4 @@ def baseline_predictions(v: DataFrame, null_target: str = "zero") -> DataFrame:
 
 def run_baselines(v: DataFrame, null_target: str = "zero") -> DataFrame:
     """Metrics of every baseline on the increment target."""
-    return error_metrics(baseline_predictions(v, null_target))
+    return error_metrics(baseline_predictions(v, null_target), groups=len(INCREMENT_BASELINES))

@@ -181,15 +181,22 @@ def bounded_forecast(df: DataFrame, median_log: str, low_log: str, high_log: str
 
 
 def profile_lookup(df: DataFrame, profiles: DataFrame, row_id: str, fallback: str | None = fixed.FALLBACK_TOPIC) -> DataFrame:
-    """Add the topic profile; an unknown topic becomes ``fallback`` first (``None`` keeps it)."""
-    table = profiles.withColumn("_videos", F.col("video_count"))
-    if fallback is not None:
-        known = profiles.select("topic", "video_count", F.lit(True).alias("_known"))
-        marked = lookup_join(df, known, ["topic"], "video_count", row_id)
-        df = marked.withColumn(
-            "topic", F.when(F.col("_known"), F.col("topic")).otherwise(F.lit(fallback))
-        ).drop("_known")
-    return lookup_join(df, table, ["topic"], "_videos", row_id)
+    """Add the topic profile.
+
+    An unknown topic becomes ``fallback`` and gets that profile (``None`` keeps the topic, without a
+    profile).  One lookup: the fallback profile is a single row beside all others.
+    """
+    values = [c for c in profiles.columns if c != "topic"]
+    table = profiles.withColumns({"_videos": F.col("video_count"), "_known": F.lit(True)})
+    found = lookup_join(df, table, ["topic"], "_videos", row_id)
+    if fallback is None:
+        return found.drop("_known")
+    other = profiles.where(F.col("topic") == fallback).select(*values).limit(1)
+    beside = attach_scalars(found, other, "_other")
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    named = {c: F.when(known, F.col(c)).otherwise(F.col(f"_other.{c}")) for c in values}
+    named["topic"] = F.when(known, F.col("topic")).otherwise(F.lit(fallback))
+    return beside.withColumns(named).drop("_known", "_other")
 
 
 def draft_tips(df: DataFrame, keys=("draft_id",)) -> DataFrame:

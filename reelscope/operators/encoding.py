@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelscope.functions.columns import attach_scalars, num
 from reelscope.functions.fixed_values import ENCODING_SMOOTHING, TARGET
 from reelscope.operators.distribution import lookup_join
+from reelscope.sources.tables import materialize
 
 
 def _totals(train: DataFrame, keys: list[str], target: str) -> DataFrame:
@@ -25,9 +26,10 @@ def target_encode_fit(
 ) -> tuple[DataFrame, DataFrame]:
     """``(map, global)``: ``column, rows, encoding`` per known value, and one row ``global_mean``.
 
-    A value whose targets are all null gets the global mean.
+    A value whose targets are all null gets the global mean.  The totals per value are written once: the
+    mean, the encodings and both sides of the later lookup read them.
     """
-    totals = _totals(train, [column], target)
+    totals = materialize(_totals(train, [column], target), "encoding")
     overall = totals.agg(F.try_divide(F.sum("_s"), F.sum("_k")).alias("global_mean"))
     known = attach_scalars(totals.where(F.col(column).isNotNull()), overall, "_g")
     fitted = known.select(column, "rows", _blend(F.col("_s"), F.col("_k"), F.col("_g.global_mean"), smoothing).alias("encoding"))
@@ -48,7 +50,7 @@ def target_encode_oof(
     """Add ``{column}_te`` to training rows from the other folds only (by default folds by a hash of the id)."""
     fold = fold if fold is not None else F.pmod(F.xxhash64(row_id), F.lit(folds))
     placed = train.withColumn("_fold", fold.cast("int"))
-    cells = _totals(placed, [column, "_fold"], target)
+    cells = materialize(_totals(placed, [column, "_fold"], target), "encoding")
     whole = cells.groupBy(column).agg(F.sum("_k").alias("_all_k"), F.sum("_s").alias("_all_s"))
     overall = cells.agg(F.try_divide(F.sum("_s"), F.sum("_k")).alias("global_mean"))
     others = attach_scalars(cells.join(whole, column), overall, "_g")

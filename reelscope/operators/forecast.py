@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from reelscope.functions.columns import num
 from reelscope.operators.metrics import error_metrics
 from reelscope.operators.topic_series import number_series
+from reelscope.sources.tables import materialize
 
 SEASON = 7
 LONG_AR = 14
@@ -116,4 +117,4 @@ def forecast_metrics(series: DataFrame, train_frac: float = 0.8) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return error_metrics(rows, by=("model", "topic"))
+    return error_metrics(materialize(rows, "forecasts"), by=("model", "topic"))

@@ -15,11 +15,13 @@ def long_predictions(df: DataFrame, y: str, predictions: dict[str, str], extra=(
     return df.select(*extra, num(y).alias("y"), F.inline(cells))
 
 
-def error_metrics(df: DataFrame, by=("model",), clip_prediction: bool = False) -> DataFrame:
+def error_metrics(df: DataFrame, by=("model",), clip_prediction: bool = False, groups: int | None = None, extra=None) -> DataFrame:
     """``by, n, mae, medae, rmse, wape, smape, r2`` of the columns ``y`` and ``yhat``.
 
     Rows with a null on either side are left out.  sMAPE has +1 in its denominator; ``clip_prediction``
     counts negative predictions as 0 in it.  Constant ``y``: R² is 1 for perfect predictions, else 0.
+    ``groups`` bounds the number of groups, where known (see ``distribution.profile``); ``extra`` holds
+    more aggregates of the same rows.
     """
     by = list(by)
     rows = df.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
@@ -34,43 +36,44 @@ def error_metrics(df: DataFrame, by=("model",), clip_prediction: bool = False) -
         F.sum(F.abs("y")).alias("sum_y"),
         F.avg(symmetric).alias("sym"),
         F.var_pop("y").alias("spread"),
+        *[aggregate.alias(name) for name, aggregate in (extra or {}).items()],
     )
-    middle = profile(rows, by, {"miss": miss}, {"medae": ("quantile", "miss", 0.5)})
+    middle = profile(rows, by, {"miss": miss}, {"medae": ("quantile", "miss", 0.5)}, groups=groups)
     joined = sums.join(middle, by) if by else sums.withColumn("medae", middle.scalar())
-    r2 = (
-        F.when(F.col("n") < 2, F.lit(None))
-        .when(F.col("spread") > 0, F.lit(1.0) - F.col("mse") / F.col("spread"))
-        .otherwise(F.when(F.col("mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    )
+    r2 = F.when(F.col("n") >= 2, _explained("mse", "spread"))
     wape = F.when(F.col("sum_y") > 0, F.try_divide("sum_miss", "sum_y") * F.lit(100.0))
     return joined.select(
         *by, "n", "mae", "medae", F.sqrt("mse").alias("rmse"), wape.alias("wape"),
-        (F.col("sym") * F.lit(100.0)).alias("smape"), r2.alias("r2"),
+        (F.col("sym") * F.lit(100.0)).alias("smape"), r2.alias("r2"), *(extra or {}),
     )
 
 
+def _explained(mse: str, spread: str):
+    """R²; without any spread 1 for no error and 0 otherwise."""
+    flat = F.when(F.col(mse) == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.col(spread) > 0, F.lit(1.0) - F.col(mse) / F.col(spread)).otherwise(flat)
+
+
 def bounded_log(c: str):
     """Log prediction kept in [-1, 25] before it is exponentiated."""
     return F.greatest(F.least(num(c), F.lit(25.0)), F.lit(-1.0))
 
 
-def log_scale_metrics(df: DataFrame, by=("model",)) -> DataFrame:
+def log_scale_metrics(df: DataFrame, by=("model",), groups: int | None = None) -> DataFrame:
     """Metrics of log-scale ``y`` and ``yhat`` on the original scale, plus ``r2_log``."""
     by = list(by)
     rows = df.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).withColumn("yhat", bounded_log("yhat"))
-    original = rows.select(
-        *by, F.expm1("y").alias("y"), F.greatest(F.expm1("yhat"), F.lit(0.0)).alias("yhat")
-    )
-    raw = error_metrics(original, by, clip_prediction=True).withColumnRenamed("r2", "r2_raw")
-    logs = rows.groupBy(*by).agg(
-        F.avg((F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat"))).alias("_mse"),
-        F.var_pop("y").alias("_spread"),
+    both = rows.select(
+        *by, F.col("y").alias("log_y"), F.col("yhat").alias("log_yhat"),
+        F.expm1("y").alias("y"), F.greatest(F.expm1("yhat"), F.lit(0.0)).alias("yhat"),
     )
-    r2 = (
-        F.when(F.col("_spread") > 0, F.lit(1.0) - F.col("_mse") / F.col("_spread"))
-        .otherwise(F.when(F.col("_mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    miss = F.col("log_y") - F.col("log_yhat")
+    logs = {"_log_mse": F.avg(miss * miss), "_log_spread": F.var_pop("log_y")}
+    scored = error_metrics(both, by, clip_prediction=True, groups=groups, extra=logs)
+    return (
+        scored.withColumnRenamed("r2", "r2_raw").withColumn("r2_log", _explained("_log_mse", "_log_spread"))
+        .drop(*logs)
     )
-    return raw.join(logs.select(*by, r2.alias("r2_log")), by)
 
 
 def cv_summary(folds: DataFrame, columns=("smape", "r2_log", "medae")) -> DataFrame:

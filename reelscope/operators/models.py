@@ -211,11 +211,10 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, params: dict | Non
 def run_models(frame: DataFrame, selection="best", params: dict | None = None) -> DataFrame:
     """Hold-out metrics of every selected model; ``frame`` comes from :func:`training_frame`."""
     train, test = frame.where("is_train"), frame.where(~F.col("is_train"))
-    parts = [
-        fit_predict(name, train, test, params).select(F.lit(name).alias("model"), "y", "yhat")
-        for name in model_registry(selection)
-    ]
-    return log_scale_metrics(reduce(DataFrame.unionByName, parts))
+    names = model_registry(selection)
+    parts = [fit_predict(n, train, test, params).select(F.lit(n).alias("model"), "y", "yhat") for n in names]
+    scored = materialize(reduce(DataFrame.unionByName, parts), "predictions")
+    return log_scale_metrics(scored, groups=len(names))
 
 
 GBT_SPACE = {
@@ -254,8 +253,7 @@ def hyper_search(
     early, late = marked.where("is_head"), marked.where(~F.col("is_head"))
     found = []
     for i, params in enumerate(draw_trials(space or GBT_SPACE, trials, seed)):
-        scored = fit_predict(name, early, late, params).withColumn("model", F.lit(name))
-        smape = log_scale_metrics(scored).select("smape").first()
+        smape = log_scale_metrics(fit_predict(name, early, late, params), by=()).select("smape").first()
         found.append((i, float(smape[0]) if smape else None, {k: float(x) for k, x in params.items()}))
     rows = F.array(*[
         F.struct(
@@ -286,4 +284,5 @@ def expanding_cv(
             F.lit(f.fold + 1).alias("fold"), F.lit(f.train_rows).alias("train_rows"),
             F.lit(f.test_rows).alias("test_rows"), "y", "yhat",
         ))
-    return log_scale_metrics(reduce(DataFrame.unionByName, parts), by=("fold", "train_rows", "test_rows"))
+    scored = materialize(reduce(DataFrame.unionByName, parts), "predictions")
+    return log_scale_metrics(scored, by=("fold", "train_rows", "test_rows"), groups=k)

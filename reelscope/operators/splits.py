@@ -6,12 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelscope.functions.columns import attach_scalars
-from reelscope.operators.distribution import number_rows, profile
+from reelscope.operators.distribution import number_rows
 
 
 def time_cutoff(v: DataFrame, q: float = 0.8, date: str = "create_date") -> DataFrame:
-    """One row ``cutoff_day``: the ``q`` quantile of the date, in days since 1970, interpolated."""
-    return profile(v, [], {"day": F.unix_date(date)}, {"cutoff_day": ("quantile", "day", q)})
+    """One row ``cutoff_day``: the ``q`` quantile of the date, in days since 1970, interpolated.
+
+    Sorts the counts per date only, so the sorted table is bounded by the calendar.
+    """
+    per_day = v.where(F.col(date).isNotNull()).groupBy(F.unix_date(date).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    calendar = Window.partitionBy(F.lit(1))
+    upto = calendar.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = per_day.withColumns({
+        "stop": F.sum("n").over(upto), "position": F.lit(q) * (F.sum("n").over(calendar) - 1),
+    })
+    low = F.min(F.when(F.floor("position") < F.col("stop"), F.col("d")))
+    high = F.min(F.when(F.ceil("position") < F.col("stop"), F.col("d")))
+    part = F.max(F.col("position") - F.floor("position"))
+    return placed.agg((low + (high - low) * part).alias("cutoff_day"))
 
 
 def time_split(v: DataFrame, q: float = 0.8, date: str = "create_date") -> DataFrame:

@@ -211,7 +211,7 @@ def rank_columns(ws: Workspace, by_topic: bool):
 # --- encodings and splits ----------------------------------------------------------------------------
 
 def split(ws: Workspace):
-    return splits.time_split(ws.summary)
+    return ws.cached("split", lambda: splits.time_split(ws.summary))
 
 
 def target_encode_fit(ws: Workspace):
@@ -238,14 +238,12 @@ def naive_scale(ws: Workspace):
 def log_scale_metrics(ws: Workspace):
     level = F.log1p(C.zero("plays_day3"))
     v = ws.summary.select(features.log_target().alias("y"), level.alias("up"), (-level).alias("down"))
-    return metrics.log_scale_metrics(metrics.long_predictions(v, "y", {"day 3 level": "up", "negative": "down"}))
+    return metrics.log_scale_metrics(metrics.long_predictions(v, "y", {"day 3 level": "up", "negative": "down"}), groups=2)
 
 
 def trend_metrics(ws: Workspace):
-    rows = forecast.forecast_trend_weekly(series(ws)).select(
-        F.lit("Trend + weekday").alias("model"), F.col("actual").alias("y"), F.col("forecast").alias("yhat")
-    )
-    return metrics.error_metrics(rows)
+    rows = forecast.forecast_trend_weekly(series(ws)).select(F.col("actual").alias("y"), F.col("forecast").alias("yhat"))
+    return metrics.error_metrics(rows, by=()).select(F.lit("Trend + weekday").alias("model"), "*")
 
 
 def board(ws: Workspace):
@@ -347,14 +345,18 @@ def draft_defaults(ws: Workspace):
     return decisions.draft_defaults(drafts(ws)).drop("hook")
 
 
+def topic_profiles(ws: Workspace):
+    return ws.cached("topic_profiles", lambda: profiles.topic_profile(ws.summary))
+
+
 def profile_lookup(ws: Workspace):
-    found = decisions.profile_lookup(drafts(ws).select("draft_id", "topic"), profiles.topic_profile(ws.summary), "draft_id")
+    found = decisions.profile_lookup(drafts(ws).select("draft_id", "topic"), topic_profiles(ws), "draft_id")
     return found.select("draft_id", "topic", "median_duration", "p25_duration", "p75_duration")
 
 
 def draft_tips(ws: Workspace):
     filled = decisions.draft_defaults(drafts(ws)).select("draft_id", "topic", "duration", "hook", "speaking_rate")
-    placed = decisions.profile_lookup(filled, profiles.topic_profile(ws.summary), "draft_id", fallback=None)
+    placed = decisions.profile_lookup(filled, topic_profiles(ws), "draft_id", fallback=None)
     return decisions.draft_tips(placed)
 
 
@@ -553,7 +555,7 @@ QUERIES = {
     "adf_test": lambda ws: stats.adf_test(play_series(ws)),
     "global_rank_pct": lambda ws: rank_columns(ws, False),
     "topic_rank_pct": lambda ws: rank_columns(ws, True),
-    "time_split_cutoff": lambda ws: split(ws).select("video_id", "is_train"),
+    "time_split_cutoff": lambda ws: splits.time_split(ws.summary).select("video_id", "is_train"),
     "target_encode_fit": target_encode_fit,
     "te_lookup": te_lookup,
     "target_encode_oof": target_encode_oof,
