@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from reelscope.llm import chat_format, exact_dedup, line_crf, quality_classifier, token_counts
+from reelscope.llm import chat_format, exact_dedup, line_crf, near_dedup, packing, quality_classifier, token_counts
 
 QUERIES = {
     "op1_quality_rules": line_crf.op1_quality_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op9_packing": packing.op9_packing,
 }
 
 SQL = {
