@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reelscope.llm.common import table
 
 BATCH_BYTES = 1 << 20
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 1_000_000
 
 #: Other white space that such tokenizers drop as well.
 _BLANKS = dict.fromkeys(map(ord, "\t\n\r"), " ")
