@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from reelscope.llm import chat_format, exact_dedup, line_crf, near_dedup, packing, quality_classifier, token_counts
+from reelscope.llm import (
+    chat_format, exact_dedup, license_scan, line_crf, line_dedup, near_dedup, packing, quality_classifier, sentence_pieces,
+    token_counts,
+)
 
 QUERIES = {
     "op1_quality_rules": line_crf.op1_quality_rules,
@@ -11,10 +14,15 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_packing": packing.op9_packing,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_chat_format": chat_format.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op10_license_scan": license_scan.SQL,
 }
