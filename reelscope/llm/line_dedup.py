@@ -55,20 +55,21 @@ def remove_spread_lines(docs: DataFrame, sites: int = SITES, min_chars: int = MI
     a site of its own.  Repeated rows lose the same lines.  A text of boilerplate alone becomes empty; no document goes.
     All other columns are kept, except that a column named ``n_lines`` or ``n_removed`` is replaced.
     """
-    found = spread_lines(docs, sites, min_chars).groupBy(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    ).agg(F.collect_set("line").alias("_gone"))
-    rows = docs.withColumn("_md5", F.md5(plain_text()))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_hash")), "left")
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    found = spread_lines(docs, sites, min_chars).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.md5(plain_text()).alias("md5"))
+    joined = whole.join(
+        found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_hash")), "left"
+    )
+    text = F.col("row.text")
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.when(F.col("text").isNull(), 0).otherwise(
-            F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+        *[cleaned.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in own],
+        F.when(text.isNull(), 0).otherwise(
+            F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
         ).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
