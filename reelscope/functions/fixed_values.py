@@ -150,3 +150,7 @@ FEATURES_V3 = (
     "duration", "is_english", "word_count", "speaking_rate", "hashtag_count",
     "word_count_missing", "speaking_rate_missing", "hashtag_count_missing",
 ) + EMOTIONS
+
+# The live check fills a draft from what a running post shows.
+LIVE_MEDIAN_OF_DAY3 = 0.8
+LIVE_FOLLOWERS = 25000.0

@@ -180,15 +180,14 @@ def bounded_forecast(df: DataFrame, median_log: str, low_log: str, high_log: str
     return virality_tier(out, "pred_median")
 
 
-def profile_lookup(df: DataFrame, profiles: DataFrame, row_id: str, fallback: str | None = fixed.FALLBACK_TOPIC) -> DataFrame:
+def profile_lookup(df: DataFrame, profiles: DataFrame, fallback: str | None = fixed.FALLBACK_TOPIC) -> DataFrame:
     """Add the topic profile.
 
     An unknown topic becomes ``fallback`` and gets that profile (``None`` keeps the topic, without a
     profile).  One lookup: the fallback profile is a single row beside all others.
     """
     values = [c for c in profiles.columns if c != "topic"]
-    table = profiles.withColumns({"_videos": F.col("video_count"), "_known": F.lit(True)})
-    found = lookup_join(df, table, ["topic"], "_videos", row_id)
+    found = lookup_join(df, profiles.withColumn("_known", F.lit(True)), ["topic"])
     if fallback is None:
         return found.drop("_known")
     other = profiles.where(F.col("topic") == fallback).select(*values).limit(1)
@@ -246,8 +245,9 @@ def idea_table(scored: DataFrame, row_id: str) -> DataFrame:
     expected = F.bround(num("total_expected"), 0)
     ranked = priority_rank(scored.withColumn("expected_views", expected.cast("long")), "expected_views", row_id)
     span = F.concat(thousands("pred_p10"), F.lit(" to "), thousands("pred_p90"))
+    title = ["concept"] if "concept" in scored.columns else []
     return ranked.select(
-        "priority", row_id, clean_label("topic").alias("category"),
+        "priority", row_id, *title, clean_label("topic").alias("category"),
         F.concat(F.bround(num("duration"), 0).cast("long").cast("string"), F.lit("s")).alias("length"),
         "expected_views", F.col("tier").alias("performance_level"), span.alias("view_range"),
     )

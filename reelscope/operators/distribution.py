@@ -2,15 +2,14 @@
 
 Medians, quantiles, average ranks and row numbers all need sorted data.  A plain window (or the
 built-in exact ``percentile``) brings a whole group to one task, which fails when one group holds a
-third of the table.  Where a group can be large, each value is first put in a *value bucket*, a fixed, order-preserving
-function of the number itself (1024 buckets per power of two).  Then
-
-* rows collapse to distinct values with counts (map-side combined, so ties cost one row),
-* bucket totals and their running sums are small (bounded by groups x buckets),
-* sorting only ever happens inside one (group, bucket).
-
-The bucket does not depend on sampling or on the partition layout, so a task that is run again after
-an executor loss gives the same answer.
+third of the table.  Here rows collapse to distinct values with counts first (map-side combined, so ties cost
+one row); the distinct values are range-partitioned by (group, value) and written once with their *range*, the
+number of the partition.  Ranges of a group follow its values, hold about as many values each however narrow the
+values lie, and their totals and running sums are small (groups x ranges).  Sorting only ever happens
+inside one (group, range).
+
+Where the ranges are cut depends on a sample, but no result depends on where they are cut, and a written
+range never changes, so a task that runs again after an executor loss gives the same answer.
 """
 
 from __future__ import annotations
@@ -19,23 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelscope.functions.columns import col, num
+from reelscope.sources.tables import materialize
 
-BUCKETS_PER_OCTAVE = 1024.0
-SMALLEST_STEP = float(1 << 20)
 HOT_KEYS = 1000
-SMALL_GROUP = 1_000_000
-HEAVY_GROUPS = 20_000
 
 ROWS = "__rows"
 
 
-def value_bucket(value: Column) -> Column:
-    """Order-preserving bucket number of a double: ``a <= b`` gives ``bucket(a) <= bucket(b)``."""
-    size = F.least(F.abs(value), F.lit(1e250)) * F.lit(SMALLEST_STEP) + F.lit(1.0)
-    steps = F.floor(F.log2(size) * F.lit(BUCKETS_PER_OCTAVE)).cast("long")
-    return F.when(value < 0, -steps).otherwise(steps)
-
-
 def _long_values(df: DataFrame, keep: list, metrics: dict[str, Column | str]) -> DataFrame:
     """One narrow row per value; ``metric`` is the position of the metric in the dict."""
     cells = F.array(*[
@@ -46,141 +35,68 @@ def _long_values(df: DataFrame, keep: list, metrics: dict[str, Column | str]) ->
 
 
 def _count_values(long: DataFrame, keys: list[str]) -> DataFrame:
-    counted = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("bucket", value_bucket(F.col("v")))
+    return with_ranges(long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), keys)
+
+
+def with_ranges(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``counted`` (``keys, v, n``) written with the range of each value in ``bucket``."""
+    return materialize(
+        counted.repartitionByRange(*keys, "v").withColumn("bucket", F.spark_partition_id()), "counted-values"
+    )
 
 
 def _bucket_offsets(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (group, bucket): rows in it, rows before it, rows and sum of the whole group."""
+    """Per (group, bucket): rows in it, rows before it, rows of the whole group."""
     group = Window.partitionBy(*keys)
     earlier = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return (
         counted.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("bucket_n"), F.sum(F.col("v") * F.col("n")).alias("bucket_sum"))
+        .agg(F.sum("n").alias("bucket_n"))
         .withColumn("before", F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0)))
-        .withColumn("is_first", F.col("before") == 0)
         .withColumn("total", F.sum("bucket_n").over(group))
-        .withColumn("total_sum", F.sum("bucket_sum").over(group))
     )
 
 
 def profile(
-    df: DataFrame, by: list[str], metrics: dict[str, Column | str], outputs: dict[str, tuple],
-    groups: int | None = None, small: int = SMALL_GROUP,
+    df: DataFrame, by: list[str], metrics: dict[str, Column | str], outputs: dict[str, tuple]
 ) -> DataFrame:
-    """Exact quantiles, counts, sums and means per group.
+    """Exact quantiles, counts, sums and means per group, groups of any number and size.
 
     ``outputs`` maps a result column to ``("quantile", metric, p)`` (linear interpolation),
     ``("count", metric)``, ``("sum", metric)`` or ``("mean", metric)``.  The metric ``ROWS`` counts all
     rows of a group.  Null values are skipped; rows with a null group key are dropped.  ``by=[]`` gives
     one row.
 
-    ``groups`` is an upper bound on the number of groups where the caller can prove one (a fixed list of
-    labels, a handful of models); then everything goes through value buckets.  Otherwise groups of up to
-    ``small`` rows take the built-in exact percentile, which holds one group in memory, and only the
-    heavier ones take the buckets.  The heavy list is a top-k, so its broadcast is bounded.
+    Counts, sums and means are one map-side combined aggregate; only the metrics of quantiles are sorted.
     """
     kept = df.select(*by, *[num(v).alias(f"_m{i}") for i, v in enumerate(metrics.values())])
     for key in by:
         kept = kept.where(F.col(key).isNotNull())
     columns = {name: f"_m{i}" for i, name in enumerate(metrics)}
-    if not by or groups is not None:
-        return _profile_by_bucket(kept, by, columns, outputs)
-    heavy = (
-        kept.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small)
-        .orderBy(F.desc("_n"), *by).limit(HEAVY_GROUPS).select(*by)
-    )
-    light_part = _profile_in_memory(kept.join(F.broadcast(heavy), by, "left_anti"), by, columns, outputs)
-    heavy_part = _profile_by_bucket(kept.join(F.broadcast(heavy), by, "left_semi"), by, columns, outputs)
-    return light_part.unionByName(heavy_part)
-
+    simple = {o: s for o, s in outputs.items() if s[0] != "quantile"}
+    sorted_ = {o: s for o, s in outputs.items() if s[0] == "quantile"}
 
-def _profile_in_memory(df: DataFrame, by: list[str], metrics: dict[str, str], outputs: dict[str, tuple]) -> DataFrame:
     def one(spec: tuple) -> Column:
         if spec[1] == ROWS:
             return F.count(F.lit(1))
-        value = F.when(~F.isnan(metrics[spec[1]]), F.col(metrics[spec[1]]))
-        return {
-            "quantile": lambda: F.percentile(value, F.lit(float(spec[2]))),
-            "count": lambda: F.count(value), "sum": lambda: F.sum(value), "mean": lambda: F.avg(value),
-        }[spec[0]]()
-
-    return df.groupBy(*by).agg(*[one(spec).alias(out) for out, spec in outputs.items()])
+        value = F.when(~F.isnan(columns[spec[1]]), F.col(columns[spec[1]]))
+        return {"count": F.count, "sum": F.sum, "mean": F.avg}[spec[0]](value)
 
+    def cells(names: list[str]) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(o).alias("out"), F.col(o).cast("double").alias("value")) for o in names]))
 
-def _profile_by_bucket(df: DataFrame, by: list[str], metrics: dict[str, str], outputs: dict[str, tuple]) -> DataFrame:
-    """Value buckets; the number of groups is bounded, so the list of wanted buckets is broadcast."""
-    metrics = dict(metrics)
-    if any(o[1] == ROWS for o in outputs.values()):
-        metrics[ROWS] = F.lit(0.0)
-    code = {name: i for i, name in enumerate(metrics)}
-    keys = [*by, "metric"]
-    counted = _count_values(_long_values(df, by, metrics), keys)
-    offsets = _bucket_offsets(counted, keys)
-
-    simple = {o: s for o, s in outputs.items() if s[0] != "quantile"}
-    quantile = {o: s for o, s in outputs.items() if s[0] == "quantile"}
     parts = []
-    if simple:
-        value = {
-            "count": F.col("total").cast("double"),
-            "sum": F.col("total_sum"),
-            "mean": F.col("total_sum") / F.col("total"),
-        }
-        cells = F.array(*[
-            F.struct(F.lit(code[s[1]]).alias("of"), F.lit(o).alias("out"), value[s[0]].alias("value"))
-            for o, s in simple.items()
-        ])
-        parts.append(
-            offsets.where("is_first").select(*keys, F.inline(cells)).where("of = metric")
-            .select(*by, "out", "value")
-        )
-    if quantile:
-        cells = F.array(*[
-            F.struct(F.lit(code[s[1]]).alias("of"), F.lit(o).alias("out"), F.lit(float(s[2])).alias("p"))
-            for o, s in quantile.items()
-        ])
-        last = F.col("before") + F.col("bucket_n")
-        targets = (
-            offsets.select(*keys, "bucket", "bucket_n", "before", "total", F.inline(cells))
-            .where("of = metric")
-            .withColumn("position", F.col("p") * (F.col("total") - 1))
-            .withColumn("low", F.floor("position"))
-            .withColumn("high", F.ceil("position"))
-            .where(
-                ((F.col("low") >= F.col("before")) & (F.col("low") < last))
-                | ((F.col("high") >= F.col("before")) & (F.col("high") < last))
-            )
-            .select(*keys, "bucket", "before", "out", "position", "low", "high")
-        )
-        inside = Window.partitionBy(*keys, "bucket", "out").orderBy("v")
-        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        located = (
-            counted.join(F.broadcast(targets), [*keys, "bucket"])  # at most groups x outputs x 2 rows
-            .withColumn("stop", F.col("before") + F.sum("n").over(upto))
-            .withColumn("start", F.col("stop") - F.col("n"))
-        )
-
-        def holds(p: str) -> Column:
-            return (F.col(p) >= F.col("start")) & (F.col(p) < F.col("stop"))
-
-        ends = (
-            located.where(holds("low") | holds("high"))
-            .groupBy(*by, "out")
-            .agg(
-                F.max(F.when(holds("low"), F.col("v"))).alias("v_low"),
-                F.max(F.when(holds("high"), F.col("v"))).alias("v_high"),
-                F.max(F.col("position") - F.col("low")).alias("part"),
-            )
-        )
-        parts.append(ends.select(
-            *by, "out", (F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("part")).alias("value")
-        ))
+    if simple or not sorted_:
+        totals = kept.groupBy(*by).agg(*[one(s).alias(o) for o, s in simple.items()], F.count(F.lit(1)).alias(ROWS))
+        parts.append(totals.select(*by, cells([*simple, ROWS])))
+    if sorted_:
+        parts.append(_quantiles(kept, by, columns, sorted_))
+        # a group whose values are all null keeps its row
+        parts.append(kept.select(*by).groupBy(*by).agg(F.count(F.lit(1)).alias(ROWS)).select(*by, cells([ROWS])))
     long = parts[0]
     for part in parts[1:]:
         long = long.unionByName(part)
-    picks = [F.max(F.when(F.col("out") == o, F.col("value"))).alias(o) for o in outputs]
-    wide = long.groupBy(*by).agg(*picks)
+    wide = long.groupBy(*by).agg(*[F.max(F.when(F.col("out") == o, F.col("value"))).alias(o) for o in outputs])
     casts = [
         (F.coalesce(F.col(o), F.lit(0.0)).cast("long") if s[0] == "count" else F.col(o)).alias(o)
         for o, s in outputs.items()
@@ -188,6 +104,54 @@ def _profile_by_bucket(df: DataFrame, by: list[str], metrics: dict[str, str], ou
     return wide.select(*by, *casts)
 
 
+def _quantiles(df: DataFrame, by: list[str], metrics: dict[str, str], outputs: dict[str, tuple]) -> DataFrame:
+    """``by, out, value``: interpolated order statistics from counted values in ranges."""
+    used = {name: c for name, c in metrics.items() if any(o[1] == name for o in outputs.values())}
+    code = {name: i for i, name in enumerate(used)}
+    keys = [*by, "metric"]
+    counted = _count_values(_long_values(df, by, used), keys)
+    offsets = _bucket_offsets(counted, keys)
+    cells = F.array(*[
+        F.struct(F.lit(code[s[1]]).alias("of"), F.lit(o).alias("out"), F.lit(float(s[2])).alias("p"))
+        for o, s in outputs.items()
+    ])
+    last = F.col("before") + F.col("bucket_n")
+    targets = (
+        offsets.select(*keys, "bucket", "bucket_n", "before", "total", F.inline(cells))
+        .where("of = metric")
+        .withColumn("position", F.col("p") * (F.col("total") - 1))
+        .withColumn("low", F.floor("position"))
+        .withColumn("high", F.ceil("position"))
+        .where(
+            ((F.col("low") >= F.col("before")) & (F.col("low") < last))
+            | ((F.col("high") >= F.col("before")) & (F.col("high") < last))
+        )
+        .select(*keys, "bucket", "before", "out", "position", "low", "high")
+    )
+    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    located = (
+        counted.withColumn("ahead", F.sum("n").over(inside)).join(targets, [*keys, "bucket"])
+        .withColumn("stop", F.col("before") + F.col("ahead"))
+        .withColumn("start", F.col("stop") - F.col("n"))
+    )
+
+    def holds(p: str) -> Column:
+        return (F.col(p) >= F.col("start")) & (F.col(p) < F.col("stop"))
+
+    ends = (
+        located.where(holds("low") | holds("high"))
+        .groupBy(*by, "out")
+        .agg(
+            F.max(F.when(holds("low"), F.col("v"))).alias("v_low"),
+            F.max(F.when(holds("high"), F.col("v"))).alias("v_high"),
+            F.max(F.col("position") - F.col("low")).alias("part"),
+        )
+    )
+    return ends.select(
+        *by, "out", (F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("part")).alias("value")
+    )
+
+
 def medians(df: DataFrame, metrics: dict[str, Column | str]) -> DataFrame:
     """One row with the exact median of every metric."""
     return profile(df, [], metrics, {name: ("quantile", name, 0.5) for name in metrics})
@@ -206,30 +170,37 @@ def rank_counts(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lookup_join(
-    df: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: Column | str, hot: int = HOT_KEYS
+    df: DataFrame, table: DataFrame, keys: list[str], weight: str | None = None, hot: int = HOT_KEYS
 ) -> DataFrame:
-    """Left join to a table with unique keys that survives hot keys.
+    """Left join to a table with unique keys that survives hot keys, known or not, and null keys.
+
+    A table of at most ``hot`` rows is broadcast and that is all.  Otherwise the ``hot`` most frequent keys of ``df``
+    (a top-k, so bounded) are looked up first and broadcast with their answers; their rows and the rows with a null
+    key stay where they are.  The other rows, no key with more than 1/``hot`` of all, meet the table in a shuffle.
 
-    ``weight`` tells how many rows of ``df`` share the key.  The ``hot`` heaviest keys (a top-k, so at
-    most that many rows) are broadcast; any other key then holds at most 1/``hot`` of the rows and goes
-    through the shuffle.  Rows that are already answered, or have a null key, are spread over that
-    shuffle by ``spread`` instead of meeting in one partition.
+    ``weight`` is for tables made from ``df`` that have all of its keys: their column with the number of rows of a key.
+    ``df`` is read more than once when the table is large: pass a written table.
     """
     values = [c for c in table.columns if c not in keys and c != weight]
-    heavy = (
-        table.orderBy(F.desc(weight), *keys).limit(hot)
-        .select(*keys, F.struct(*values).alias("_heavy"))
-    )
-    step = df.join(F.broadcast(heavy), keys, "left")
-    answered = F.col("_heavy").isNotNull()
+    answers = table.select(*keys, F.struct(*values).alias("_found"))
+
+    def picked(joined: DataFrame) -> DataFrame:
+        return joined.select(*df.columns, *[F.col("_found")[v].alias(v) for v in values])
+
+    if table.select(*keys).limit(hot + 1).count() <= hot:
+        return picked(df.join(F.broadcast(answers), keys, "left"))
+    has_null = F.lit(False)
     for key in keys:
-        answered = answered | F.col(key).isNull()
-    away = F.lit(1) + F.pmod(F.xxhash64(col(spread)), F.lit(1 << 20)).cast("int")
-    step = step.withColumn("_slot", F.when(answered, away).otherwise(F.lit(0)))
-    rest = table.select(*keys, F.lit(0).alias("_slot"), F.struct(*values).alias("_other"))
-    joined = step.join(rest, [*keys, "_slot"], "left")
-    found = F.coalesce("_heavy", "_other")
-    return joined.select(*df.columns, *[found[v].alias(v) for v in values])
+        has_null = has_null | F.col(key).isNull()
+    counted = (
+        table.select(*keys, F.col(weight).alias("_n")) if weight
+        else df.where(~has_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    )
+    heavy = materialize(counted.orderBy(F.desc("_n"), *keys).limit(hot).select(*keys), "heavy-keys")
+    known = heavy.join(answers, keys, "left").withColumn("_hot", F.lit(True))
+    near = df.join(F.broadcast(known), keys, "left").where(F.col("_hot") | has_null)
+    far = df.where(~has_null).join(F.broadcast(heavy), keys, "left_anti").join(answers, keys, "left")
+    return picked(near).unionByName(picked(far))
 
 
 def rank_percent(
@@ -256,7 +227,7 @@ def rank_percent(
     ranks = rank_counts(_count_values(long, keys), keys).select(
         *keys, "v", "n", (F.col("avg_rank") / F.col("total")).alias("pct")
     )
-    ranked = lookup_join(long, ranks, [*keys, "v"], "n", row_id)
+    ranked = lookup_join(long, ranks, [*keys, "v"], "n")
     return ranked.groupBy(row_id).agg(
         *[F.max(F.when(F.col("metric") == i, F.col("pct"))).alias(name) for i, name in enumerate(metrics)]
     )
@@ -270,34 +241,18 @@ def with_rank_percent(df, row_id, metrics, by=None):
 def number_rows(
     df: DataFrame, value: Column | str, tie: Column | str, out: str, descending: bool = False
 ) -> DataFrame:
-    """Add the 1-based position of each row in the order ``(value, tie)``.
+    """Add the 1-based position of each row in the order ``(value, tie)``, both of any orderable type.
 
-    Both must be numeric or dates; nulls of ``value`` come last.  Sorting happens per distinct value
-    and tie bucket, so neither a popular value nor the whole table meets in one task.
+    Nulls come last.  Rows are range-partitioned by both and written with the number of their partition, so neither a
+    popular value nor the whole table meets in one task.  Rows equal in both are numbered in any order.
     """
-    def as_number(c: Column | str) -> Column:
-        c = col(c)
-        kind = df.select(c.alias("x")).schema["x"].dataType.typeName()
-        return F.unix_date(c).cast("double") if kind == "date" else c.cast("double")
-
-    v = as_number(value)
-    if descending:
-        v = -v
-    keyed = (
-        df.withColumn("_v", F.coalesce(v, F.lit(float("inf"))))
-        .withColumn("_b", value_bucket(F.col("_v")))
-        .withColumn("_t", as_number(tie))
-        .withColumn("_tb", F.coalesce(value_bucket(F.col("_t")), F.lit(1 << 60)))
-    )
-    cells = keyed.groupBy("_b", "_v", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-    per_bucket = cells.groupBy("_b").agg(F.sum("_n").alias("_bn"))
-    running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # bounded: one row per bucket
-    before = per_bucket.select("_b", F.coalesce(F.sum("_bn").over(running), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_b").orderBy("_v", "_tb").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.join(before, "_b").select(
-        "_b", "_v", "_tb", "_n",
-        (F.col("_before") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_ahead"),
+    keyed = df.withColumns({"_v": col(value), "_t": col(tie)})
+    order = [F.desc_nulls_last("_v") if descending else F.asc_nulls_last("_v"), F.asc_nulls_last("_t")]
+    placed = materialize(keyed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered-rows")
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # bounded: one row per partition
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before")
     )
-    placed = keyed.join(starts.drop("_n"), ["_b", "_v", "_tb"])
-    local = F.row_number().over(Window.partitionBy("_b", "_v", "_tb").orderBy("_t"))
-    return placed.withColumn(out, (F.col("_ahead") + local).cast("long")).select(*df.columns, out)
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    numbered = placed.join(F.broadcast(before), "_part")  # one row per partition
+    return numbered.withColumn(out, (F.col("_before") + local).cast("long")).select(*df.columns, out)

@@ -36,9 +36,9 @@ def target_encode_fit(
     return fitted, overall
 
 
-def te_lookup(df: DataFrame, fitted: DataFrame, overall: DataFrame, column: str, row_id: str = "video_id") -> DataFrame:
+def te_lookup(df: DataFrame, fitted: DataFrame, overall: DataFrame, column: str) -> DataFrame:
     """Add ``{column}_te``; unseen and null values get the global mean."""
-    found = lookup_join(df, fitted, [column], "rows", row_id)
+    found = lookup_join(df, fitted.drop("rows"), [column])
     out = attach_scalars(found, overall, "_g")
     return out.withColumn(f"{column}_te", F.coalesce("encoding", F.col("_g.global_mean"))).drop("_g", "encoding")
 
@@ -59,7 +59,7 @@ def target_encode_oof(
     fitted = others.select(
         column, "_fold", "rows", _blend(left_s, left_k, F.col("_g.global_mean"), smoothing).alias("encoding")
     )
-    found = attach_scalars(lookup_join(placed, fitted, [column, "_fold"], "rows", row_id), overall, "_g")
+    found = attach_scalars(lookup_join(placed, fitted.drop("rows"), [column, "_fold"]), overall, "_g")
     encoded = F.coalesce("encoding", F.col("_g.global_mean"))
     return found.withColumn(f"{column}_te", encoded).drop("_g", "encoding", "_fold")
 

@@ -146,11 +146,9 @@ def one_hot_topic(v: DataFrame, topics: list[str]) -> DataFrame:
     return v.withColumns(flags)
 
 
-def topic_levels(v: DataFrame, limit: int = 1000) -> list[str]:
-    """Sorted topics of a table.  The columns of a one-hot encoding must be known to build the plan."""
-    rows = v.select("topic").where(F.col("topic").isNotNull()).distinct().orderBy("topic").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} topics; use target encoding instead of one column each")
+def topic_levels(v: DataFrame) -> list[str]:
+    """Sorted topics of a table: one name per column that the one-hot encoding is going to have."""
+    rows = v.select("topic").where(F.col("topic").isNotNull()).distinct().orderBy("topic").collect()
     return [r.topic for r in rows]
 
 

@@ -17,18 +17,20 @@ from reelscope.operators.topic_series import number_series
 from reelscope.sources.tables import materialize
 
 SEASON = 7
-LONG_AR = 14
+#: Order of the long autoregression of the first stage.
+LONG_AR = 7
+#: Shorter training series have no forecast (null).
+MIN_DAYS = 4 * SEASON
 
 
 def _seasonal_coefficients(w: np.ndarray) -> np.ndarray:
     """Two-stage least squares for ``w_t ~ w_(t-1), w_(t-7), w_(t-8), e_(t-1)``."""
-    order = min(LONG_AR, max(1, len(w) // 4))
-    rows = np.arange(order, len(w))
-    lagged = np.column_stack([w[rows - k] for k in range(1, order + 1)])
+    rows = np.arange(LONG_AR, len(w))
+    lagged = np.column_stack([w[rows - k] for k in range(1, LONG_AR + 1)])
     first, *_ = np.linalg.lstsq(lagged, w[rows], rcond=None)
     shock = np.zeros(len(w))
     shock[rows] = w[rows] - lagged @ first
-    rows = np.arange(max(order, SEASON + 1) + 1, len(w))
+    rows = np.arange(max(LONG_AR, SEASON + 1) + 1, len(w))
     design = np.column_stack([w[rows - 1], w[rows - SEASON], w[rows - SEASON - 1], shock[rows - 1]])
     beta, *_ = np.linalg.lstsq(design, w[rows], rcond=None)
     return np.append(beta, shock[-1])
@@ -36,16 +38,15 @@ def _seasonal_coefficients(w: np.ndarray) -> np.ndarray:
 
 def _seasonal_path(y: np.ndarray, horizon: int) -> np.ndarray:
     """Forecast ``horizon`` days after ``y`` from its day and week differences."""
-    if len(y) < 4 * SEASON:
-        return np.full(horizon, y[-1] if len(y) else np.nan)
+    if len(y) < MIN_DAYS:
+        return np.full(horizon, np.nan)
     week = y[SEASON:] - y[:-SEASON]
     w = np.diff(week)
     a, b, c, m, shock = _seasonal_coefficients(w)
     known_w, known_y = list(w), list(y)
-    limit = 10.0 * (np.abs(w).max() + 1.0)
     for _ in range(horizon):
         nxt = a * known_w[-1] + b * known_w[-SEASON] + c * known_w[-SEASON - 1] + m * shock
-        nxt, shock = float(np.clip(nxt, -limit, limit)), 0.0
+        shock = 0.0
         known_w.append(nxt)
         known_y.append(nxt + known_y[-1] + known_y[-SEASON] - known_y[-SEASON - 1])
     return np.array(known_y[len(y):])

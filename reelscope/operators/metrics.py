@@ -15,13 +15,12 @@ def long_predictions(df: DataFrame, y: str, predictions: dict[str, str], extra=(
     return df.select(*extra, num(y).alias("y"), F.inline(cells))
 
 
-def error_metrics(df: DataFrame, by=("model",), clip_prediction: bool = False, groups: int | None = None, extra=None) -> DataFrame:
+def error_metrics(df: DataFrame, by=("model",), clip_prediction: bool = False, extra=None) -> DataFrame:
     """``by, n, mae, medae, rmse, wape, smape, r2`` of the columns ``y`` and ``yhat``.
 
     Rows with a null on either side are left out.  sMAPE has +1 in its denominator; ``clip_prediction``
     counts negative predictions as 0 in it.  Constant ``y``: R² is 1 for perfect predictions, else 0.
-    ``groups`` bounds the number of groups, where known (see ``distribution.profile``); ``extra`` holds
-    more aggregates of the same rows.
+    ``extra`` holds more aggregates of the same rows.
     """
     by = list(by)
     rows = df.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
@@ -38,7 +37,7 @@ def error_metrics(df: DataFrame, by=("model",), clip_prediction: bool = False, g
         F.var_pop("y").alias("spread"),
         *[aggregate.alias(name) for name, aggregate in (extra or {}).items()],
     )
-    middle = profile(rows, by, {"miss": miss}, {"medae": ("quantile", "miss", 0.5)}, groups=groups)
+    middle = profile(rows, by, {"miss": miss}, {"medae": ("quantile", "miss", 0.5)})
     joined = sums.join(middle, by) if by else sums.withColumn("medae", middle.scalar())
     r2 = F.when(F.col("n") >= 2, _explained("mse", "spread"))
     wape = F.when(F.col("sum_y") > 0, F.try_divide("sum_miss", "sum_y") * F.lit(100.0))
@@ -59,7 +58,7 @@ def bounded_log(c: str):
     return F.greatest(F.least(num(c), F.lit(25.0)), F.lit(-1.0))
 
 
-def log_scale_metrics(df: DataFrame, by=("model",), groups: int | None = None) -> DataFrame:
+def log_scale_metrics(df: DataFrame, by=("model",)) -> DataFrame:
     """Metrics of log-scale ``y`` and ``yhat`` on the original scale, plus ``r2_log``."""
     by = list(by)
     rows = df.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).withColumn("yhat", bounded_log("yhat"))
@@ -69,7 +68,7 @@ def log_scale_metrics(df: DataFrame, by=("model",), groups: int | None = None) -
     )
     miss = F.col("log_y") - F.col("log_yhat")
     logs = {"_log_mse": F.avg(miss * miss), "_log_spread": F.var_pop("log_y")}
-    scored = error_metrics(both, by, clip_prediction=True, groups=groups, extra=logs)
+    scored = error_metrics(both, by, clip_prediction=True, extra=logs)
     return (
         scored.withColumnRenamed("r2", "r2_raw").withColumn("r2_log", _explained("_log_mse", "_log_spread"))
         .drop(*logs)

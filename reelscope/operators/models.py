@@ -38,7 +38,7 @@ def _boosted(loss: str, **fixed):
     def make(p: dict):
         return GBTRegressor(
             featuresCol="features", labelCol="y", predictionCol="yhat", lossType=loss, seed=SEED,
-            maxIter=p.get("trees", 500), stepSize=p.get("rate", 0.05), maxDepth=p.get("depth", 6),
+            maxIter=p.get("trees", 20), stepSize=p.get("rate", 0.2), maxDepth=p.get("depth", 5),
             minInstancesPerNode=p.get("leaf", 50), subsamplingRate=p.get("rows", 0.8),
             featureSubsetStrategy=str(p.get("columns", 0.8)), maxBins=p.get("bins", 64),
             cacheNodeIds=True, checkpointInterval=p.get("checkpoint", 10), **fixed,
@@ -48,8 +48,8 @@ def _boosted(loss: str, **fixed):
 
 def _forest(p: dict):
     return RandomForestRegressor(
-        featuresCol="features", labelCol="y", predictionCol="yhat", seed=SEED, numTrees=p.get("trees", 200),
-        maxDepth=p.get("depth", 15), minInstancesPerNode=p.get("leaf", 20), maxBins=p.get("bins", 64),
+        featuresCol="features", labelCol="y", predictionCol="yhat", seed=SEED, numTrees=p.get("trees", 40),
+        maxDepth=p.get("depth", 10), minInstancesPerNode=p.get("leaf", 20), maxBins=p.get("bins", 64),
         cacheNodeIds=True, checkpointInterval=p.get("checkpoint", 10), **({"leafCol": "leaf"} if p.get("leaves") else {}),
     )
 
@@ -61,7 +61,7 @@ def _linear(loss: str, penalty: float, mix: float, per_row: bool = False):
             strength = strength / max(p.get("n", 1), 1)
         return LinearRegression(
             featuresCol="features", labelCol="y", predictionCol="yhat", loss=loss, regParam=strength,
-            elasticNetParam=p.get("mix", mix), maxIter=p.get("trees", 100), solver="auto",
+            elasticNetParam=p.get("mix", mix), maxIter=p.get("iterations", 100), solver="auto",
         )
     return make
 
@@ -89,7 +89,7 @@ MODELS = {
 # other names under which a model may be asked for
 ALIASES = {
     "best": "gbt_mape", "lgbm_mape": "gbt_mape",
-    "xgboost": "gbt_mae", "xgb": "gbt_mae", "xgb_mape": "gbt_mae", "xgb_optuna": "gbt_mae",
+    "xgboost": "gbt_mae", "xgb": "gbt_mae", "xgb_mape": "gbt_mae",
     "lgbm_mse": "gbt_mse", "xgb_mse": "gbt_mse", "elasticnet": "elastic_net", "rf": "random_forest",
     "lgbm_quantile": "quantile_forest", "xgb_huber": "robust_huber",
 }
@@ -214,18 +214,22 @@ def run_models(frame: DataFrame, selection="best", params: dict | None = None) -
     names = model_registry(selection)
     parts = [fit_predict(n, train, test, params).select(F.lit(n).alias("model"), "y", "yhat") for n in names]
     scored = materialize(reduce(DataFrame.unionByName, parts), "predictions")
-    return log_scale_metrics(scored, groups=len(names))
+    return log_scale_metrics(scored)
 
 
 GBT_SPACE = {
-    "trees": ("int", 200, 1000), "rate": ("log", 0.01, 0.15), "depth": ("int", 5, 7), "leaf": ("int", 20, 100),
+    "trees": ("int", 10, 100), "rate": ("log", 0.05, 0.3), "depth": ("int", 5, 7), "leaf": ("int", 20, 100),
     "rows": ("float", 0.6, 1.0), "columns": ("float", 0.6, 1.0),
 }
 MAE_SPACE = {
-    "trees": ("int", 200, 800), "rate": ("log", 0.01, 0.15), "depth": ("int", 4, 10), "leaf": ("int", 1, 15),
+    "trees": ("int", 10, 80), "rate": ("log", 0.05, 0.3), "depth": ("int", 4, 10), "leaf": ("int", 1, 15),
     "rows": ("float", 0.6, 1.0), "columns": ("float", 0.6, 1.0),
 }
 
+LINEAR_SPACE = {"penalty": ("log", 1e-4, 1.0), "mix": ("float", 0.0, 1.0)}
+SPACES = {"gbt_mae": MAE_SPACE, "elastic_net": LINEAR_SPACE, "ridge": {"penalty": ("log", 1e-2, 1e4)},
+          "robust_huber": {"penalty": ("log", 1e-4, 1.0)}}
+
 
 def draw_trials(space: dict, trials: int, seed: int = SEED) -> list[dict]:
     """Seeded random parameter sets."""
@@ -252,7 +256,7 @@ def hyper_search(
     marked = materialize(splits.positional_split(train, head), "search")
     early, late = marked.where("is_head"), marked.where(~F.col("is_head"))
     found = []
-    for i, params in enumerate(draw_trials(space or GBT_SPACE, trials, seed)):
+    for i, params in enumerate(draw_trials(space or SPACES.get(name, GBT_SPACE), trials, seed)):
         smape = log_scale_metrics(fit_predict(name, early, late, params), by=()).select("smape").first()
         found.append((i, float(smape[0]) if smape else None, {k: float(x) for k, x in params.items()}))
     rows = F.array(*[
@@ -265,6 +269,19 @@ def hyper_search(
     return spark.range(1).select(F.inline(rows)).orderBy(F.asc_nulls_last("smape"), "trial")
 
 
+def refit_best(frame: DataFrame, trials: DataFrame, name: str = "gbt_mape") -> tuple[PipelineModel, DataFrame]:
+    """The best trial's model, fitted again on all training rows, and its leaderboard row on the others.
+
+    ``frame`` comes from :func:`training_frame`, ``trials`` from :func:`hyper_search` over its training rows.
+    """
+    best = trials.first().asDict()  # trials are ordered; one row per trial
+    whole = {k: a for k, (a, *_) in SPACES.get(name, GBT_SPACE).items() if a == "int"}
+    params = {k: int(x) if k in whole else x for k, x in best.items() if k not in ("trial", "smape")}
+    model = fit(name, frame.where("is_train"), params)
+    scored = predict(model, frame.where(~F.col("is_train"))).select(F.lit(f"{name}_tuned").alias("model"), "y", "yhat")
+    return model, log_scale_metrics(scored)
+
+
 def expanding_cv(
     v: DataFrame, name: str = "gbt_mape", k: int = 5, embargo_days: int = 0, params: dict | None = None,
     min_train: int = 100, min_test: int = 50, **options,
@@ -272,9 +289,11 @@ def expanding_cv(
     """Metrics per expanding fold; the encodings are fitted again on each fold's training rows."""
     rows = materialize(features(v, **options), "features")
     folds = splits.expanding_folds(rows, k, embargo_days, min_train, min_test).orderBy("fold").collect()  # at most k
-    if not folds:
-        raise ValueError("no fold has enough training and test rows")
-    parts = []
+    nothing = rows.limit(0).select(
+        F.lit(0).alias("fold"), F.lit(0).cast("long").alias("train_rows"), F.lit(0).cast("long").alias("test_rows"), "y",
+        F.col("y").alias("yhat"),
+    )
+    parts = [nothing]  # no fold with enough rows: an empty result
     for f in folds:
         early = F.col("create_date") <= F.lit(f.train_end)
         late = F.col("create_date").between(F.lit(f.test_start), F.lit(f.test_end))
@@ -285,4 +304,4 @@ def expanding_cv(
             F.lit(f.test_rows).alias("test_rows"), "y", "yhat",
         ))
     scored = materialize(reduce(DataFrame.unionByName, parts), "predictions")
-    return log_scale_metrics(scored, by=("fold", "train_rows", "test_rows"), groups=k)
+    return log_scale_metrics(scored, by=("fold", "train_rows", "test_rows"))

@@ -26,8 +26,13 @@ def time_cutoff(v: DataFrame, q: float = 0.8, date: str = "create_date") -> Data
     return placed.agg((low + (high - low) * part).alias("cutoff_day"))
 
 
-def time_split(v: DataFrame, q: float = 0.8, date: str = "create_date") -> DataFrame:
-    """Add ``is_train`` (on or before the cutoff); null for rows without a date."""
+def time_split(v: DataFrame, q: float = 0.8, date: str = "create_date", row_id: str = "video_id") -> DataFrame:
+    """Add ``is_train`` (on or before the cutoff); null for rows without a date.
+
+    Without any date, the first share ``q`` of the rows in the order of ``row_id`` is for training.
+    """
+    if v.where(F.col(date).isNotNull()).limit(1).count() == 0:
+        return positional_split(v, q, (date, row_id)).withColumnRenamed("is_head", "is_train")
     marked = attach_scalars(v, time_cutoff(v, q, date), "_cut")
     return marked.withColumn("is_train", F.unix_date(date) <= F.col("_cut.cutoff_day")).drop("_cut")
 

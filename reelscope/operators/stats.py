@@ -13,7 +13,8 @@ from pyspark.sql.types import DoubleType
 
 from reelscope.functions.columns import num
 from reelscope.functions.fixed_values import EMOTIONS, TARGET
-from reelscope.operators.distribution import lookup_join, rank_counts, value_bucket
+from reelscope.operators.distribution import lookup_join, rank_counts, with_ranges
+from reelscope.sources.tables import materialize
 
 HEATMAP_COLUMNS = (*EMOTIONS, "duration", "speaking_rate", "follower_count", "plays_day30")
 
@@ -81,17 +82,17 @@ def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_row
     values and return by a lookup that spreads heavy ties, so no feature is sorted in one task.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), num(c).alias("x")) for c in columns])
-    pairs = (
+    pairs = materialize(
         v.where(F.col(target).isNotNull())
         .select(num(target).alias("y"), F.inline(cells))
         .where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")),
+        "spearman-pairs",
     )
 
     def ranks(axis: str) -> DataFrame:
-        counted = (
-            pairs.groupBy("feature", F.col(axis).alias("v")).agg(F.sum("n").alias("n"))
-            .withColumn("bucket", value_bucket(F.col("v")))
+        counted = with_ranges(
+            pairs.groupBy("feature", F.col(axis).alias("v")).agg(F.sum("n").alias("n")), ["feature"]
         )
         table = rank_counts(counted, ["feature"])
         return table.select(
@@ -99,8 +100,8 @@ def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_row
             ((F.col("avg_rank") - F.lit(0.5)) / F.col("total") - F.lit(0.5)).alias(f"r_{axis}"),
         )
 
-    at_x = lookup_join(pairs, ranks("x"), ["feature", "x"], "n_x", F.col("y"))
-    at_xy = lookup_join(at_x, ranks("y"), ["feature", "y"], "n_y", F.col("x"))
+    at_x = lookup_join(pairs, ranks("x"), ["feature", "x"], "n_x")
+    at_xy = lookup_join(at_x, ranks("y"), ["feature", "y"], "n_y")
     n = F.col("n")
     sums = at_xy.groupBy("feature").agg(
         F.sum(n).alias("n"),
@@ -192,12 +193,14 @@ def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return beta, spread, sse
 
 
-def _unit_root(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Augmented Dickey-Fuller regression of one topic's daily series, lag count by AIC."""
+def _unit_root(pdf: pd.DataFrame, max_lags: int | None = None) -> pd.DataFrame:
+    """Augmented Dickey-Fuller regression of one topic's daily series, lag count by AIC, ``max_lags`` at most."""
     pdf = pdf.sort_values("date")
     y = pdf["value"].to_numpy(dtype=float)
     n = len(y)
     most = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+    if max_lags is not None:
+        most = min(most, max_lags)
     topic = pdf["topic"].iloc[0]
     if most < 0 or np.ptp(y) == 0:
         return pd.DataFrame({"topic": [topic], "statistic": [np.nan], "p_value": [np.nan], "lags": [0], "n_used": [0]})
@@ -224,9 +227,9 @@ def _unit_root(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def adf_test(series: DataFrame, value: str = "value") -> DataFrame:
+def adf_test(series: DataFrame, value: str = "value", max_lags: int | None = None) -> DataFrame:
     """``topic, statistic, p_value, lags, n_used``; one small task per topic, bounded by its days."""
     rows = series.where(F.col(value).isNotNull()).select("topic", "date", num(value).alias("value"))
     return rows.groupBy("topic").applyInPandas(
-        _unit_root, "topic string, statistic double, p_value double, lags int, n_used int"
+        lambda pdf: _unit_root(pdf, max_lags), "topic string, statistic double, p_value double, lags int, n_used int"
     )

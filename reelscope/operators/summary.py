@@ -27,15 +27,14 @@ def snapshot_filter(engagement: DataFrame, days=SNAPSHOT_DAYS) -> DataFrame:
 def pivot_snapshots(engagement: DataFrame, days=SNAPSHOT_DAYS, counters=("plays", "likes", "comments", "shares")):
     """One row per video: ``{counter}_day{d}`` and ``date_day0``.
 
-    One aggregate over the snapshot rows; per day the smallest ``(date, counters…)`` row counts.  The
-    minimum ignores copies, so rows may come in before or after deduplication (``days_since_post``
-    is taken to follow from video and date).
+    ``engagement`` has one row per video and date (:func:`cleaning.clean_engagement`).  One hash aggregate over the
+    snapshot rows; if several dates of a video say the same day, the largest counter and the first date count.
     """
-    row = F.struct("date", *[F.col(COUNTERS[c]).alias(c) for c in counters])
-    picks = [F.min(F.when(F.col("days_since_post") == d, row)).alias(f"_{d}") for d in days]
-    wide = snapshot_filter(engagement, days).groupBy("video_id").agg(*picks)
-    cells = [F.col(f"_{d}.{c}").alias(f"{c}_day{d}") for d in days for c in counters]
-    return wide.select("video_id", F.col("_0.date").alias("date_day0"), *cells)
+    cells = [
+        F.max(F.when(F.col("days_since_post") == d, F.col(COUNTERS[c]))).alias(f"{c}_day{d}") for d in days for c in counters
+    ]
+    started = F.min(F.when(F.col("days_since_post") == 0, F.col("date"))).alias("date_day0")
+    return snapshot_filter(engagement, days).groupBy("video_id").agg(started, *cells)
 
 
 def day0_meta(videos: DataFrame, snapshots: DataFrame, creator: DataFrame) -> DataFrame:
@@ -105,8 +104,7 @@ def creator_stats(v: DataFrame) -> DataFrame:
 
 def join_creator_stats(v: DataFrame, stats: DataFrame) -> DataFrame:
     """Add the author's statistics; an author with a large share of all videos stays spread out."""
-    weighted = stats.withColumn("_weight", F.col("creator_video_count"))
-    return lookup_join(v, weighted, ["author_id"], "_weight", "video_id")
+    return lookup_join(v, stats, ["author_id"])
 
 
 def creator_stats_prior(v: DataFrame) -> DataFrame:
@@ -124,7 +122,7 @@ def creator_stats_prior(v: DataFrame) -> DataFrame:
         F.try_divide(F.sum("_s").over(earlier).cast("double"), F.sum("_k").over(earlier)).alias("prior_avg_plays30"),
         F.col("_n").alias("_weight"),
     )
-    return lookup_join(v, prior, ["author_id", "create_date"], "_weight", "video_id")
+    return lookup_join(v, prior, ["author_id", "create_date"], "_weight")
 
 
 def derive(v: DataFrame) -> DataFrame:
@@ -136,7 +134,7 @@ def derive(v: DataFrame) -> DataFrame:
 
 def video_base(videos: DataFrame, engagement: DataFrame, creator: DataFrame) -> DataFrame:
     """Summary before the creator statistics; takes raw tables."""
-    snapshots = pivot_snapshots(cleaning.cast_dates(cleaning.valid_days(engagement), "date"))
+    snapshots = pivot_snapshots(cleaning.clean_engagement(engagement))
     meta = day0_meta(cleaning.clean_videos(videos), snapshots, cleaning.clean_creator(creator))
     return penetration_rate(derive(meta)).drop("date_day0")
 

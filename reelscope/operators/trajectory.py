@@ -26,20 +26,17 @@ def panel_trajectory(engagement: DataFrame, steps=PANEL_DAYS) -> DataFrame:
 
     Before the first or after the last observation the nearest observed value is used.
     """
-    seen = engagement.groupBy("video_id", F.col("days_since_post").cast("int").alias("day")).agg(
-        F.max("play_count").cast("double").alias("plays")
-    )
+    point = F.struct(F.col("days_since_post").cast("int").alias("day"), F.col("play_count").cast("double").alias("plays"))
+    known = F.when(F.col("days_since_post").isNotNull() & F.col("play_count").isNotNull(), point)
+    # a set per video: its days are few, and copies of a row collapse before the shuffle
+    seen = engagement.groupBy("video_id").agg(F.collect_set(known).alias("_seen"))
     wanted = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(d).alias("day")) for i, d in enumerate(steps)])
-    spine = seen.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")).select("video_id", F.inline(wanted))
-    points = spine.join(seen, ["video_id", "day"], "full_outer")
-    by_day = Window.partitionBy("video_id").orderBy("day")
-    back = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = by_day.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    known = F.when(F.col("plays").isNotNull(), F.struct("day", "plays"))
-    near = (
-        points.withColumn("_a", F.last(known, True).over(back))
-        .withColumn("_b", F.first(known, True).over(ahead))
-        .where(F.col("step").isNotNull())
+    points = seen.select("video_id", "_seen", F.inline(wanted))
+    later = F.filter("_seen", lambda x: x["day"] >= F.col("day"))
+    near = points.withColumn(
+        "_a", F.array_max(F.filter("_seen", lambda x: x["day"] <= F.col("day")))
+    ).withColumn("_next", F.array_min(F.transform(later, lambda x: x["day"]))).withColumn(
+        "_b", F.array_max(F.filter("_seen", lambda x: x["day"] == F.col("_next")))
     )
     gap = (F.col("_b.day") - F.col("_a.day")).cast("double")
     share = F.try_divide((F.col("day") - F.col("_a.day")).cast("double"), gap)

@@ -436,7 +436,7 @@ joined AS (SELECT v.video_id, v.music_selected_from, v.hashtag_count, s.plays_da
 
 ENGAGEMENT_COLUMNS = "video_id, date, CAST(days_since_post AS BIGINT) AS days_since_post, play_count, like_count, comment_count, share_count"
 
-_SAMPLE_ORDER = "(video_id * 2654435761) % 2147483648"
+_SAMPLE_ORDER = "(video_id % 2147483648 * 2654435761) % 2147483648"
 
 _LAGS = ", ".join(f"sum(d * lead_{k}) AS p{k}" for k in range(21))
 _LEADS = ", ".join(f"lead(d, {k}) OVER (PARTITION BY topic ORDER BY date) AS lead_{k}" for k in range(21))
@@ -543,7 +543,7 @@ FROM authors WHERE primary_topic IS NOT NULL GROUP BY primary_topic"""
     out["hashtag_payoff"] = q(JOINED + f",\nb AS (SELECT *, {bucket_case('coalesce(hashtag_count, 0)', fixed.HASHTAG_BUCKETS)} AS bucket FROM joined)",
         _payoff(f"(SELECT labels.hashtag_bucket, b.* FROM {label_values('hashtag_bucket', [x[0] for x in fixed.HASHTAG_BUCKETS])} LEFT JOIN b ON b.bucket = labels.hashtag_bucket) t", "hashtag_bucket"))
     out["music_payoff"] = q(JOINED, _payoff(f"(SELECT *, {_music()} AS music_category FROM joined) t", "music_category"))
-    out["semi_join_sample"] = q(SUMMARY + f",\npicked AS (SELECT video_id FROM summary ORDER BY {_SAMPLE_ORDER}, video_id LIMIT 1500)", f"SELECT {ENGAGEMENT_COLUMNS} FROM engagement_daily WHERE video_id IN (SELECT video_id FROM picked)")
+    out["semi_join_sample"] = q(RAW + f",\npicked AS (SELECT video_id FROM (SELECT DISTINCT video_id FROM engagement_daily WHERE days_since_post = 0) ORDER BY {_SAMPLE_ORDER}, video_id LIMIT 1500)", f"SELECT {ENGAGEMENT_COLUMNS} FROM engagement_daily WHERE video_id IN (SELECT video_id FROM picked)")
     out["archetype_assign"] = q(ASSIGNED, "SELECT video_id, archetype, " + ", ".join(f"day_{d}" for d in fixed.CURVE_DAYS) + " FROM assigned")
     out["archetype_shares"] = q(ASSIGNED, f"SELECT archetype, count(*) AS video_count, CAST((SELECT count(*) FROM assigned) AS BIGINT) AS sample_size, {r6('count(*) * 100.0 / (SELECT count(*) FROM assigned)', 'share_pct')} FROM assigned GROUP BY archetype")
     out["archetype_curves"] = q(ASSIGNED, " UNION ALL ".join(f"SELECT archetype, CAST({d} AS BIGINT) AS day, {r6(f'median(day_{d} / CAST(day_30 AS DOUBLE))', 'median_norm')} FROM assigned GROUP BY archetype HAVING count(day_{d}) > 0" for d in fixed.CURVE_DAYS))
@@ -566,7 +566,7 @@ UNION ALL SELECT 'topic_archetypes', count(DISTINCT s.topic) FROM assigned a JOI
     out["sink_bundle"] = out["topic_counts"]
     out["topic_trajectory_medians"] = q(SUMMARY, "SELECT topic, " + ", ".join(r6(f"median(plays_day{d})", f"median_plays_day{d}") for d in (0, 1, 3, 30)) + " FROM summary WHERE topic IS NOT NULL GROUP BY topic")
     out["distinct_values"] = q(SUMMARY, "SELECT DISTINCT topic FROM summary WHERE topic IS NOT NULL")
-    out["deterministic_sample"] = q(SUMMARY, f"SELECT video_id, topic, plays_day30 FROM summary ORDER BY {_SAMPLE_ORDER}, video_id LIMIT 3000")
+    out["deterministic_sample"] = q(SUMMARY, f"SELECT video_id, topic, plays_day30 FROM summary ORDER BY {_SAMPLE_ORDER}, video_id LIMIT 500")
     out["library_search"] = q(SUMMARY, f"SELECT topic, {r6s('duration')}, plays_day1, plays_day3, plays_day30, incr_plays_3_30 FROM summary WHERE duration >= 5 AND duration <= 60 AND plays_day30 >= 1000 ORDER BY video_id LIMIT 50")
     out["head_n"] = q(SUMMARY, "SELECT video_id, topic, plays_day0, plays_day1, plays_day3, plays_day7, plays_day30, incr_plays_3_30 FROM summary ORDER BY video_id LIMIT 4")
 
@@ -577,6 +577,18 @@ UNION ALL SELECT 'topic_archetypes', count(DISTINCT s.topic) FROM assigned a JOI
     out["spearman_report"] = q(SPEARMAN, f"SELECT feature, n, {r6s('rho')} FROM rhos")
     out["top_k_features"] = q(SPEARMAN, f"SELECT feature, n, {r6s('rho')} FROM rhos WHERE rho IS NOT NULL ORDER BY abs(rho) DESC, feature LIMIT 20")
     out["acf"] = q(TOPICS + f",\naway AS (SELECT topic, date, total_plays - avg(total_plays) OVER (PARTITION BY topic) AS d FROM topics WHERE topic IS NOT NULL),\nleads AS (SELECT topic, d, {_LEADS} FROM away),\nsums AS (SELECT topic, count(*) AS n, {_LAGS} FROM leads GROUP BY topic)", _ACF_ROWS)
+    scaled = ", ".join(f"p{k} / p0 * n / (n - {k}) AS r{k}" for k in (1, 2, 3))
+    three = (
+        "((r3 - r2 * r1) - r1 * (r1 * r3 - r2 * r2) + r1 * (r1 * r1 - r2))"
+        " / ((1 - r1 * r1) - r1 * (r1 - r1 * r2) + r2 * (r1 * r1 - r2))"
+    )
+    first = ((0, "1.0"), (1, "r1"), (2, "(r2 - r1 * r1) / (1 - r1 * r1)"), (3, three))
+    out["pacf_first_lags"] = q(
+        TOPICS + f",\naway AS (SELECT topic, date, total_plays - avg(total_plays) OVER (PARTITION BY topic) AS d FROM topics WHERE topic IS NOT NULL),\nleads AS (SELECT topic, d, {_LEADS} FROM away),\nsums AS (SELECT topic, count(*) AS n, {_LAGS} FROM leads GROUP BY topic),\nscaled AS (SELECT topic, n, {scaled} FROM sums)",
+        " UNION ALL ".join(f"SELECT topic, CAST({k} AS BIGINT) AS lag, {r6(e, 'pacf')} FROM scaled WHERE n >= {2 * k}" for k, e in first))
+    out["adf_zero_lags"] = q(
+        TOPICS + ",\ndiffs AS (SELECT topic, CAST(total_plays AS DOUBLE) - lag(CAST(total_plays AS DOUBLE)) OVER w AS d, lag(CAST(total_plays AS DOUBLE)) OVER w AS x FROM topics WHERE topic IS NOT NULL AND total_plays IS NOT NULL WINDOW w AS (PARTITION BY topic ORDER BY date)),\nfits AS (SELECT topic, count(*) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) - regr_slope(d, x) * regr_sxy(d, x) AS sse FROM diffs WHERE x IS NOT NULL GROUP BY topic)",
+        f"SELECT topic, {r6('b / sqrt(sse / (n - 2) / sxx)', 'statistic')}, n AS n_used FROM fits WHERE n >= 3 AND sxx > 0")
 
     # ranks, encoding, splits
     out["global_rank_pct"] = q(SUMMARY, f"SELECT video_id, {pick(RANKS)} FROM summary")
@@ -599,7 +611,6 @@ FROM tr a LEFT JOIN tr b ON a.author_id = b.author_id AND a.f <> b.f GROUP BY a.
     out["features_v3"] = feature_sql("v3")
     out["features_gpu_variant"] = feature_sql("gpu")
     out["coerce_numeric"] = q(RAW, "SELECT video_id, coalesce(try_cast(music_selected_from AS DOUBLE), 0) + 0.0 AS music_number, coalesce(try_cast(CAST(duration AS VARCHAR) AS DOUBLE), 0) + 0.0 AS duration_number FROM videos")
-    out["numeric_columns"] = q(RAW, f"SELECT column_name FROM (VALUES {', '.join(f'({text(c)})' for c in NUMERIC)}) AS t(column_name)")
 
     levels = ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
     flags = {f"topic_{t}": f"CASE WHEN topic = {text(t)} THEN 1 ELSE 0 END" for t in levels}

@@ -18,8 +18,6 @@ from reelscope.sources import tables
 
 IMPUTED = ("duration", *fixed.TEXT_COLUMNS, *fixed.EMOTIONS)
 # small settings for the registered model runs; the functions default to full-size models
-QUICK = {"trees": 8, "rate": 0.1, "depth": 4, "leaf": 20, "bins": 32}
-QUICK_FOREST = {"trees": 10, "depth": 6, "leaf": 20, "bins": 32}
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -80,8 +78,7 @@ def base(ws: Workspace) -> DataFrame:
 
 
 def snapshots(ws: Workspace, days=fixed.SNAPSHOT_DAYS, counters=("plays", "likes", "comments", "shares")):
-    engagement = cleaning.cast_dates(cleaning.valid_days(ws.engagement), "date")
-    return summary.pivot_snapshots(engagement, days, counters)
+    return summary.pivot_snapshots(cleaning.clean_engagement(ws.engagement), days, counters)
 
 
 def rename_pivot(ws: Workspace):
@@ -144,11 +141,12 @@ def assigned(ws: Workspace):
 
 
 def sample_order():
-    return (F.col("video_id") * F.lit(2654435761)) % F.lit(1 << 31)
+    return (F.col("video_id") % F.lit(1 << 31) * F.lit(2654435761)) % F.lit(1 << 31)
 
 
 def semi_join_sample(ws: Workspace):
-    sample = profiles.deterministic_sample(ws.summary, 1500, "video_id", order=sample_order())
+    started = cleaning.valid_days(ws.engagement).where("days_since_post = 0").select("video_id").distinct()
+    sample = profiles.deterministic_sample(started, 1500, "video_id", order=sample_order())
     rows = cleaning.cast_dates(ws.engagement, "date")
     return strategy.semi_join_sample(rows, sample)
 
@@ -197,11 +195,6 @@ def coerce_numeric(ws: Workspace):
     return features.coerce_numeric(rows, ["music_number", "duration_number"])
 
 
-def numeric_columns(ws: Workspace):
-    names = features.numeric_columns(ws.summary)
-    return C.label_table(ws.spark, "column_name", names).select("column_name")
-
-
 def rank_columns(ws: Workspace, by_topic: bool):
     ranks = features.rank_features(ws.summary)
     names = [c for c in ranks.columns if ("topic_rank" in c) == by_topic and c != "video_id"]
@@ -238,7 +231,7 @@ def naive_scale(ws: Workspace):
 def log_scale_metrics(ws: Workspace):
     level = F.log1p(C.zero("plays_day3"))
     v = ws.summary.select(features.log_target().alias("y"), level.alias("up"), (-level).alias("down"))
-    return metrics.log_scale_metrics(metrics.long_predictions(v, "y", {"day 3 level": "up", "negative": "down"}), groups=2)
+    return metrics.log_scale_metrics(metrics.long_predictions(v, "y", {"day 3 level": "up", "negative": "down"}))
 
 
 def trend_metrics(ws: Workspace):
@@ -270,36 +263,34 @@ def training(ws: Workspace) -> DataFrame:
     return ws.cached("training", lambda: models.training_frame(ws.summary), frame=False)
 
 
-def model_run(name: str, params: dict):
+def model_run(name: str):
     def run(ws: Workspace):
         frame = training(ws)
-        return models.fit_predict(name, frame.where("is_train"), frame.where(~F.col("is_train")), params)
+        return models.fit_predict(name, frame.where("is_train"), frame.where(~F.col("is_train")))
     return run
 
 
 def quantile_forest(ws: Workspace):
     frame = training(ws)
-    forest = models.fit_quantile_forest(frame.where("is_train"), QUICK_FOREST)
+    forest = models.fit_quantile_forest(frame.where("is_train"))
     return forest.predict(frame.where(~F.col("is_train")))
 
 
 def hyper_search(ws: Workspace):
-    space = {"trees": ("int", 4, 8), "rate": ("log", 0.05, 0.2), "depth": ("int", 3, 4)}
-    return models.hyper_search(training(ws).where("is_train"), "gbt_mape", space, trials=2)
+    return models.hyper_search(training(ws).where("is_train"), "elastic_net")
 
 
 def expanding_cv(ws: Workspace):
-    small = {"trees": 4, "depth": 3, "leaf": 5, "bins": 32}
-    return models.expanding_cv(ws.summary, "gbt_mse", 3, params=small, min_train=50, min_test=10)
+    return ws.cached("expanding_cv", lambda: models.expanding_cv(ws.summary, "elastic_net"))
 
 
 def feature_importance(ws: Workspace):
     train = training(ws).where("is_train")
-    return models.feature_importance(models.fit("gbt_mse", train, QUICK), train)
+    return models.feature_importance(models.fit("gbt_mse", train), train)
 
 
 def model_registry(ws: Workspace):
-    return models.run_models(training(ws), ["elasticnet", "ridge"], {"trees": 20})
+    return models.run_models(training(ws), "all")
 
 
 # --- decisions ---------------------------------------------------------------------------------------
@@ -350,13 +341,13 @@ def topic_profiles(ws: Workspace):
 
 
 def profile_lookup(ws: Workspace):
-    found = decisions.profile_lookup(drafts(ws).select("draft_id", "topic"), topic_profiles(ws), "draft_id")
+    found = decisions.profile_lookup(drafts(ws).select("draft_id", "topic"), topic_profiles(ws))
     return found.select("draft_id", "topic", "median_duration", "p25_duration", "p75_duration")
 
 
 def draft_tips(ws: Workspace):
     filled = decisions.draft_defaults(drafts(ws)).select("draft_id", "topic", "duration", "hook", "speaking_rate")
-    placed = decisions.profile_lookup(filled, topic_profiles(ws), "draft_id", fallback=None)
+    placed = decisions.profile_lookup(filled, topic_profiles(ws), fallback=None)
     return decisions.draft_tips(placed)
 
 
@@ -379,7 +370,7 @@ def bundle(ws: Workspace) -> dict:
         folder = os.path.join(ws.folder, "scoring_bundle")
         return tables.reuse_bundle(
             ws.spark, folder, scoring.BUNDLE_TABLES,
-            lambda: scoring.train_bundle(ws.summary, QUICK, QUICK_FOREST), scoring.BUNDLE_MODELS,
+            lambda: scoring.train_bundle(ws.summary), scoring.BUNDLE_MODELS,
         )
 
     return ws.cached("bundle", load, frame=False)
@@ -392,6 +383,25 @@ def score_drafts(ws: Workspace):
     )
 
 
+def live_posts(ws: Workspace):
+    return ws.summary.select("video_id", "topic", *scoring.LIVE_COUNTERS)
+
+
+def live_check(ws: Workspace):
+    decided, _ = scoring.live_check(live_posts(ws), bundle(ws))
+    return decided.select("video_id", "pred_median", "score", "status", "recommendation")
+
+
+def live_curve(ws: Workspace):
+    return scoring.live_check(live_posts(ws), bundle(ws))[1]
+
+
+def hyper_search_refit(ws: Workspace):
+    frame = training(ws)
+    trials = models.hyper_search(frame.where("is_train"), "ridge")
+    return models.refit_best(frame, trials, "ridge")[1]
+
+
 def rank_ideas(ws: Workspace):
     ideas = drafts(ws).select(
         "draft_id", "topic", F.col("duration").alias("length"), "hook", F.col("follower_count").alias("followers")
@@ -538,7 +548,7 @@ QUERIES = {
     "topic_trajectory_medians": lambda ws: profiles.topic_trajectory_medians(ws.summary),
     "distinct_values": lambda ws: tables.distinct_values(ws.summary, "topic"),
     "deterministic_sample": lambda ws: profiles.deterministic_sample(
-        ws.summary, 3000, "video_id", order=sample_order()
+        ws.summary, 500, "video_id", order=sample_order()
     ).select("video_id", "topic", "plays_day30"),
     "library_search": lambda ws: profiles.library_search(ws.summary, (5, 60), 1000, labels=False),
     "head_n": lambda ws: tables.head_rows(ws.summary, ["video_id"], 4).select(
@@ -552,7 +562,11 @@ QUERIES = {
     ),
     "acf": lambda ws: stats.acf(play_series(ws)),
     "pacf": lambda ws: stats.pacf(play_series(ws)),
+    "pacf_first_lags": lambda ws: stats.pacf(play_series(ws)).where("lag <= 3"),
     "adf_test": lambda ws: stats.adf_test(play_series(ws)),
+    "adf_zero_lags": lambda ws: stats.adf_test(play_series(ws), max_lags=0).where("n_used > 0").select(
+        "topic", "statistic", "n_used"
+    ),
     "global_rank_pct": lambda ws: rank_columns(ws, False),
     "topic_rank_pct": lambda ws: rank_columns(ws, True),
     "time_split_cutoff": lambda ws: splits.time_split(ws.summary).select("video_id", "is_train"),
@@ -575,7 +589,6 @@ QUERIES = {
     "feat_v1": feat_v1,
     "one_hot_topic": one_hot_topic,
     "coerce_numeric": coerce_numeric,
-    "numeric_columns": numeric_columns,
     "baseline_mean": lambda ws: baselines.baseline_mean(ws.summary),
     "baseline_day3_ratio": lambda ws: baselines.baseline_day3_ratio(ws.summary),
     "baseline_velocity": lambda ws: baselines.baseline_velocity(ws.summary),
@@ -583,19 +596,20 @@ QUERIES = {
     "error_metrics": lambda ws: baselines.run_baselines(ws.summary),
     "log_scale_metrics": log_scale_metrics,
     "cv_summary": lambda ws: metrics.cv_summary(baselines.run_baselines(ws.summary), ("rmse", "smape")),
+    "cv_summary_folds": lambda ws: metrics.cv_summary(expanding_cv(ws)),
     "leaderboard_union": board,
     "leaderboard_sort": leaderboard_sort,
     "track_leaderboards": track_leaderboards,
     "forecast_trend_weekly": lambda ws: forecast.forecast_trend_weekly(series(ws)),
     "forecast_seasonal_ar": lambda ws: forecast.forecast_seasonal_ar(series(ws)),
     "forecast_metrics": lambda ws: forecast.forecast_metrics(series(ws)),
-    "gbt_mape": model_run("gbt_mape", QUICK),
-    "gbt_mae": model_run("gbt_mae", QUICK),
-    "gbt_mse": model_run("gbt_mse", QUICK),
-    "random_forest": model_run("random_forest", QUICK_FOREST),
-    "elastic_net": model_run("elastic_net", {"trees": 50}),
-    "ridge": model_run("ridge", {"trees": 50}),
-    "robust_huber": model_run("robust_huber", {"trees": 50}),
+    "gbt_mape": model_run("gbt_mape"),
+    "gbt_mae": model_run("gbt_mae"),
+    "gbt_mse": model_run("gbt_mse"),
+    "random_forest": model_run("random_forest"),
+    "elastic_net": model_run("elastic_net"),
+    "ridge": model_run("ridge"),
+    "robust_huber": model_run("robust_huber"),
     "quantile_forest": quantile_forest,
     "hyper_search": hyper_search,
     "expanding_cv": expanding_cv,
@@ -613,6 +627,9 @@ QUERIES = {
     "level_maps": level_maps,
     "score_drafts": score_drafts,
     "rank_ideas": rank_ideas,
+    "live_check": live_check,
+    "live_curve": live_curve,
+    "hyper_search_refit": hyper_search_refit,
     "math_functions": math_functions,
     "date_functions": date_functions,
     "string_functions": string_functions,

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.functions import fixed_values as fixed
+from reelscope.functions.columns import num
 from reelscope.operators import decisions, encoding, models, profiles
 from reelscope.operators.features import feature_medians
+from reelscope.operators.metrics import log_scale_metrics
+from reelscope.sources.tables import materialize
 
-BUNDLE_TABLES = ("centers", "topic_encoding", "topic_profiles", "importances", "leaves")
+BUNDLE_TABLES = ("centers", "topic_encoding", "topic_profiles", "importances", "leaves", "holdout")
 BUNDLE_MODELS = ("point_model", "forest_model")
+LIVE_COUNTERS = ("plays_day0", "plays_day1", "plays_day3", "likes_day3")
 
 
 def train_bundle(v: DataFrame, params: dict | None = None, forest: dict | None = None) -> dict:
@@ -29,6 +34,7 @@ def train_bundle(v: DataFrame, params: dict | None = None, forest: dict | None =
         "point_model": point, "forest_model": spread.model, "leaves": spread.leaves, "centers": centers,
         "topic_encoding": fitted, "topic_profiles": profiles.topic_profile(v),
         "importances": models.feature_importance(point, v),
+        "holdout": log_scale_metrics(models.predict(point, frame.where(~F.col("is_train"))), by=()),
     }
 
 
@@ -39,7 +45,7 @@ def score_drafts(drafts: DataFrame, bundle: dict, row_id: str = "draft_id") -> D
     point, forest = bundle["point_model"], bundle["forest_model"]
     inputs = point.stages[0].getInputCols()
     filled = decisions.draft_defaults(drafts)
-    known = lookup_join(filled, bundle["topic_encoding"], ["topic"], "rows", row_id).withColumnRenamed(
+    known = lookup_join(filled, bundle["topic_encoding"].drop("rows"), ["topic"]).withColumnRenamed(
         "encoding", "topic_te"
     )
     if "author_te" in known.columns:
@@ -53,9 +59,25 @@ def score_drafts(drafts: DataFrame, bundle: dict, row_id: str = "draft_id") -> D
     return decisions.bounded_forecast(rows, "_median", "p10", "p90").drop("_median", "p10", "p90")
 
 
+def live_check(posts: DataFrame, bundle: dict, row_id: str = "video_id") -> tuple[DataFrame, DataFrame]:
+    """Decisions and forecast curves of running posts (``row_id, topic, plays_day0/1/3, likes_day3``).
+
+    A post is scored as a draft with a creator median of 0.8 of its day-3 plays and 25,000 followers; the predicted
+    gain, not the observed one, decides the triage and draws the curve.
+    """
+    drafts = posts.select(
+        row_id, "topic", *[F.coalesce(num(c), F.lit(0.0)).alias(c) for c in LIVE_COUNTERS]
+    ).withColumns({
+        "creator_median_plays30": F.col("plays_day3") * F.lit(fixed.LIVE_MEDIAN_OF_DAY3),
+        "follower_count": F.lit(fixed.LIVE_FOLLOWERS),
+    })
+    scored = materialize(score_drafts(drafts, bundle, row_id), "live")
+    return decisions.triage_score(scored, "pred_median"), decisions.forecast_curve(scored, (row_id,))
+
+
 def rank_ideas(ideas: DataFrame, bundle: dict, row_id: str = "draft_id") -> DataFrame:
     """Score a backlog of ideas and put it in order of expected views."""
     drafts = decisions.idea_inputs(ideas)
-    placed = decisions.profile_lookup(drafts, bundle["topic_profiles"].select("topic", "video_count"), row_id)
+    placed = decisions.profile_lookup(drafts, bundle["topic_profiles"].select("topic", "video_count"))
     scored = score_drafts(placed.drop("video_count"), bundle, row_id)
     return decisions.idea_table(scored, row_id)

@@ -9,7 +9,6 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 RAW_TABLES = ("videos", "engagement_daily", "creator_daily")
 SUMMARY_TABLE = "processed_video_30d"
@@ -53,7 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     named = tempfile.mkdtemp(prefix="reelscope-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -97,19 +96,26 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct()
 
 
+#: Written after everything else, so a bundle that broke off is built again.
+BUNDLE_MARK = "complete"
+
+
 def head_rows(df: DataFrame, order: list, n: int) -> DataFrame:
     """First ``n`` rows of a total order (a per-task top-n, not a full sort)."""
     return df.orderBy(*order).limit(n)
 
 
 def sink_bundle(parts: dict, folder: str) -> None:
-    """Write a bundle of DataFrames (parquet) and fitted pipelines (model folders)."""
+    """Write a bundle of DataFrames (parquet) and fitted pipelines (model folders), and a marker last."""
+    spark = SparkSession.getActiveSession()
     for name, part in parts.items():
         target = os.path.join(folder, name)
         if isinstance(part, DataFrame):
             part.write.mode("overwrite").parquet(target)
         else:
             part.write().overwrite().save(target)
+        spark = part.sparkSession if isinstance(part, DataFrame) else spark
+    spark.range(1).write.mode("overwrite").parquet(os.path.join(folder, BUNDLE_MARK))
 
 
 def load_bundle(spark: SparkSession, folder: str, names, models=()) -> dict:
@@ -120,12 +126,7 @@ def load_bundle(spark: SparkSession, folder: str, names, models=()) -> dict:
 
 def reuse_bundle(spark: SparkSession, folder: str, names, build, models=(), force: bool = False) -> dict:
     """Load a bundle if it is there; otherwise (or with ``force``) build and write it first."""
-    if not force:
-        try:
-            return load_bundle(spark, folder, names, models)
-        except Exception as error:  # nothing there yet: a missing path; anything else is a real failure
-            missing = isinstance(error, AnalysisException) or "does not exist" in str(error)
-            if not missing:
-                raise
-    sink_bundle(build(), folder)
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, BUNDLE_MARK, "_SUCCESS"))
+    if force or not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        sink_bundle(build(), folder)
     return load_bundle(spark, folder, names, models)

@@ -76,7 +76,7 @@ def test_tips(spark):
 def test_unknown_topic_becomes_the_fallback(spark):
     profiles = spark.createDataFrame([("A", 5, 1.0), ("Others", 9, 2.0)], "topic string, video_count long, median_duration double")
     df = spark.createDataFrame([(1, "A"), (2, "?"), (3, None)], "draft_id int, topic string")
-    got = {r.draft_id: (r.topic, r.median_duration) for r in decisions.profile_lookup(df, profiles, "draft_id").collect()}
+    got = {r.draft_id: (r.topic, r.median_duration) for r in decisions.profile_lookup(df, profiles).collect()}
     assert got == {1: ("A", 1.0), 2: ("Others", 2.0), 3: ("Others", 2.0)}
 
 

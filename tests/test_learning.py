@@ -188,8 +188,33 @@ def table(spark):
 @pytest.mark.parametrize("name", ["gbt_mape", "gbt_mse", "elastic_net", "ridge", "robust_huber"])
 def test_models_beat_the_mean(table, name):
     params = {"trees": 15, "rate": 0.3, "depth": 3, "leaf": 10, "bins": 32, "penalty": 0.001}
-    rows = models.fit_predict(name, table, table, params).withColumn("model", F.lit(name))
-    assert metrics.error_metrics(rows).first().r2 > 0.5
+    train, test = table.where("video_id % 3 > 0"), table.where("video_id % 3 = 0")
+    rows = models.fit_predict(name, train, test, params).withColumn("model", F.lit(name))
+    assert rows.count() == 200 and metrics.error_metrics(rows).first().r2 > 0.5
+
+
+def test_ridge_equals_normal_equations(table):
+    model = models.fit("ridge", table, {"penalty": 5.0})
+    got = models.predict(model, table).orderBy("video_id").toPandas()
+    pdf = table.toPandas().sort_values("video_id")
+    x = pdf[["a", "b"]].to_numpy()
+    spread, center = x.std(axis=0, ddof=1), x.mean(axis=0)
+    z, y = (x - center) / spread, pdf["y"].to_numpy()
+    n = len(y)
+    scale = y.std(ddof=1)
+    beta = np.linalg.solve(z.T @ z / n + 5.0 / n * np.eye(2), z.T @ ((y - y.mean()) / scale) / n) * scale
+    np.testing.assert_allclose(got["yhat"], y.mean() + z @ beta, atol=0.02)
+
+
+def test_search_refit_and_folds(spark, table):
+    trials = models.hyper_search(table.withColumn("create_date", F.lit("2024-01-01").cast("date")), "elastic_net", trials=4)
+    rows = trials.collect()
+    assert [r.smape for r in rows] == sorted(r.smape for r in rows) and {r.trial for r in rows} == {0, 1, 2, 3}
+    marked = table.withColumn("is_train", F.col("video_id") % 3 > 0)
+    model, board = models.refit_best(marked, trials, "elastic_net")
+    row = board.first()
+    assert row.model == "elastic_net_tuned" and row.n == 200 and row.r2_log > 0.5
+    assert model.stages[-1].getRegParam() == pytest.approx(rows[0].penalty)
 
 
 def test_quantile_forest_orders_and_covers(table):

@@ -26,10 +26,26 @@ def test_scores_keep_every_draft_in_order(ws):
         assert low <= r.pred_median < high
 
 
+def test_live_check_decides_by_the_prediction(spark, ws):
+    bundle = registry.bundle(ws)
+    assert bundle["holdout"].first()["smape"] >= 0
+    posts = spark.createDataFrame(
+        [(1, "ECONOMY", 100, 500, 900, 40), (2, None, None, None, None, None)],
+        "video_id long, topic string, plays_day0 long, plays_day1 long, plays_day3 long, likes_day3 long",
+    )
+    decided, curve = scoring.live_check(posts, bundle)
+    rows = {r.video_id: r for r in decided.collect()}
+    again = decisions.triage_score(decided.select(*posts.columns, "pred_median"), "pred_median")
+    assert {r.video_id: r.score for r in again.collect()} == {i: r.score for i, r in rows.items()}
+    last = {r.video_id: r.median for r in curve.where("day = 30").collect()}
+    for i, r in rows.items():
+        assert last[i] == pytest.approx(r.plays_day3 + r.pred_median)
+
+
 def test_ideas_are_ranked_by_expected_views(spark, ws):
     ideas = spark.createDataFrame(
-        [(1, "ECONOMY", 15, "High", 25000), (2, "nowhere", 90, "Low", 10), (3, "PROMO", None, None, None)],
-        "draft_id long, topic string, length int, hook string, followers long",
+        [(1, "ECONOMY", 15, "High", 25000, "a"), (2, "nowhere", 90, "Low", 10, "b"), (3, "PROMO", None, None, None, "c")],
+        "draft_id long, topic string, length int, hook string, followers long, concept string",
     )
     rows = scoring.rank_ideas(ideas, registry.bundle(ws)).collect()
     ordered = sorted(rows, key=lambda r: int(r.priority[1:]))
@@ -37,4 +53,5 @@ def test_ideas_are_ranked_by_expected_views(spark, ws):
     views = [r.expected_views for r in ordered]
     assert views == sorted(views, reverse=True)
     by_id = {r.draft_id: r for r in rows}
+    assert {i: r.concept for i, r in by_id.items()} == {1: "a", 2: "b", 3: "c"}
     assert by_id[2].category == fixed.FALLBACK_TOPIC and by_id[3].length == "25s"
