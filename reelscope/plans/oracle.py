@@ -498,6 +498,7 @@ def sql() -> dict[str, str]:
 FROM base a LEFT JOIN base b ON a.author_id = b.author_id AND b.create_date < a.create_date GROUP BY a.video_id""")
     out["join_creator_stats"] = q(SUMMARY, f"SELECT video_id, author_id, creator_median_plays30, creator_video_count, {r6s('creator_avg_plays30')} FROM summary")
     out["video_summary"] = q(SUMMARY, SUMMARY_BODY)
+    out["scan_processed_summary"] = out["sink_processed_summary"] = out["video_summary"]
     out["drop_null_target"] = q(SUMMARY, "SELECT video_id, incr_plays_3_30 FROM summary WHERE incr_plays_3_30 IS NOT NULL")
     out["min_views_filter"] = q(SUMMARY, "SELECT video_id, plays_day30 FROM summary WHERE plays_day30 >= 50")
 
@@ -564,6 +565,7 @@ UNION ALL SELECT 'topic_archetypes', count(DISTINCT s.topic) FROM assigned a JOI
     out["topic_profile"] = q(SUMMARY, f"SELECT topic, count(*) AS video_count, {r6('median(plays_day30)', 'avg_plays_30')}, {r6('median(incr_plays_3_30)', 'avg_incr')}, {r6('median(duration)', 'median_duration')}, {r6('quantile_cont(duration, 0.25)', 'p25_duration')}, {r6('quantile_cont(duration, 0.75)', 'p75_duration')}, {r6('median(follower_count)', 'avg_follower_count')} FROM summary WHERE topic IS NOT NULL GROUP BY topic")
     out["topic_counts"] = q(SUMMARY, "SELECT topic, count(*) AS video_count FROM summary WHERE topic IS NOT NULL GROUP BY topic")
     out["sink_bundle"] = out["topic_counts"]
+    out["sink_bundle_profile"] = out["topic_profile"]
     out["topic_trajectory_medians"] = q(SUMMARY, "SELECT topic, " + ", ".join(r6(f"median(plays_day{d})", f"median_plays_day{d}") for d in (0, 1, 3, 30)) + " FROM summary WHERE topic IS NOT NULL GROUP BY topic")
     out["distinct_values"] = q(SUMMARY, "SELECT DISTINCT topic FROM summary WHERE topic IS NOT NULL")
     out["deterministic_sample"] = q(SUMMARY, f"SELECT video_id, topic, plays_day30 FROM summary ORDER BY {_SAMPLE_ORDER}, video_id LIMIT 500")
@@ -634,7 +636,8 @@ logs AS (SELECT 'day 3 level' AS model, {LOG_Y} AS y, ln(1 + {P3}) AS yhat FROM
 held AS (SELECT model, y AS ly, greatest(-1, least(25, yhat)) AS lh FROM logs),
 original AS (SELECT model, exp(ly) - 1 AS y, greatest(exp(lh) - 1, 0) AS yhat, ly, lh FROM held)"""
     out["log_scale_metrics"] = q(log_rows, _error_metrics("original", "model", True, ", " + r6("1 - avg((ly - lh) * (ly - lh)) / var_pop(ly)", "r2_log")).replace("AS r2,", "AS r2_raw,"))
-    out["cv_summary"] = q(SUMMARY + "," + BASELINES + ",\nscores AS (" + _error_metrics("predictions", "model") + ")",
+    unrounded = _error_metrics("predictions", "model").replace(", 6) + 0.0 AS", ", 12) + 0.0 AS")
+    out["cv_summary"] = q(SUMMARY + "," + BASELINES + ",\nscores AS (" + unrounded + ")",
         f"SELECT 'rmse' AS metric, {r6('avg(rmse)', 'mean')}, {r6('stddev_samp(rmse)', 'std')} FROM scores UNION ALL SELECT 'smape', {r6('avg(smape)', 'mean')}, {r6('stddev_samp(smape)', 'std')} FROM scores")
     series_scores = _error_metrics("(SELECT 'Trend + weekday' AS model, actual AS y, forecast AS yhat FROM trend) t", "model")
     board = (

@@ -43,9 +43,9 @@ def scan_raw_creator(ws: Workspace):
     return ws.creator
 
 
-def sink_processed(ws: Workspace):
-    tables.write_table(ws.topics, ws.folder, "sink_check")
-    return tables.read_table(ws.spark, ws.folder, "sink_check")
+def sink_processed(ws: Workspace, name: str = "topics"):
+    tables.write_table(getattr(ws, name), ws.folder, f"sink_check_{name}")
+    return tables.read_table(ws.spark, ws.folder, f"sink_check_{name}")
 
 
 def scan_strategy_inputs(ws: Workspace):
@@ -57,13 +57,13 @@ def row_counts(ws: Workspace):
     return tables.row_counts(dict(zip(tables.RAW_TABLES, ws.raw())))
 
 
-def sink_bundle(ws: Workspace):
+def sink_bundle(ws: Workspace, name: str = "topic_counts"):
     import os
 
     v = ws.summary
     reports = {"topic_counts": profiles.topic_counts(v), "topic_profile": profiles.topic_profile(v)}
     folder = os.path.join(ws.folder, "report_bundle")
-    return tables.reuse_bundle(ws.spark, folder, list(reports), lambda: reports)["topic_counts"]
+    return tables.reuse_bundle(ws.spark, folder, list(reports), lambda: reports)[name]
 
 
 # --- cleaning and summary ----------------------------------------------------------------------------
@@ -257,6 +257,12 @@ def track_leaderboards(ws: Workspace):
     return leaderboard.leaderboard_union({t: [b.drop("track")] for t, b in tracks.items()})
 
 
+def track_leaderboards_models(ws: Workspace):
+    board_ = models.run_models(training(ws), ["elastic_net", "ridge"])
+    tracks = leaderboard.track_leaderboards(baselines.run_baselines(ws.summary), board_, trend_metrics(ws))
+    return leaderboard.leaderboard_union({t: [b.drop("track")] for t, b in tracks.items()})
+
+
 # --- models ------------------------------------------------------------------------------------------
 
 def training(ws: Workspace) -> DataFrame:
@@ -459,11 +465,14 @@ QUERIES = {
     "scan_raw_videos": scan_raw_videos,
     "scan_raw_creator": scan_raw_creator,
     "scan_processed": lambda ws: ws.topics,
+    "scan_processed_summary": lambda ws: ws.summary,
     "sink_processed": sink_processed,
+    "sink_processed_summary": lambda ws: sink_processed(ws, "summary"),
     "scan_strategy_inputs": scan_strategy_inputs,
     "row_counts": row_counts,
     "dataset_profile": lambda ws: tables.dataset_profile(ws.summary, fixed.TARGET),
     "sink_bundle": sink_bundle,
+    "sink_bundle_profile": lambda ws: sink_bundle(ws, "topic_profile"),
     "cast_dates": lambda ws: cleaning.cast_dates(ws.creator, "date").select("author_id", "date", "follower_count"),
     "valid_days": lambda ws: cleaning.cast_dates(cleaning.valid_days(ws.engagement), "date"),
     "dedup_keys": lambda ws: cleaning.clean_engagement(ws.engagement),
@@ -600,6 +609,7 @@ QUERIES = {
     "leaderboard_union": board,
     "leaderboard_sort": leaderboard_sort,
     "track_leaderboards": track_leaderboards,
+    "track_leaderboards_models": track_leaderboards_models,
     "forecast_trend_weekly": lambda ws: forecast.forecast_trend_weekly(series(ws)),
     "forecast_seasonal_ar": lambda ws: forecast.forecast_seasonal_ar(series(ws)),
     "forecast_metrics": lambda ws: forecast.forecast_metrics(series(ws)),

@@ -174,7 +174,7 @@ def test_registry_names():
 
 def test_trials_repeat():
     a, b = models.draw_trials(models.GBT_SPACE, 4), models.draw_trials(models.GBT_SPACE, 4)
-    assert a == b and all(200 <= t["trees"] <= 1000 and 0.01 <= t["rate"] <= 0.15 for t in a)
+    assert a == b and all(10 <= t["trees"] <= 100 and 0.05 <= t["rate"] <= 0.3 for t in a)
 
 
 @pytest.fixture(scope="module")
