@@ -48,15 +48,17 @@ def spread_lines(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS
     return places.join(counted, "hash", "left_anti").where("text_hash != first").select("doc_id", "text_hash", "line")
 
 
-def remove_spread_lines(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without its boilerplate lines, and with ``n_lines`` and ``n_removed``.
+def remove_spread_lines(
+    docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS, counts: bool = True
+) -> DataFrame:
+    """``docs`` without its boilerplate lines, and (with ``counts``) with ``n_lines`` and ``n_removed``.
 
     Lines are split at line feeds; a null text stays null and has no line, an empty text has one.  A null ``source`` is
     a site of its own.  Repeated rows lose the same lines.  A text of boilerplate alone becomes empty; no document goes.
-    All other columns are kept, except that a column named ``n_lines`` or ``n_removed`` is replaced.
+    All other columns are kept, except that ``counts`` replaces a column named ``n_lines`` or ``n_removed``.
     """
     found = spread_lines(docs, sites, min_chars).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.md5(plain_text()).alias("md5"))
     joined = whole.join(
         found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_hash")), "left"
@@ -64,8 +66,11 @@ def remove_spread_lines(docs: DataFrame, sites: int = SITES, min_chars: int = MI
     text = F.col("row.text")
     left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i))
     cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+    columns = [cleaned.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in own]
+    if not counts:
+        return joined.select(*columns)
     return joined.select(
-        *[cleaned.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in own],
+        *columns,
         F.when(text.isNull(), 0).otherwise(
             F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
         ).cast("long").alias("n_lines"),

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import struct
 import zlib
 
 import duckdb
@@ -250,6 +251,36 @@ def test_transducer_equals_library(text):
     assert machine.decode(ids) == library.decode(ids)
 
 
+def field(number, value):
+    """A field of a serialised protocol-buffer message."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab cx", max_size=20))
+def test_unigram_model_takes_the_best_sum_of_scores(text):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [
+        (p, score, 1) for p, score in (("▁", -2.0), ("a", -3.0), ("b", -3.1), ("c", -3.2), ("ab", -4.5), ("ba", -4.1),
+                                       ("▁a", -3.7), ("bab", -6.3), ("▁ab", -5.9), ("aa", -5.25))]
+    model = b"".join(
+        field(1, field(1, p.encode()) + field(2, score) + field(3, kind)) for p, score, kind in pieces
+    ) + field(2, field(3, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    machine = sentence_pieces.Transducer(model)
+    assert machine.kind == sentence_pieces.UNIGRAM
+    assert machine.encode(text).tolist() == library.encode(text)
+
+
 def test_transducer_equals_library_on_documents(spark, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -9,6 +9,15 @@ from tests.llm import cases
 from tests.llm.test_against_brute_force import brute_classes
 
 
+def test_stages_keep_columns_on_awkward_and_empty_tables(spark):
+    for given in (cases.crowded(spark), cases.empty(spark)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, given, cases.SF)
+            assert after.columns == given.columns, name
+            assert {r["n_lines"] for r in after.collect()} <= {"x"} if "n_lines" in given.columns else after.count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, given, cases.SF).count() >= min(given.count(), 1)
+
+
 def test_stages(spark):
     folder = cases.SF
     docs = given = table(spark, folder, "documents")
