@@ -26,7 +26,7 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines; ``n_chars`` follows the text."""
-    left = line_dedup.remove_spread_lines(docs)
+    left = line_dedup.remove_spread_lines(docs, counts=False)
     counts = F.char_length("text").cast("long")
     return left.select(*[counts.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
