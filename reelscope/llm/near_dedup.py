@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.llm.common import BLANK_WORDS, lookup, materialize, mix, table, text_slices, word_hashes
@@ -23,10 +23,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 BAND_ROWS = 5
-#: Pairs whose signatures agree in less than this share are not verified: six standard deviations below 0.8.
-LEAST_ESTIMATE = 0.6
+#: Pairs whose marks (8 bits a component, 1280 in all) differ in more bits are not verified.  At a similarity of 0.8, 128 bits
+#: differ on average with a standard deviation of 22, so this is five deviations off.
+MOST_BITS = 240
 #: Members of a bucket that are compared with the whole bucket in one round, at the start.
-PIVOTS = 32
+PIVOTS = 1024
+#: Up to so many ids of asked texts are broadcast to the scan of the documents; more go through a shuffle join.
+BROADCAST_IDS = 500_000
 
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _PIECE = np.uint64(0x8CB92BA72F3D8DD7)
@@ -124,17 +127,17 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS)
     return keys.view(np.int64)
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted shingle arrays with repetitions: multiset overlap over multiset union."""
-    if len(a) == 0 or len(b) == 0:
-        return 0.0
-    xa, ca = np.unique(a, return_counts=True)
-    xb, cb = np.unique(b, return_counts=True)
-    at = np.searchsorted(xb, xa)
-    at[at == len(xb)] = 0
-    hit = xb[at] == xa
-    both = int(np.minimum(ca[hit], cb[at[hit]]).sum())
-    return both / (len(a) + len(b) - both)
+def as_set(elements: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets: the k-th occurrence of an element is an element of its own.  Sorted by owner."""
+    order = np.lexsort((elements, owners))
+    elements, owners = elements[order], owners[order]
+    n = len(elements)
+    if n == 0:
+        return elements, owners
+    fresh = np.append(True, (elements[1:] != elements[:-1]) | (owners[1:] != owners[:-1]))
+    starts = np.flatnonzero(fresh)
+    turn = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    return np.where(turn == 0, elements, mix(elements + turn.astype(np.uint64) * _PIECE)), owners
 
 
 def _word_key(text: bytes) -> bytes:
@@ -142,8 +145,12 @@ def _word_key(text: bytes) -> bytes:
     return hashlib.md5(b" ".join(text.split()), usedforsecurity=False).digest()
 
 
+WORDS = BANDS * BAND_ROWS // 8
+_MARKS = [f"m{i}" for i in range(WORDS)]
+
+
 def _sign(batches):
-    """(doc_id, text) to (doc_id, key, bands, marks): marks are 16 bits of each component."""
+    """(doc_id, text) to (doc_id, key, bands, m0 …): eight bits of each component, packed into longs."""
     for batch, data, offsets in text_slices(batches, "text"):
         n = len(offsets) - 1
         found, owners = shingles(data, offsets)
@@ -151,91 +158,108 @@ def _sign(batches):
         signatures = bag_minhash(owner, element, weight, n, BANDS * BAND_ROWS)
         full = np.bincount(owner, minlength=n) > 0
         keys = band_keys(signatures)
-        marks = (mix(signatures.view(np.uint64)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+        marks = (mix(signatures.view(np.uint64)) >> np.uint64(56)).astype(np.uint8).view(np.int64)
         raw = data.tobytes()
         texts = [_word_key(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(texts, pa.binary()),
              pa.array([k if f else [] for k, f in zip(list(keys), full)], pa.list_(pa.int64())),
-             pa.array(list(marks), pa.list_(pa.int16()))],
-            names=["doc_id", "key", "bands", "marks"],
+             *[pa.array(np.ascontiguousarray(marks[:, i])) for i in range(WORDS)]],
+            names=["doc_id", "key", "bands", *_MARKS],
         )
 
 
-def _agree(left: str, right: str):
-    """Keep the pairs whose marks agree in at least ``LEAST_ESTIMATE`` of the components."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (
-                    batch.column(batch.schema.get_field_index(x)).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    for x in (left, right)
-                )
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= LEAST_ESTIMATE))
-
-    return run
-
-
-def _texts_to_shingles(batches):
-    """(unit, key, text) to (unit, bag): the sorted shingle hashes, where the text is the one that has the key."""
+def _texts_to_sets(batches):
+    """(unit, key, text) to (unit, bag): the shingles as a set, where the text is the one that has the key."""
     for batch, data, offsets in text_slices(batches, "text"):
-        found, owners = shingles(data, offsets)
-        order = np.lexsort((found, owners))
-        found, cuts = found[order], np.searchsorted(owners[order], np.arange(len(offsets)))
+        found, owners = as_set(*shingles(data, offsets))
+        cuts = np.searchsorted(owners, np.arange(len(offsets)))
         raw = data.tobytes()
         rows = [
-            (unit, found[cuts[i]: cuts[i + 1]].tobytes())
+            (unit, found[cuts[i]: cuts[i + 1]].view(np.int64))
             for i, (unit, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             if _word_key(raw[offsets[i]: offsets[i + 1]]) == key
         ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([u for u, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["unit", "bag"]
+            [pa.array([u for u, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
+            names=["unit", "bag"],
         )
 
 
-def _verify(batches):
-    for batch in batches:
-        left, right = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("bag_a", "bag_b"))
-        same = [
-            weighted_jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= SIMILARITY
-            for x, y in zip(left, right)
-        ]
-        yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+def _alike(left: str, right: str) -> Column:
+    """Whether the packed marks of two sides differ in at most ``MOST_BITS`` bits."""
+    return sum(F.bit_count(F.col(f"{left}.{m}").bitwiseXOR(F.col(f"{right}.{m}"))) for m in _MARKS) <= MOST_BITS
+
+
+def _linked(left: str, right: str) -> Column:
+    """Whether the exact multiset similarity is at least 0.8: nine overlaps against four sums of sizes."""
+    a, b = F.col(f"{left}.bag"), F.col(f"{right}.bag")
+    return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
+
 
+def _sets(docs: DataFrame, units: DataFrame, asked: DataFrame) -> DataFrame:
+    """``unit, bag`` of the asked units, read again from their texts.
 
-def verified(pairs: DataFrame, bags_: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact multiset similarity is at least ``SIMILARITY``."""
-    full = (
-        pairs.join(bags_.select(F.col("unit").alias("a"), F.col("bag").alias("bag_a")), "a")
-        .join(bags_.select(F.col("unit").alias("b"), F.col("bag").alias("bag_b")), "b")
+    The ids are broadcast if there are few, so only asked texts move; otherwise the texts meet them in a shuffle.
+    """
+    named = materialize(
+        units.join(asked.distinct(), "unit").select("unit", "key", F.col("rep").alias("doc_id")), "near-asked"
+    )
+    texts = docs.select("doc_id", "text")
+    if named.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(named), "doc_id")
+    else:
+        texts = texts.join(named, "doc_id")
+    return materialize(
+        texts.select("unit", "key", "text").mapInArrow(_texts_to_sets, "unit long, bag array<bigint>"), "near-sets"
     )
-    return full.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long")
+
+
+def _short_cuts(batches):
+    """Edges (u, v) of a batch to edges from each node to the smallest node of its component within the batch."""
+    for batch in batches:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        ends = [(x, find(x)) for x in root]
+        ends = [(x, r) for x, r in ends if x != r]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], names=["u", "v"]
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``unit, class`` for the nodes of ``a, b`` edges: the smallest node of each connected component.
+    """``unit, class`` for the nodes of ``u, v`` edges: the smallest node of each connected component.
 
-    Alternating large-star and small-star steps; each written, so nothing is gathered and no lineage grows.
+    Batches of edges become stars first; then alternating large-star and small-star steps, each written, so nothing is
+    gathered and no lineage grows, until every node has one edge and no centre has one.
     """
-    now = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars"
-    )
-    mark = None
+    now = materialize(edges.where("u != v").mapInArrow(_short_cuts, "u long, v long").distinct(), "stars")
     while True:
+        roles = now.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).unionByName(
+            now.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("centre"))
+        )
+        open_ = roles.groupBy("x").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where(
+            "out > 1 or out = 1 and centre = 1"
+        )
+        if open_.isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             down.select("u", F.col("m").alias("v"))
         )
         now = materialize(small.where("u != v").distinct(), "stars")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
     roots = now.select(F.col("v").alias("unit"), F.col("v").alias("class"))
     return now.select(F.col("u").alias("unit"), F.col("v").alias("class")).unionByName(roots).distinct()
 
@@ -245,8 +269,9 @@ def _links(docs: DataFrame, units: DataFrame) -> DataFrame:
 
     In every bucket (equal band) one member, the pivot, is compared with all others.  Links merge classes; buckets
     whose members are all of one class are done.  In the others, more members of all but the largest class are
-    compared with every member of another class, 32 a bucket, then 1024 …, and leave the bucket.  At the end every
-    two members of a bucket have been compared or are in one class already, so no link is lost.
+    compared with every member of another class, 1024 a bucket, then 1024 times as many …, and leave the bucket.  At the end every
+    two members of a bucket have been compared or are in one class already, so no link is lost.  Comparing happens
+    inside the joins: marks first, exact sets after, and only links come out.
     """
     spread = units.select("unit", F.explode("bands").alias("band"))
     buckets = materialize(
@@ -254,57 +279,66 @@ def _links(docs: DataFrame, units: DataFrame) -> DataFrame:
         "near-buckets",
     )
     held = materialize(spread.join(buckets, "band"), "near-members")
-    marks = units.select("unit", "marks")
+    marks = units.select("unit", F.struct(*_MARKS).alias("marks"), "bands")
     asked = held.where("unit != pivot").select(F.col("unit").alias("a"), F.col("pivot").alias("b")).distinct()
     close = materialize(
-        asked.join(marks.select(F.col("unit").alias("a"), F.col("marks").alias("marks_a")), "a")
-        .join(marks.select(F.col("unit").alias("b"), F.col("marks").alias("marks_b")), "b")
-        .select("a", "b", "marks_a", "marks_b").mapInArrow(_agree("marks_a", "marks_b"), "a long, b long"),
-        "near-pairs",
+        asked.join(marks.select(F.col("unit").alias("a"), F.col("marks").alias("x")), "a")
+        .join(marks.select(F.col("unit").alias("b"), F.col("marks").alias("y")), "b").where(_alike("x", "y"))
+        .select("a", "b"), "near-pairs",
+    )
+    sets = _sets(docs, units, close.select(F.col("a").alias("unit")).unionByName(close.select(F.col("b").alias("unit"))))
+    own = F.struct("bag")
+    found = (
+        close.join(sets.select(F.col("unit").alias("a"), own.alias("x")), "a")
+        .join(sets.select(F.col("unit").alias("b"), own.alias("y")), "b").where(_linked("x", "y"))
+        .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
     members = held.where("unit != pivot").select("band", "unit")
-    edges, classes, pivots = None, None, PIVOTS
+    classes, pivots = materialize(components(found), "near-classes"), PIVOTS
     while True:
-        if not close.isEmpty():
-            wanted = close.select(F.col("a").alias("unit")).unionByName(close.select(F.col("b").alias("unit"))).distinct()
-            named = units.join(wanted, "unit").select("unit", "key", F.col("rep").alias("doc_id"))
-            texts = named.join(docs.select("doc_id", "text"), "doc_id").select("unit", "key", "text")
-            bags_ = materialize(texts.mapInArrow(_texts_to_shingles, "unit long, bag binary"), "near-bags")
-            found = materialize(verified(close, bags_), "near-links")
-            edges = found if edges is None else edges.unionByName(found)
-            classes = materialize(components(edges), "near-classes")
-        known = members if classes is None else members.join(classes, "unit", "left")
-        known = known.withColumn("class", F.coalesce(F.col("class"), F.col("unit")) if classes is not None else F.col("unit"))
-        known = materialize(known.select("band", "unit", "class"), "near-members")
+        known = materialize(
+            members.join(classes, "unit", "left").select("band", "unit", F.coalesce("class", "unit").alias("class")),
+            "near-members",
+        )
         sizes = known.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-        order = F.struct("n", "class")
         mixed = sizes.groupBy("band").agg(
-            F.max(order)["class"].alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"),
-            F.max("n").alias("most"),
-        ).where("kinds > 1").withColumn("rest", F.col("all") - F.col("most"))
-        open_ = materialize(known.join(mixed, "band").join(marks, "unit"), "near-open")
-        if open_.isEmpty():
-            return classes if classes is not None else units.select("unit", F.col("unit").alias("class")).limit(0)
+            F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("kinds"),
+            (F.sum("n") - F.max("n")).alias("rest"),
+        ).where("kinds > 1")
         turn = (F.col("class") != F.col("largest")) & (
             F.pmod(F.xxhash64("unit", F.lit(pivots)), F.greatest(F.lit(1), F.ceil(F.col("rest") / pivots))) == 0
         )
-        probes = open_.where(turn).select(
-            "band", F.col("unit").alias("a"), F.col("class").alias("class_a"), F.col("marks").alias("marks_a")
+        open_ = materialize(
+            known.join(mixed, "band").join(marks, "unit")
+            .select("band", "unit", "class", "marks", "bands", turn.alias("turn")),
+            "near-open",
         )
-        close = materialize(_compare(probes, open_), "near-pairs")
-        members = open_.where(~turn).select("band", "unit")
-        pivots *= 32
-
-
-def _compare(probes: DataFrame, open_: DataFrame) -> DataFrame:
-    """Pairs of a probe and a member of another class of its bucket whose marks agree often enough."""
-    everyone = open_.select("band", F.col("unit").alias("b"), F.col("class").alias("class_b"), F.col("marks").alias("marks_b"))
-    parts = BANDS * BAND_ROWS
-    agree = F.size(F.filter(F.zip_with("marks_a", "marks_b", lambda x, y: x == y), lambda same: same))
-    near = probes.join(everyone, "band").where(F.col("class_a") != F.col("class_b")).where(
-        agree >= int(np.ceil(LEAST_ESTIMATE * parts))
+        if open_.isEmpty():
+            return classes
+        compared = materialize(_compare(docs, units, open_), "near-links")
+        if not compared.isEmpty():
+            stars = classes.select(F.col("unit").alias("u"), F.col("class").alias("v"))
+            classes = materialize(components(stars.unionByName(compared)), "near-classes")
+        members = open_.where("not turn").select("band", "unit")
+        pivots *= PIVOTS
+
+
+def _compare(docs: DataFrame, units: DataFrame, open_: DataFrame) -> DataFrame:
+    """Links (``u, v``) between the members whose turn it is and the members of other classes in their buckets."""
+    other = (F.col("p.band") == F.col("e.band")) & (F.col("p.class") != F.col("e.class"))
+    # a pair that shares several buckets is compared in the first of them only
+    first = F.get(F.array_intersect("p.bands", "e.bands"), 0) == F.col("p.band")
+    likely = other & _alike("p.marks", "e.marks") & first
+    probes = materialize(
+        open_.where("turn").alias("p").join(open_.alias("e"), likely, "left_semi").drop("turn"), "near-probes"
+    )
+    partners = materialize(open_.alias("e").join(probes.alias("p"), likely, "left_semi").drop("turn"), "near-partners")
+    sets = _sets(docs, units, probes.select("unit").unionByName(partners.select("unit")))
+    return (
+        probes.join(sets, "unit").alias("p")
+        .join(partners.join(sets, "unit").alias("e"), likely & _linked("p", "e"))
+        .select(F.col("p.unit").alias("u"), F.col("e.unit").alias("v"))
     )
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -314,20 +348,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     but the six ASCII white-space characters) is at least 0.8; a class is a connected component, named by its smallest
     id, whose document stays.  Texts with the same words are one unit from the start: copies are never compared.  A
     text of one to four words is one shingle.  Texts without words (null, empty, blank) are copies of each other.
-    Repeated rows are copies; each row of the smallest id says ``kept``.  An empty table gives an empty result; only the
-    id and the text are read.
+    Repeated rows are copies; each row of the smallest id says ``kept``.  A text without any id is linked to
+    copies only.  An empty table gives an empty result; only the id and the text are read.
 
     Two linked texts miss each other in all 32 bands of 5 components with a probability below 4e-6.
     """
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     signed = materialize(
-        given.mapInArrow(_sign, f"doc_id {kind}, key binary, bands array<bigint>, marks array<smallint>"), "near-signed"
+        given.mapInArrow(
+            _sign, f"doc_id {kind}, key binary, bands array<bigint>, " + ", ".join(f"{m} long" for m in _MARKS)
+        ), "near-signed",
     )
     units = materialize(
         signed.groupBy("key").agg(
             F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"),
-            F.first("marks").alias("marks"),
+            *[F.first(m).alias(m) for m in _MARKS],
         ).withColumn("unit", F.monotonically_increasing_id()),
         "near-units",
     )
@@ -345,14 +381,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns: one row of each class, also where an id has several rows."""
+    """The documents that stay, with their columns: one row of each class, also where an id has several rows.
+
+    Of documents without an id, one row of each text stays.
+    """
     found = near_duplicates(docs)
     stay = materialize(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "near-kept")
-    once = docs.join(stay.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    often = stay.where("_rows > 1").select("doc_id")
-    if often.isEmpty():
-        return once
-    return once.unionByName(docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    left = docs.join(stay.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    often = stay.where("_rows > 1 and doc_id is not null").select("doc_id")
+    if not often.isEmpty():
+        left = left.unionByName(docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if not stay.where("doc_id is null").isEmpty():
+        left = left.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return left
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

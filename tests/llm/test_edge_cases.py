@@ -45,6 +45,11 @@ def test_null_ids_and_labels(spark):
     docs = spark.createDataFrame([(None, "a b c", None, None, None), (1, "a b c", None, None, None)], cases.SCHEMA)
     for name, operator in PER_DOCUMENT.items():
         assert operator(docs).count() == 2, name
+    assert near_dedup.keep_one(docs).count() == 1
+    nameless = docs.where("doc_id is null").unionByName(docs.where("doc_id is null")).unionByName(
+        docs.where("doc_id is null").withColumn("text", near_dedup.F.lit("d e f"))
+    )
+    assert sorted(r["text"] for r in near_dedup.keep_one(nameless).collect()) == ["a b c", "d e f"]
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
     assert (quality_classifier.train(docs, labels) != 0).any()
     assert line_crf.train(docs, labels).share == 0.5
