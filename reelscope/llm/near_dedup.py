@@ -386,14 +386,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of documents without an id, one row of each text stays.
     """
     found = near_duplicates(docs)
-    stay = materialize(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "near-kept")
-    left = docs.join(stay.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    often = stay.where("_rows > 1 and doc_id is not null").select("doc_id")
+    ids = materialize(found.groupBy("doc_id").agg(
+        F.max("kept").alias("kept"), F.sum(F.col("kept").cast("int")).alias("rows")
+    ).where("not kept or rows > 1 or doc_id is null"), "near-ids")
+    gone = ids.where("not kept").select("doc_id")
+    few = gone.count() <= BROADCAST_IDS  # else the ids meet the texts in a shuffle
+    named = docs.where("doc_id is not null")
+    left = named.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    often = ids.where("kept and rows > 1 and doc_id is not null").select("doc_id")
     if not often.isEmpty():
-        left = left.unionByName(docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not stay.where("doc_id is null").isEmpty():
+        once = left.join(often, "doc_id", "left_anti")
+        left = once.unionByName(named.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if not ids.where("doc_id is null and kept").isEmpty():
         left = left.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return left
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
