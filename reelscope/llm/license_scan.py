@@ -127,11 +127,9 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
         )))
 
     found = [matches(number, word, at) for word, postings in filed.items() for number, at in postings]
-    hits = rows.where(F.size("places") > 0).select(
-        "doc_id", "n_words", F.array_compact(F.flatten(F.array(*found))).alias("hits")
-    )
+    hits = rows.select("doc_id", "n_words", F.array_compact(F.flatten(F.array(*found))).alias("hits"))
     base = F.filter("hits", lambda h: h["base"])
-    scanned = hits.select(
+    return hits.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(F.transform(base, lambda h: h["start"])).alias("first_word"),
         F.array_max(F.transform(base, lambda h: h["start"])).alias("last_word"),
@@ -139,11 +137,6 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
         F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["label"]))), ",").alias("labels"),
         F.round(F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)), 6).alias("score"),
     )
-    return scanned.unionByName(rows.where(F.size("places") == 0).select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"),
-        F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"),
-        F.lit(0.0).alias("score"),
-    ))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
