@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from reelscope.llm.common import table
 
 SYMBOL = "▁"
-MEMORY_SEGMENTS = 600_000
+MEMORY_SEGMENTS = 500_000
 MEMORY_PAIRS = 1_000_000
 INFINITY = float("inf")
 UNIGRAM, MERGES = 1, 2
@@ -110,7 +110,9 @@ class Transducer:
         self.byte_fallback = fallback and len(self.bytes_) == 256
         self.begun = {x[:k]: -1 for x in self.pieces for k in range(1, len(x))} | self.pieces
         self.names = names
+        self.cuts_lines = not any("\n" in x for x in self.pieces)
         self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -136,7 +138,7 @@ class Transducer:
         return known
 
     def _by_score(self, segment: str) -> tuple[list[int], list[int]]:
-        """Last piece and where it starts, for the best path to each position; weights are minus the scores."""
+        """Pieces and where they end on the best path; weights are minus the scores."""
         n = len(segment)
         far, last, back = [0.0] + [INFINITY] * n, [-1] * (n + 1), [0] * (n + 1)
         for start in range(n):
@@ -151,40 +153,69 @@ class Transducer:
                     break
                 if piece >= 0 and here - self.scores[piece] < far[end]:
                     far[end], last[end], back[end] = here - self.scores[piece], piece, start
-        return last, back
+        pieces, ends, at = [], [], n
+        while at:
+            pieces.append(last[at])
+            ends.append(at)
+            at = back[at]
+        return pieces[::-1], ends[::-1]
 
     def _by_merges(self, segment: str) -> tuple[list[int], list[int]]:
-        """The same under the pair machine: weights are 0 or infinity, so the first finite arc to a position is its best."""
-        n = len(segment)
-        last, back = [-1] * (n + 1), [-1] * (n + 1)
-        begun, pairs = self.begun.get, self.pairs.get
-        for start in range(n):
-            left = last[start]
-            for end in range(start + 1, n + 1):
-                piece = begun(segment[start:end])
-                if piece is None:
-                    break
-                if piece >= 0 > back[end]:
-                    allowed = left == -2 or pairs(left << 32 | piece)
-                    if self.may_follow(left, piece) if allowed is None else allowed:
-                        last[end], back[end] = piece, start
-            if back[start + 1] < 0:
-                last[start + 1], back[start + 1] = -2, start
-        return last, back
+        """Pieces and where they end on the finite path under the pair machine: weights are 0 or infinity.
+
+        Searched depth first, longest pieces first.  What is finite up to a position is the one encoding of the text before it,
+        so a position from which the end can't be reached is never tried again.
+        """
+        n, pairs = len(segment), self.pairs.get
+        pieces, ends, ways, dead, left = [], [], [], set(), -1
+        arcs = self._arcs(segment, 0)
+        while True:
+            if arcs:
+                end, piece = arcs.pop()
+                if end in dead:
+                    continue
+                if left != -2 and piece != -2:
+                    allowed = pairs(left << 32 | piece)
+                    if not (self.may_follow(left, piece) if allowed is None else allowed):
+                        continue
+                pieces.append(piece)
+                ends.append(end)
+                if end == n:
+                    return pieces, ends
+                ways.append(arcs)
+                left, arcs = piece, self._arcs(segment, end)
+            else:
+                dead.add(ends.pop())
+                pieces.pop()
+                left, arcs = pieces[-1] if pieces else -1, ways.pop()
+
+    def _arcs(self, segment: str, start: int) -> list[tuple[int, int]]:
+        """Arcs from ``start``, the longest piece last."""
+        begun, found, end, n = self.begun.get, [], start + 1, len(segment)
+        piece = begun(segment[start:end])
+        if piece is None or piece < 0:
+            found.append((end, -2))
+        while piece is not None:
+            if piece >= 0:
+                found.append((end, piece))
+            if end == n:
+                break
+            end += 1
+            piece = begun(segment[start:end])
+        return found
 
     def shortest_path(self, segment: str) -> list[int]:
         """Ids along the shortest path of the composed graph; -2 stands for a character without a piece meanwhile.
 
         Arcs are composed as they are needed: from each position, pieces are followed while some piece begins with the text.
         """
-        n = len(segment)
-        last, back = self._by_merges(segment) if self.kind == MERGES else self._by_score(segment)
-        path, at = [], n
-        while at:
-            path.append((last[at], back[at], at))
-            at = back[at]
+        if not segment:
+            return []
+        pieces, ends = self._by_merges(segment) if self.kind == MERGES else self._by_score(segment)
+        if -2 not in pieces:
+            return pieces
         ids: list[int] = []
-        for piece, start, end in reversed(path):
+        for piece, start, end in zip(pieces, [0, *ends], ends):
             if piece != -2:
                 ids.append(piece)
             elif self.byte_fallback:
@@ -197,22 +228,36 @@ class Transducer:
         """Segments of the normalised text: no piece reaches from one into the next."""
         if not text:
             return []
-        if not self.prefix or "  " in text or SYMBOL in text or text[0] == " " or text[-1] == " ":
-            return re.findall(f"{SYMBOL}*[^{SYMBOL}]+|{SYMBOL}+", self.prefix + text.replace(" ", SYMBOL))
-        return [SYMBOL + x for x in text.split(" ")]
+        found, lead = [], self.prefix
+        for line in text.split("\n") if self.cuts_lines else [text]:
+            if found:
+                found.append("\n")
+            if "  " in line or SYMBOL in line or line[:1] == " " or line[-1:] == " ":
+                found += re.findall(f"{SYMBOL}*[^{SYMBOL}]+|{SYMBOL}+", lead + line.replace(" ", SYMBOL))
+            elif line or lead:
+                words = line.split(" ")
+                found.append(lead + words[0])
+                found += [SYMBOL + x for x in words[1:]]
+            if not found:
+                found.append("")
+            lead = ""
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         found = self.cut(text)
+        young, old = self.segments, self.older
         try:
-            return np.frombuffer(b"".join([self.segments[x] for x in found]), np.uint32)
+            return np.frombuffer(b"".join([young[x] for x in found]), np.uint32)
         except KeyError:
             pass
-        if len(self.segments) >= MEMORY_SEGMENTS:
-            self.segments.clear()
         for x in found:
-            if x not in self.segments:
-                self.segments[x] = np.array(self.shortest_path(x), np.uint32).tobytes()
-        return np.frombuffer(b"".join([self.segments[x] for x in found]), np.uint32)
+            if x not in young:
+                ids = old.get(x)
+                young[x] = np.array(self.shortest_path(x), np.uint32).tobytes() if ids is None else ids
+        ids = np.frombuffer(b"".join([young[x] for x in found]), np.uint32)
+        if len(young) >= MEMORY_SEGMENTS:  # what isn't asked for again goes with the older half
+            self.older, self.segments = young, {}
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
