@@ -1,4 +1,10 @@
-"""Packing by lexical retrieval: shards with a BM25 index fill the window of each seed with its unused neighbours."""
+"""Packing by lexical retrieval: shards with a BM25 index fill the window of each seed with its unused neighbours.
+
+A shard holds fragments that belong together.  A fragment's sketch is a minwise sample of its tokens in which a token counts by
+the square of its BM25 weight over the corpus, so two sketches agree about as often as the fragments are alike.  The sketches are
+sorted in several orders; each fragment is linked to the neighbour, among those near it in any order, whose sketch agrees most.
+Linked fragments follow each other in one order of the whole corpus, which is cut into shards of equal size.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import materialize, table
+from reelscope.llm.common import lookup, materialize, mix, table
+from reelscope.llm.near_dedup import components
 
 WINDOW = 2048
 END_ID = 1
 #: Tokens of the fragments of a shard, on average: a shard's index and fragments are a few megabytes.
 SHARD_TOKENS = 1 << 19
 BATCH_ROWS = 1000
+#: Components of a sketch, orders (each starts at another component), and how far apart in an order sketches are compared.
+SKETCH, ORDERS, REACH = 32, 8, 2
 K1, B = 1.2, 0.75
 
 _worker: dict = {}
@@ -129,6 +138,108 @@ def _frequencies(window: int):
     return run
 
 
+def _sketches(window: int, known):
+    """(uid, doc_tokens, rest) to (uid, tokens, sketch): per component the token of the fragment with the smallest draw."""
+
+    def run(batches):
+        weights = np.maximum(known.value[0], 1e-9) ** 2
+        draws = np.random.default_rng(9).exponential(size=(len(weights), SKETCH))
+        draws = (draws / weights[:, None]).astype(np.float32)
+        for batch in batches:
+            sketches = []
+            for n, rest in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.unique(_unpack(rest, n, window))
+                sketches.append(ids[draws[ids].argmin(axis=0)].astype(">u2").tobytes())
+            tokens = [n % window for n in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["uid", "tokens", "sketch"],
+            )
+
+    return run
+
+
+def _best_near(batches):
+    """Sorted (tree, turned, unit) to (unit, other, score): the sketch within ``REACH`` rows that agrees most.
+
+    Among equals a hash of the pair decides, the same from both sides, so that links pair up and don't run in chains.
+    """
+    tree, units = np.empty(0, np.int64), np.empty(0, np.int64)
+    marks = np.empty((0, SKETCH), ">u2")
+    for batch in batches:
+        tree = np.concatenate([tree[-REACH:], np.array(batch.column(0).to_pylist(), np.int64)])
+        turned = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, SKETCH)
+        marks = np.concatenate([marks[-REACH:], turned])
+        units = np.concatenate([units[-REACH:], np.array(batch.column(2).to_pylist(), np.int64)])
+        score, other = np.full(len(units), -1), units.copy()
+        for d in range(1, min(REACH, len(units) - 1) + 1):
+            agree = (marks[:-d] == marks[d:]).sum(axis=1)
+            chance = (mix((units[:-d] ^ units[d:]).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+            now = np.where((agree > 0) & (tree[:-d] == tree[d:]), agree << 31 | chance, -1)
+            for mine, theirs in ((slice(None, -d), slice(d, None)), (slice(d, None), slice(None, -d))):
+                better = now > score[mine]
+                score[mine][better] = now[better]
+                other[mine][better] = units[theirs][better]
+        found = score >= 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(units[found]), pa.array(other[found]), pa.array(score[found])], names=["unit", "other", "score"]
+        )
+
+
+def _running(batches):
+    """(uid, tokens) to (uid, part, before, upto): the tokens of the task before and with each row."""
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        tokens = np.array(batch.column(1).to_pylist(), np.int64)
+        upto = total + np.cumsum(tokens)
+        total = int(upto[-1]) if len(upto) else total
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.full(len(upto), part, np.int64)), pa.array(upto - tokens), pa.array(upto)],
+            names=["uid", "part", "before", "upto"],
+        )
+
+
+def _shards(fragments: DataFrame, known, window: int, shard_tokens: int) -> DataFrame:
+    """``uid, shard``: the corpus in one order, linked fragments together, cut after every ``shard_tokens`` tokens.
+
+    Equal sketches are one unit, so a group of copies of any size costs one comparison an order, and the order ends with
+    the row, so such a group is cut like everything else.
+    """
+    spark = fragments.sparkSession
+    sketches = materialize(fragments.select("uid", "doc_tokens", "rest").mapInArrow(
+        _sketches(window, known), "uid long, tokens long, sketch binary"
+    ), "pack-sketches")
+    units = materialize(
+        sketches.groupBy("sketch").agg(F.min("uid").alias("unit"), F.count(F.lit(1)).alias("n")), "pack-units"
+    )
+    step = 2 * (SKETCH // ORDERS)
+    turned = F.expr(f"concat(substring(sketch, {step} * tree + 1), substring(sketch, 1, {step} * tree))")
+    orders = units.select("unit", "sketch", F.explode(F.array(*map(F.lit, range(ORDERS)))).alias("tree"))
+    sorted_ = (
+        orders.select("tree", turned.alias("turned"), "unit").repartitionByRange("tree", "turned", "unit")
+        .sortWithinPartitions("tree", "turned", "unit")
+    )
+    near = sorted_.mapInArrow(_best_near, "unit long, other long, score long")
+    best = near.groupBy("unit").agg(F.max_by("other", F.struct("score", "other")).alias("other"))
+    classes = materialize(components(best.select(F.col("unit").alias("u"), F.col("other").alias("v"))), "pack-classes")
+    linked = materialize(units.join(classes, "unit", "left").withColumn("class", F.coalesce("class", "unit")), "pack-linked")
+    homes = linked.groupBy("class").agg(F.min("sketch").alias("home"))
+    answers = materialize(linked.join(homes, "class").select("sketch", "n", "home"), "pack-homes")
+    placed = lookup(sketches, answers, "sketch", "n").select("uid", "tokens", "home", "sketch")
+    order = ("home", "sketch", "uid")
+    running = materialize(
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).select("uid", "tokens")
+        .mapInArrow(_running, "uid long, part long, before long, upto long"), "pack-running",
+    )
+    parts = sorted(map(tuple, running.groupBy("part").agg(F.max("upto")).collect()))  # one row a task
+    starts = np.cumsum([0, *[n for _, n in parts]]).tolist()
+    size = -(-starts[-1] // max(1, -(-starts[-1] // shard_tokens))) or 1
+    begins = spark.createDataFrame([(p, at) for (p, _), at in zip(parts, starts)], "part long, begin long")
+    return running.join(F.broadcast(begins), "part").select(
+        "uid", F.floor((F.col("begin") + F.col("before")) / F.lit(size)).cast("long").alias("shard")
+    )
+
+
 class Bm25Shard:
     """Inverted index over the fragments of a shard: postings by token with their BM25 weights."""
 
@@ -209,8 +320,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, wi
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is the ids of its whole text and the end id; a null text is empty and has the end id alone.  Its
-    full windows are sequences of their own.  The fragment that is left goes to one of the shards (by a hash of the
-    row, so hot sources, copies and repeated rows spread evenly); token statistics for BM25 come from all
+    full windows are sequences of their own.  The fragment that is left goes to the shard of the fragments it is linked to
+    (:func:`_shards`; shards have equal numbers of tokens, whatever is copied or repeated); token statistics for BM25 come from all
     fragments of all shards and are bounded by the vocabulary.  Tokens in more than half of the fragments weigh nothing.
     Only the last sequence of a shard has padding.  An empty table gives no rows; only the id and the text are read.
     """
@@ -230,7 +341,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, wi
     for token, count in df.items():
         idf[token] = max(0.0, np.log((n - count + 0.5) / (count + 0.5)))
     known = docs.sparkSession.sparkContext.broadcast((idf, total / max(n, 1)))
-    shards = max(1, -(-total // SHARD_TOKENS))
+    many = total > SHARD_TOKENS
     schema = _PIECES.format(kind)
 
     def fill(group: pa.Table) -> pa.Table:
@@ -253,10 +364,10 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, wi
             names=[x.split()[0] for x in schema.split(", ")],
         )
 
-    filled = (
-        fragments.select("uid", "doc_id", "doc_tokens", "rest", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
-        .groupBy("shard").applyInArrow(fill, schema)
-    )
+    rests = fragments.select("uid", "doc_id", "doc_tokens", "rest")
+    shards = _shards(fragments, known, window, SHARD_TOKENS) if many else None
+    placed = rests.join(shards, "uid") if many else rests.withColumn("shard", F.lit(0).cast("long"))
+    filled = placed.groupBy("shard").applyInArrow(fill, schema)
     blocks = cut.select("doc_id", "doc_tokens", "first_block", F.posexplode("blocks").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"),
         "ids_crc32", "doc_tokens", (2 * (F.col("first_block") + F.col("k"))).alias("sequence_id"),

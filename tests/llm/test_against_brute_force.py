@@ -320,6 +320,38 @@ def test_packing_holds_each_id_once(spark, texts):
     assert sum(r["length"] for r in rows) > 0.95 * 2048 * len(sequences)
 
 
+def test_packing_brings_neighbours_of_the_whole_corpus_together(spark, monkeypatch):
+    """Recall of the best BM25 neighbours over all fragments, with two dozen shards and with six."""
+    whole = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    names, fragments = [], []
+    for r in docs.collect():
+        ids = np.append(whole.of(r["text"] or ""), np.uint32(1))
+        if len(ids) % 2048:
+            names.append(r["doc_id"])
+            fragments.append(ids[len(ids) // 2048 * 2048:].astype(np.int64))
+    df = np.bincount(np.concatenate([np.unique(x) for x in fragments]))
+    idf = np.maximum(0, np.log((len(fragments) - df + 0.5) / (df + 0.5))) * (df > 0)
+    index = packing.Bm25Shard(fragments, idf, np.mean([len(x) for x in fragments]))
+    total = sum(map(len, fragments))
+    for count, least in ((24, 0.7), (6, 0.8)):
+        monkeypatch.setattr(packing, "SHARD_TOKENS", -(-total // count))
+        rows = packing.pack_documents(docs).where("sequence_id % 2 = 1").select("doc_id", "sequence_id").collect()
+        by_name = {r["doc_id"]: r["sequence_id"] >> 33 for r in rows}
+        shard = np.array([by_name[i] for i in names])
+        lengths = np.bincount(shard, weights=[len(x) for x in fragments])
+        assert len(lengths) == count and lengths.max() <= total / count + 2 * 2048
+        hits, related = [], []
+        for seed in range(len(fragments)):
+            score = index.scores(seed)
+            own, score[seed] = score[seed], -1
+            hits.append(score[shard == shard[seed]].max() >= score.max() - 1e-9)
+            related.append(score.max() > 0.8 * own)
+        hits, related = np.array(hits), np.array(related)
+        print(f"{count} shards: {hits.mean():.3f} of all seeds, {hits[related].mean():.3f} of {related.mean():.3f} related")
+        assert hits[related].mean() > least and hits.mean() > 3 / count
+
+
 def test_bm25_scores_and_greedy_windows():
     chance = np.random.default_rng(6)
     fragments = [chance.integers(0, 50, n).astype(np.uint16) for n in (30, 20, 25, 40, 5)]
