@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import BLANK_WORDS, lookup, materialize, mix, table, text_slices, word_hashes
+from reelscope.llm.common import BLANK_WORDS, lookup, materialize, mix, single_spaced, table, text_slices, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -353,6 +353,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two linked texts miss each other in all 32 bands of 5 components with a probability below 4e-6.
     """
+    return _judged(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` with the key of the words, and the one key among those of the class's smallest id that stays."""
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     signed = materialize(
@@ -372,33 +377,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "class", F.coalesce("class", "unit")
     )
     whole = materialize(whole, "near-whole")
-    names = whole.groupBy("class").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    answers = materialize(whole.join(names, "class").select("key", "n", "class_id", "class_size"), "near-answers")
+    names = whole.groupBy("class").agg(
+        F.min("rep").alias("class_id"), F.sum("n").alias("class_size"),
+        F.min_by("key", F.struct(F.col("rep").isNull(), "rep", "key")).alias("kept_key"),
+    )
+    answers = materialize(
+        whole.join(names, "class").select("key", "n", "class_id", "class_size", "kept_key"), "near-answers"
+    )
     found = lookup(signed.select("doc_id", "key"), answers, "key", "n")
     return found.select(
-        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "key", "kept_key"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns: one row of each class, also where an id has several rows.
 
-    Of documents without an id, one row of each text stays.
+    Rows are told apart by id and words, so different texts under one id are judged each by its own class.  Of documents
+    without an id, one row of each text stays.
     """
-    found = near_duplicates(docs)
+    found = _judged(docs)
+    stays = F.col("kept") & (F.col("key") == F.col("kept_key"))
     ids = materialize(found.groupBy("doc_id").agg(
-        F.max("kept").alias("kept"), F.sum(F.col("kept").cast("int")).alias("rows")
-    ).where("not kept or rows > 1 or doc_id is null"), "near-ids")
-    gone = ids.where("not kept").select("doc_id")
+        F.count(F.lit(1)).alias("rows"), F.sum(stays.cast("int")).alias("stay")
+    ).where("rows > 1 or stay = 0 or doc_id is null"), "near-ids")
+    gone = ids.where("stay = 0").select("doc_id")
     few = gone.count() <= BROADCAST_IDS  # else the ids meet the texts in a shuffle
     named = docs.where("doc_id is not null")
     left = named.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    often = ids.where("kept and rows > 1 and doc_id is not null").select("doc_id")
+    often = ids.where("stay > 0 and doc_id is not null").where("rows > 1").select("doc_id")
+    nameless = ids.where("doc_id is null and stay > 0")
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    words = F.unhex(F.md5(F.trim(single_spaced())))  # as _word_key
     if not often.isEmpty():
         once = left.join(often, "doc_id", "left_anti")
-        left = once.unionByName(named.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not ids.where("doc_id is null and kept").isEmpty():
-        left = left.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+        several = named.join(often, "doc_id", "left_semi").withColumn(key, words)
+        kept = found.where(stays).join(often, "doc_id", "left_semi").select("doc_id", F.col("key").alias(key)).distinct()
+        several = several.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+        left = once.unionByName(several.drop(key))
+    if not nameless.isEmpty():
+        kept = found.where(stays).where("doc_id is null").select(F.col("key").alias(key)).distinct()
+        several = docs.where("doc_id is null").withColumn(key, words).join(kept, key, "left_semi").dropDuplicates([key])
+        left = left.unionByName(several.drop(key))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

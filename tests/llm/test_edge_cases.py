@@ -57,6 +57,20 @@ def test_null_ids_and_labels(spark):
     assert not quality_classifier.train(docs, nobody).any()
 
 
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    first, second, third = ("one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g")
+    rows = [
+        (1, first), (2, second), (2, third), (3, second.replace(" ", "  ")),  # both texts of id 2 are the first of a class
+        (4, first), (4, "h i j k l m n"),  # a copy of id 1, and a text of its own
+        (5, "o p q r s t"), (5, "o p  q r s t"), (None, first), (None, "u v w x y z"), (None, "u v w x y  z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(((r["doc_id"] or 0, " ".join(r["text"].split())) for r in near_dedup.keep_one(docs).collect()))
+    assert left == [
+        (0, "u v w x y z"), (1, first), (2, third), (2, second), (4, "h i j k l m n"), (5, "o p q r s t"),
+    ]
+
+
 def test_line_dedup_by_hand(spark):
     found = {(r["doc_id"], r["n_removed"]) for r in line_dedup.remove_spread_lines(cases.documents(spark)).collect()}
     passage_docs = {10: 1, 11: 1, 12: 1, 13: 2, 14: 1, 15: 1}
