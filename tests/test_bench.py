@@ -1,0 +1,8 @@
+"""The bench times every corpus query."""
+
+import bench
+from reelscope.llm import queries
+
+
+def test_every_corpus_query_is_timed():
+    assert {*queries.QUERIES, "pipeline"} <= set(bench.HEADLINE)
