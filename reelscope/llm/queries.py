@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from reelscope.llm import (
-    chat_format, exact_dedup, license_scan, line_crf, line_dedup, near_dedup, packing, quality_classifier, sentence_pieces,
-    token_counts,
+    chat_format, conversation_repair, exact_dedup, license_scan, line_crf, line_dedup, near_dedup, packing, parity_join,
+    quality_classifier, sentence_pieces, spelling_variants, token_counts,
 )
 
 QUERIES = {
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_packing": packing.op9_packing,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_jaccard_join": parity_join.op12_jaccard_join,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 
 SQL = {
@@ -25,4 +28,7 @@ SQL = {
     "op5_chat_format": chat_format.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op11_conversation_repair": conversation_repair.SQL,
+    "op12_jaccard_join": parity_join.SQL,
+    "op13_spelling_variants": spelling_variants.SQL,
 }

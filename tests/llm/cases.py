@@ -8,7 +8,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
 #: Column names that the operators use inside.
 CLASHES = ("key", "unit", "band", "hash", "_hash", "n", "kept", "score", "row", "gone", "md5", "line", "shard", "uid",
-           "words", "class", "marks", "n_lines", "text_hash", "keep_id", "bands", "rep", "quality")
+           "words", "class", "marks", "n_lines", "text_hash", "keep_id", "bands", "rep", "quality",
+           "filed", "size", "unit_a", "u", "v", "f0", "word", "_run", "_id", "part", "component_id")
 
 
 def rows():

@@ -4,8 +4,8 @@ import public_tokenizers
 import pytest
 
 from reelscope.llm import (
-    chat_format, exact_dedup, license_scan, line_crf, line_dedup, near_dedup, packing, quality_classifier,
-    sentence_pieces, token_counts,
+    chat_format, exact_dedup, license_scan, line_crf, line_dedup, near_dedup, packing, parity_join, quality_classifier,
+    sentence_pieces, spelling_variants, token_counts,
 )
 from tests.llm import cases
 
@@ -18,6 +18,7 @@ PER_DOCUMENT = {
     "line_dedup": lambda d: line_dedup.remove_spread_lines(d).select("doc_id", "n_lines", "n_removed", "text"),
     "piece_digests": lambda d: sentence_pieces.piece_digests(d, public_tokenizers.path("piece_bpe_32k.model")),
     "license_scan": license_scan.license_scan,
+    "jaccard_components": parity_join.jaccard_components,
 }
 OTHERS = {
     "pack": packing.pack_documents,
@@ -25,6 +26,7 @@ OTHERS = {
     "keep_good": lambda d: quality_classifier.keep_good(d, quality_classifier.Ftrl(1 << 18).weights()),
     "keep_one": near_dedup.keep_one,
     "line_labels": lambda d: line_crf.line_labels(d, line_crf.Crf()),
+    "spelling_variants": spelling_variants.spelling_variants,
 }
 
 
