@@ -17,7 +17,8 @@ def _totals(train: DataFrame, keys: list[str], target: str) -> DataFrame:
     )
 
 
-def _blend(s, k, mean, smoothing):
+def blend(s: Column, k: Column, mean: Column, smoothing: float = ENCODING_SMOOTHING) -> Column:
+    """The mean of ``k`` targets with the sum ``s``, drawn towards the overall mean."""
     return (F.coalesce(s, F.lit(0.0)) + F.lit(smoothing) * mean) / (k + F.lit(smoothing))
 
 
@@ -32,7 +33,7 @@ def target_encode_fit(
     totals = materialize(_totals(train, [column], target), "encoding")
     overall = totals.agg(F.try_divide(F.sum("_s"), F.sum("_k")).alias("global_mean"))
     known = attach_scalars(totals.where(F.col(column).isNotNull()), overall, "_g")
-    fitted = known.select(column, "rows", _blend(F.col("_s"), F.col("_k"), F.col("_g.global_mean"), smoothing).alias("encoding"))
+    fitted = known.select(column, "rows", blend(F.col("_s"), F.col("_k"), F.col("_g.global_mean"), smoothing).alias("encoding"))
     return fitted, overall
 
 
@@ -57,7 +58,7 @@ def target_encode_oof(
     left_k = F.col("_all_k") - F.col("_k")
     left_s = F.coalesce("_all_s", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))
     fitted = others.select(
-        column, "_fold", "rows", _blend(left_s, left_k, F.col("_g.global_mean"), smoothing).alias("encoding")
+        column, "_fold", "rows", blend(left_s, left_k, F.col("_g.global_mean"), smoothing).alias("encoding")
     )
     found = attach_scalars(lookup_join(placed, fitted.drop("rows"), [column, "_fold"]), overall, "_g")
     encoded = F.coalesce("encoding", F.col("_g.global_mean"))

@@ -75,6 +75,13 @@ def log_scale_metrics(df: DataFrame, by=("model",)) -> DataFrame:
     )
 
 
+def symmetric_error(df: DataFrame) -> DataFrame:
+    """One row ``smape`` of log-scale ``y`` and ``yhat`` on the original scale, as in :func:`log_scale_metrics`."""
+    rows = df.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    y, seen = F.expm1("y"), F.greatest(F.expm1(bounded_log("yhat")), F.lit(0.0))
+    return rows.agg((F.avg(F.lit(2.0) * F.abs(y - seen) / (F.abs(y) + seen + F.lit(1.0))) * F.lit(100.0)).alias("smape"))
+
+
 def cv_summary(folds: DataFrame, columns=("smape", "r2_log", "medae")) -> DataFrame:
     """``metric, mean, std`` over the folds (sample standard deviation)."""
     cells = F.array(*[F.struct(F.lit(c).alias("metric"), num(c).alias("x")) for c in columns])

@@ -93,11 +93,12 @@ def test_feature_variants():
     assert not any("day7" in c for c in features.feature_names("v3", 3))
 
 
-def test_p_values():
+def test_p_values(spark):
     def tail(rho, n):
-        t2 = rho * rho * (n - 2) / (1 - rho * rho)
-        return stats._beta_tail((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+        return spark.range(1).select(stats.correlation_p_value(F.lit(rho).cast("double"), F.lit(n).cast("double"))).first()[0]
 
+    assert tail(1.0, 9) == 0.0 and tail(0.0, 9) == pytest.approx(1.0) and tail(0.5, 2) is None and tail(None, 9) is None
+    assert tail(-0.5, 20) == tail(0.5, 20)
     assert tail(0.5, 20) == pytest.approx(0.02475, abs=1e-4)  # t = 2.449 with 18 degrees of freedom
     assert tail(0.0001, 50) == pytest.approx(1.0, abs=1e-3)
     assert tail(0.9, 100) < 1e-30
@@ -149,8 +150,81 @@ def test_acf_and_pacf_against_numpy(series):
 def test_unit_root(series):
     got = {r.topic: r for r in stats.adf_test(series[1]).collect()}
     assert got["steady"].p_value < 0.01 < got["walk"].p_value
-    assert stats.unit_root_p_value(-2.86) == pytest.approx(0.05, abs=0.002)
-    assert stats.unit_root_p_value(-3.43) == pytest.approx(0.01, abs=0.001)
+    table = series[1].sparkSession.createDataFrame([(-2.86,), (-3.43,), (3.0,), (-19.0,)], "s double")
+    p = [r[0] for r in table.select(stats.unit_root_p_value(F.col("s"))).collect()]
+    assert p[0] == pytest.approx(0.05, abs=0.002)
+    assert p[1] == pytest.approx(0.01, abs=0.001)
+    assert p[2:] == [1.0, 0.0]
+
+
+def plain_unit_root(y, most_lags=None):
+    """(statistic, lags, days) by one regression after the other."""
+    step, n = np.diff(y), len(y)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+    most = most if most_lags is None else min(most, most_lags)
+
+    def regress(lags, skip):
+        rows = np.arange(skip, len(step))
+        x = np.column_stack([y[rows], np.ones(len(rows)), *[step[rows - k] for k in range(1, lags + 1)]])
+        beta, *_ = np.linalg.lstsq(x, step[rows], rcond=None)
+        rest = step[rows] - x @ beta
+        return x, beta, rest @ rest
+
+    scores = []
+    for lags in range(most + 1):
+        x, _, sse = regress(lags, most)
+        scores.append(len(x) * np.log(sse / len(x)) + 2 * x.shape[1])
+    best = int(np.argmin(scores))
+    x, beta, sse = regress(best, best)
+    spread = np.sqrt(np.linalg.inv(x.T @ x)[0, 0] * sse / (len(x) - x.shape[1]))
+    return beta[0] / spread, best, len(x)
+
+
+def test_unit_root_against_regressions(series):
+    arrays, df = series
+    for limit in (None, 0, 3):
+        got = {r.topic: r for r in stats.adf_test(df, max_lags=limit).collect()}
+        for name in ("steady", "walk"):
+            statistic, lags, days_ = plain_unit_root(arrays[name], limit)
+            assert (got[name].lags, got[name].n_used) == (lags, days_)
+            assert got[name].statistic == pytest.approx(statistic, rel=1e-9)
+
+
+def test_series_without_a_test(spark):
+    rows = [("flat", d, 5.0) for d in days(40)] + [("short", d, float(i)) for i, d in enumerate(days(3))] + [("one", days(1)[0], 1.0)]
+    df = spark.createDataFrame(rows, "topic string, date date, value double")
+    got = {r.topic: tuple(r)[1:] for r in stats.adf_test(df).collect()}
+    assert got == {t: (None, None, 0, 0) for t in ("flat", "short", "one")}
+    assert {r.pacf for r in stats.pacf(df).where("topic = 'flat' and lag > 0").collect()} == {None}
+    assert stats.adf_test(df.where("false")).count() == stats.pacf(df.where("false")).count() == 0
+    assert {r.forecast for r in forecast.forecast_seasonal_ar(df.where("topic = 'short'")).collect()} <= {None}
+
+
+def plain_seasonal(y, horizon):
+    week = y[7:] - y[:-7]
+    w = np.diff(week)
+    rows = np.arange(7, len(w))
+    lagged = np.column_stack([w[rows - k] for k in range(1, 8)])
+    first, *_ = np.linalg.lstsq(lagged, w[rows], rcond=None)
+    shock = np.zeros(len(w))
+    shock[rows] = w[rows] - lagged @ first
+    rows = np.arange(9, len(w))
+    x = np.column_stack([w[rows - 1], w[rows - 7], w[rows - 8], shock[rows - 1]])
+    (a, b, c, m), *_ = np.linalg.lstsq(x, w[rows], rcond=None)
+    w, y, e, out = list(w), list(y), shock[-1], []
+    for _ in range(horizon):
+        w.append(a * w[-1] + b * w[-7] + c * w[-8] + m * e)
+        y.append(w[-1] + y[-1] + y[-7] - y[-8])
+        e = 0.0
+        out.append(y[-1])
+    return out
+
+
+def test_seasonal_forecast_against_numpy(series):
+    arrays, df = series
+    got = forecast.forecast_seasonal_ar(df).where("topic <> 'weekly'").orderBy("topic", "date").toPandas()
+    for name in ("steady", "walk"):
+        np.testing.assert_allclose(got[got.topic == name].forecast, plain_seasonal(arrays[name][:112], 28), rtol=1e-6, atol=1e-6)
 
 
 def test_forecasts_follow_trend_and_week(series):
@@ -174,7 +248,8 @@ def test_registry_names():
 
 def test_trials_repeat():
     a, b = models.draw_trials(models.GBT_SPACE, 4), models.draw_trials(models.GBT_SPACE, 4)
-    assert a == b and all(10 <= t["trees"] <= 100 and 0.05 <= t["rate"] <= 0.3 for t in a)
+    assert a == b and all(200 <= t["trees"] <= 1000 and 0.01 <= t["rate"] <= 0.15 for t in a)
+    assert set(a[0]) == {"trees", "rate", "depth", "leaf", "rows", "columns"}
 
 
 @pytest.fixture(scope="module")
@@ -206,6 +281,26 @@ def test_ridge_equals_normal_equations(table):
     np.testing.assert_allclose(got["yhat"], y.mean() + z @ beta, atol=0.02)
 
 
+def test_linear_models_are_at_their_optimum(table):
+    """The gradient of each objective over the scaled inputs, at the fitted coefficients."""
+    pdf = table.toPandas()
+    x, y = pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    n, scale = len(y), y.std(ddof=1)
+    model = models.fit("elastic_net", table, {"penalty": 0.05, "mix": 0.5}).stages[-1]
+    beta = model.coefficients.toArray()
+    rest = (y - z @ beta - model.intercept) / scale
+    assert rest.mean() == pytest.approx(0, abs=1e-6)
+    slope = z.T @ rest / n - 0.05 / scale * 0.5 * beta / scale  # minus the smooth part's gradient, in units of the target
+    for k in range(2):
+        bound = 0.05 / scale * 0.5
+        assert slope[k] == pytest.approx(np.sign(beta[k]) * bound, abs=2e-4) if beta[k] else abs(slope[k]) <= bound + 2e-4
+    huber = models.fit("robust_huber", table, {"penalty": 0.0}).stages[-1]
+    beta, sigma = huber.coefficients.toArray(), huber.scale
+    pull = np.clip((y - z @ beta - huber.intercept) / sigma, -1.35, 1.35)
+    assert abs(pull.mean()) < 1e-3 and np.abs(z.T @ pull / n).max() < 1e-3
+
+
 def test_search_refit_and_folds(spark, table):
     trials = models.hyper_search(table.withColumn("create_date", F.lit("2024-01-01").cast("date")), "elastic_net", trials=4)
     rows = trials.collect()
@@ -224,6 +319,106 @@ def test_quantile_forest_orders_and_covers(table):
     assert 0.6 < ((rows.y >= rows.p10) & (rows.y <= rows.p90)).mean() <= 1.0
 
 
+def plain_quantiles(model, train, rows, probs):
+    """Weights of all training targets for each row, from the leaves that both share, as in the published method."""
+    def leaves(df):
+        pdf = model.transform(df).select("video_id", "y", models.vector_to_array("leaf").alias("leaf")).toPandas()
+        return pdf.video_id.to_numpy(), pdf.y.to_numpy(), np.stack(pdf.leaf)
+
+    _, targets, theirs = leaves(train)
+    order = np.argsort(targets)
+    found = {}
+    for i, own in zip(*leaves(rows)[::2]):
+        shared = theirs == own
+        weights = (shared / shared.sum(axis=0)).mean(axis=1)[order]
+        found[i] = [targets[order][np.searchsorted(np.cumsum(weights), p - 1e-9)] for p in probs]
+    return found
+
+
+@pytest.mark.parametrize("most", [models.BROADCAST_TARGETS, 0])
+def test_quantile_forest_equals_weighted_targets(table, monkeypatch, most):
+    monkeypatch.setattr(models, "BROADCAST_TARGETS", most)  # 0: the leaves meet the rows in a shuffle
+    train, rows = table.where("video_id % 6 > 0"), table.where("video_id % 6 = 0 or video_id < 480")
+    forest = models.fit_quantile_forest(train, {"trees": 12, "depth": 6, "leaf": 5, "bins": 32})
+    got = {r.video_id: [r.p10, r.p50, r.p90] for r in forest.predict(rows.repartition(5)).collect()}
+    want = plain_quantiles(forest.model, train, rows, (0.1, 0.5, 0.9))
+    assert len(got) == 500 and got.keys() == want.keys()
+    for i in got:
+        np.testing.assert_allclose(got[i], want[i])
+
+
+def test_large_leaves_keep_steps(table, monkeypatch):
+    monkeypatch.setattr(models, "LEAF_STEPS", 16)
+    forest = models.fit_quantile_forest(table, {"trees": 3, "depth": 1, "leaf": 100, "bins": 32})
+    held = forest.leaves.selectExpr("size(targets) as n", "aggregate(shares, 0d, (a, x) -> a + x) as whole").collect()
+    assert all(r.n <= 16 and r.whole == pytest.approx(1.0) for r in held)
+    exact = plain_quantiles(forest.model, table, table, (0.1, 0.5, 0.9))
+    got = {r.video_id: [r.p10, r.p50, r.p90] for r in forest.predict(table).collect()}
+    assert max(abs(a - b) for i in got for a, b in zip(got[i], exact[i])) < 0.4  # targets run from 0 to 4
+
+
+def dated(table):
+    return table.withColumn("create_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("video_id").cast("int")))
+
+
+def test_boosting_stops_by_itself(table):
+    asked = {"trees": 60, "rate": 0.3, "depth": 3, "leaf": 10, "bins": 32, "tolerance": 0.0}
+    stopped = models.fit("gbt_mse", dated(table), asked)
+    assert 1 < stopped.stages[-1].getNumTrees < 60
+    assert models.fit("gbt_mse", table, {**asked, "trees": 7}).stages[-1].getNumTrees == 7  # no dates: nothing to stop by
+
+
+def test_search_is_the_same_with_any_threads(table):
+    space = {**models.GBT_SPACE, "trees": ("int", 3, 6), "depth": ("int", 2, 3)}
+    one, four = (
+        models.hyper_search(dated(table), "gbt_mape", space, trials=4, threads=n, held={"bins": 32}).collect() for n in (1, 4)
+    )
+    assert one == four and len({r.smape for r in one}) > 1
+    assert set(one[0].asDict()) == {"trial", "smape", *models.GBT_SPACE}
+
+
+def test_error_of_the_search_is_that_of_the_board(table):
+    scored = table.select("y", (F.col("y") * 0.9 - 0.1).alias("yhat"))
+    board = metrics.log_scale_metrics(scored, by=()).first().smape
+    assert models.SmapeEvaluator().evaluate(scored) == pytest.approx(board)
+    assert not models.SmapeEvaluator().isLargerBetter()
+
+
+def test_fold_encodings_equal_those_fitted_per_fold(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({
+        "video_id": range(400), "author_id": rng.integers(0, 40, 400), "topic": rng.choice(["a", "b", None], 400),
+        "create_date": rng.choice(days(60), 400), "incr_plays_3_30": rng.choice([1.0, 5.0, 9.0, np.nan], 400),
+    })
+    rows = spark.createDataFrame(
+        [tuple(None if x != x else x for x in r) for r in pdf.astype(object).itertuples(index=False)],
+        "video_id long, author_id long, topic string, create_date date, incr_plays_3_30 double",
+    ).cache()
+    folds = splits.expanding_folds(rows, 4, min_train=1, min_test=1).orderBy("fold").collect()
+    table = models.with_fold_encodings(rows, folds).cache()
+    assert len(folds) == 4 and table.count() == 400
+    for place, f in enumerate(folds):
+        early = rows.where(F.col("create_date") <= F.lit(f.train_end))
+        want = {r.video_id: (r.author_id_te, r.topic_te) for r in encoding.with_encodings(rows, early).collect()}
+        for r in table.collect():
+            assert (r.author_id_all[place], r.topic_all[place]) == pytest.approx(want[r.video_id])
+
+
+def test_one_hot_without_names(spark):
+    v = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c"), (5, "c")], "video_id long, topic string")
+    got = {r.video_id: (r.topic_size, r.topic_place) for r in features.one_hot_topic(v).select("video_id", *features.hot_place()).collect()}
+    assert got == {1: (2, 1), 2: (2, None), 3: (2, None), 4: (2, 0), 5: (2, 0)}
+    known = features.topic_places(v.where("topic <> 'c'"))
+    assert {r.video_id: r.topic_vec.toArray().tolist() for r in features.one_hot_topic(v, known).collect()} == {
+        1: [1.0], 2: [0.0], 3: [0.0], 4: [0.0], 5: [0.0]}
+    assert features.one_hot_topic(v.where("topic is null")).first().topic_vec.size == 0
+    many = spark.range(100_000).select(F.col("id").alias("video_id"), F.format_string("t%06d", "id").alias("topic"))
+    places = features.one_hot_topic(many).select("video_id", *features.hot_place())
+    found = places.agg(F.max("topic_size"), F.count("topic_place"), F.countDistinct("topic_place"), F.min("topic_place")).first()
+    assert tuple(found) == (99_999, 99_999, 99_999, 0)
+    assert len(features.one_hot_topic(many).columns) == 3
+
+
 def test_importance_names_the_signal(table):
     model = models.fit("gbt_mse", table, {"trees": 5, "depth": 3, "leaf": 10, "bins": 32})
     assert models.feature_importance(model, table).first().feature == "a"
