@@ -220,9 +220,9 @@ def rank_percent(
         )
         for i, (name, value) in enumerate(metrics.items())
     ])
-    long = df.select(row_id, F.inline(cells)).where(
+    long = materialize(df.select(row_id, F.inline(cells)).where(
         F.col("part").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")
-    )
+    ), "long-values")  # the ranking and the lookup read it several times
     keys = ["part", "metric"]
     ranks = rank_counts(_count_values(long, keys), keys).select(
         *keys, "v", "n", (F.col("avg_rank") / F.col("total")).alias("pct")

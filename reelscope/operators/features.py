@@ -6,13 +6,15 @@ everything row-level is one projection.  Ranks and medians are the only parts th
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelscope.functions.columns import attach_scalars, clip, num, zero
 from reelscope.functions.fixed_values import EMOTIONS, FEATURES_V3, NOT_FEATURES, TARGET, TEXT_COLUMNS
-from reelscope.operators.distribution import medians, rank_percent
+from reelscope.operators.distribution import lookup_join, medians, number_rows, rank_percent
+from reelscope.sources.tables import materialize
 
 GLOBAL_RANKS = ("velocity_1_3", "plays_day3", "creator_median_plays30", "follower_count")
 TOPIC_RANKS = ("plays_day3", "velocity_1_3")
@@ -140,27 +142,45 @@ def features(v: DataFrame, variant: str = "v3", null_target: str | None = None,
 NOTEBOOK_NUMBERS = ("duration", "speaking_rate", "joy", "sadness", "anger")
 
 
-def one_hot_topic(v: DataFrame, topics: list[str]) -> DataFrame:
-    """``topic_{name}`` 0/1 columns for the given levels (leave out the first level yourself)."""
-    flags = {f"topic_{t}": F.coalesce((F.col("topic") == t).cast("double"), F.lit(0.0)) for t in topics}
-    return v.withColumns(flags)
+def topic_places(v: DataFrame) -> DataFrame:
+    """``topic, topic_index``: the distinct topics numbered from the last name to the first, from 0."""
+    names = v.select("topic").where(F.col("topic").isNotNull()).distinct()
+    numbered = number_rows(names, "topic", F.lit(0), "_place", descending=True)
+    return materialize(numbered.select("topic", (F.col("_place") - 1).cast("double").alias("topic_index")), "topic-places")
 
 
-def topic_levels(v: DataFrame) -> list[str]:
-    """Sorted topics of a table: one name per column that the one-hot encoding is going to have."""
-    rows = v.select("topic").where(F.col("topic").isNotNull()).distinct().orderBy("topic").collect()
-    return [r.topic for r in rows]
+def one_hot_topic(v: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Add ``topic_vec``: a sparse 0/1 vector with a place for every topic but the first by name.
 
-
-def feat_v1(v: DataFrame, topics: list[str]) -> DataFrame:
-    """First-generation features: log levels, a few raw numbers, topic flags; target is total day-30 plays."""
+    The first topic, a null and a topic that ``places`` (of :func:`topic_places`) doesn't know are all zeros.  The
+    vector is as long as there are topics; a row holds one place of it, however many there are.
+    """
+    places = topic_places(v) if places is None else places
+    size = places.count()  # one number: the length of the vectors
+    # the last place, that of the first name, is the one the encoder leaves out
+    index = F.coalesce("topic_index", F.lit(float(max(size - 1, 0))))
+    found = lookup_join(v, places, ["topic"]).withColumn("topic_index", index)
+    encoder = OneHotEncoder(inputCols=["topic_index"], outputCols=["topic_vec"], dropLast=True)
+    fitted = encoder.fit(v.sparkSession.range(max(size, 1)).select(F.col("id").cast("double").alias("topic_index")))
+    return fitted.transform(found).drop("topic_index")
+
+
+def hot_place(vector: str = "topic_vec") -> list[Column]:
+    """``topic_size, topic_place``: the length of a one-hot vector and the place that is 1, null for none."""
+    inside = F.unwrap_udt(vector)
+    return [
+        inside["size"].cast("long").alias("topic_size"), F.get(inside["indices"], F.lit(0)).cast("long").alias("topic_place"),
+    ]
+
+
+def feat_v1(v: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """First-generation features: log levels, a few raw numbers, ``topic_vec``; target is total day-30 plays."""
     logs = {f"{c}_log": F.log1p(zero(c)) for c in ("plays_day0", "plays_day1", "plays_day3", "likes_day3", "follower_count")}
-    flagged = one_hot_topic(v, topics)
-    return flagged.select(
+    return one_hot_topic(v, places).select(
         "video_id", "create_date", _log_positive("plays_day30").alias("y"),
         *[e.alias(n) for n, e in logs.items()],
         *[zero(c).alias(c) for c in NOTEBOOK_NUMBERS],
-        *[f"`topic_{t}`" for t in topics],
+        "topic_vec",
     )
 
 

@@ -6,12 +6,11 @@ number of videos.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.functions.columns import num
+from reelscope.operators.least_squares import counting, let, solve
 from reelscope.operators.metrics import error_metrics
 from reelscope.operators.topic_series import number_series
 from reelscope.sources.tables import materialize
@@ -23,54 +22,87 @@ LONG_AR = 7
 MIN_DAYS = 4 * SEASON
 
 
-def _seasonal_coefficients(w: np.ndarray) -> np.ndarray:
-    """Two-stage least squares for ``w_t ~ w_(t-1), w_(t-7), w_(t-8), e_(t-1)``."""
-    rows = np.arange(LONG_AR, len(w))
-    lagged = np.column_stack([w[rows - k] for k in range(1, LONG_AR + 1)])
-    first, *_ = np.linalg.lstsq(lagged, w[rows], rcond=None)
-    shock = np.zeros(len(w))
-    shock[rows] = w[rows] - lagged @ first
-    rows = np.arange(max(LONG_AR, SEASON + 1) + 1, len(w))
-    design = np.column_stack([w[rows - 1], w[rows - SEASON], w[rows - SEASON - 1], shock[rows - 1]])
-    beta, *_ = np.linalg.lstsq(design, w[rows], rcond=None)
-    return np.append(beta, shock[-1])
-
-
-def _seasonal_path(y: np.ndarray, horizon: int) -> np.ndarray:
-    """Forecast ``horizon`` days after ``y`` from its day and week differences."""
-    if len(y) < MIN_DAYS:
-        return np.full(horizon, np.nan)
-    week = y[SEASON:] - y[:-SEASON]
-    w = np.diff(week)
-    a, b, c, m, shock = _seasonal_coefficients(w)
-    known_w, known_y = list(w), list(y)
-    for _ in range(horizon):
-        nxt = a * known_w[-1] + b * known_w[-SEASON] + c * known_w[-SEASON - 1] + m * shock
-        shock = 0.0
-        known_w.append(nxt)
-        known_y.append(nxt + known_y[-1] + known_y[-SEASON] - known_y[-SEASON - 1])
-    return np.array(known_y[len(y):])
-
-
-def _forecast_topic(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("date")
-    train = pdf.loc[pdf["is_train"], "value"].to_numpy(dtype=float)
-    test = pdf.loc[~pdf["is_train"]]
-    path = _seasonal_path(train, len(test))
-    return pd.DataFrame({
-        "topic": test["topic"], "date": test["date"], "actual": test["value"], "forecast": path,
-    })
+def _changes(y: Column) -> Column:
+    """The change since the day before of the change since the week before, from the ninth day on."""
+    return F.transform(counting(F.lit(SEASON + 1), F.size(y) - 1), lambda t: (
+        F.get(y, t) - F.get(y, t - SEASON) - F.get(y, t - 1) + F.get(y, t - 1 - SEASON)
+    ))
+
+
+def _seasonal_fit(w: Column) -> Column:
+    """``first, beta, shock``: two-stage least squares for ``w_t ~ w_(t-1), w_(t-7), w_(t-8), e_(t-1)``.
+
+    First a long autoregression, whose errors stand for the shocks (none in its first days); then the four coefficients.
+    """
+    def back(x: Column, lag: int, start: int) -> Column:
+        """``x`` of ``lag`` days before, from day ``start`` on."""
+        return F.slice(x, F.lit(start - lag + 1), F.size(x) - start)
+
+    long = F.array(*[back(w, k, LONG_AR) for k in range(1, LONG_AR + 1)], back(w, 0, LONG_AR))
+
+    def shocks(first: Column) -> Column:
+        return F.transform(w, lambda now, t: F.when(t < LONG_AR, F.lit(0.0)).otherwise(
+            now - sum((F.get(first, F.lit(k - 1)) * F.get(w, t - k) for k in range(1, LONG_AR + 1)), F.lit(0.0))
+        ))
+
+    def second(e: Column) -> Column:
+        start = SEASON + 2
+        short = F.array(
+            back(w, 1, start), back(w, SEASON, start), back(w, SEASON + 1, start), back(e, 1, start), back(w, 0, start))
+        return F.struct(solve(short, 4).alias("beta"), F.element_at(e, -1).alias("shock"))
+
+    return let(let(solve(long, LONG_AR), shocks), second)
+
+
+def _seasonal_path(y: Column, days: Column) -> Column:
+    """The levels of the next days after ``y``: a fold that carries the last eight steps and levels."""
+    kinds = "array<double>"
+
+    def walked(w: Column) -> Column:
+        def roll(fit: Column) -> Column:
+            start = F.struct(
+                F.slice(w, F.lit(-SEASON - 1), F.lit(SEASON + 1)).cast(kinds).alias("w"),
+                F.slice(y, F.lit(-SEASON - 1), F.lit(SEASON + 1)).cast(kinds).alias("y"),
+                fit["shock"].alias("shock"), F.array().cast(kinds).alias("path"),
+            )
+
+            def step(held: Column, day: Column) -> Column:
+                a, b, c, m = (F.get(fit["beta"], F.lit(i)) for i in range(4))
+                w_, y_ = held["w"], held["y"]
+                now = a * F.get(w_, F.lit(SEASON)) + b * F.get(w_, F.lit(1)) + c * F.get(w_, F.lit(0)) + m * held["shock"]
+                level = F.get(y_, F.lit(SEASON)) + F.get(y_, F.lit(1)) - F.get(y_, F.lit(0))
+                return let(now, lambda x: F.struct(
+                    F.concat(F.slice(w_, 2, SEASON), F.array(x)).alias("w"),
+                    F.concat(F.slice(y_, 2, SEASON), F.array(x + level)).alias("y"), F.lit(0.0).alias("shock"),
+                    F.concat(held["path"], F.array(x + level)).alias("path"),
+                ))
+
+            return F.aggregate(days, start, step, lambda held: held["path"])
+
+        return let(_seasonal_fit(w), roll)
+
+    return let(_changes(y), walked)
 
 
 def forecast_seasonal_ar(series: DataFrame, train_frac: float = 0.8) -> DataFrame:
     """``topic, date, actual, forecast`` of the hold-out days: seasonal AR with one moving-average term.
 
     Fitted on lag-1 and lag-7 differences by least squares, then rolled out without looking at the
-    hold-out values.
+    hold-out values, all in one expression over a topic's days, an array bounded by the calendar.  Fewer than
+    ``MIN_DAYS`` training days give null.
     """
-    marked = number_series(series, train_frac).select("topic", "date", "value", "is_train")
-    return marked.groupBy("topic").applyInPandas(
-        _forecast_topic, "topic string, date date, actual double, forecast double"
+    points = F.array_sort(F.collect_list(F.struct("date", num("value").alias("value"))))
+    topics = series.groupBy("topic").agg(points.alias("days"))
+    known = F.floor(F.size("days") * F.lit(train_frac)).cast("int")
+    parted = topics.select(
+        "topic", F.slice("days.value", F.lit(1), known).alias("y"), F.slice("days", known + 1, F.size("days")).alias("test")
+    )
+    path = F.when(F.size("y") >= MIN_DAYS, _seasonal_path(F.col("y"), F.col("test")))
+    return parted.select("topic", "test", path.alias("path")).select(
+        "topic", F.posexplode("test").alias("_i", "_day"), "path"
+    ).select(
+        "topic", F.col("_day.date").alias("date"), F.col("_day.value").alias("actual"),
+        F.get("path", F.col("_i")).alias("forecast"),
     )
 
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from reelscope.functions.columns import num
 from reelscope.functions.fixed_values import EMOTIONS, TARGET
 from reelscope.operators.distribution import lookup_join, rank_counts, with_ranges
+from reelscope.operators.least_squares import coefficient, counting, let, moment_matrix, sweep
 from reelscope.sources.tables import materialize
 
 HEATMAP_COLUMNS = (*EMOTIONS, "duration", "speaking_rate", "follower_count", "plays_day30")
@@ -32,47 +30,79 @@ def pearson_matrix(v: DataFrame, columns=HEATMAP_COLUMNS) -> DataFrame:
     return v.select(F.inline(cells)).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"))
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+#: Steps of a continued fraction; it settles to 1e-12 in far fewer for the arguments of a correlation.
+FRACTION_STEPS = 400
+#: Terms of the series of the error function, enough up to six standard deviations.
+ERROR_TERMS = 120
+
+
+def log_gamma(a: Column) -> Column:
+    """Logarithm of the gamma function of a positive number: Stirling's series eight steps up."""
+    z = a + F.lit(8.0)
+    series = (
+        (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi))
+        + F.lit(1 / 12) / z - F.lit(1 / 360) / F.pow(z, F.lit(3.0)) + F.lit(1 / 1260) / F.pow(z, F.lit(5.0))
+        - F.lit(1 / 1680) / F.pow(z, F.lit(7.0))
+    )
+    steps = F.log(a)
+    for i in range(1, 8):
+        steps = steps + F.log(a + F.lit(float(i)))
+    return series - steps
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function left of its mean, by a fixed number of steps of its continued fraction."""
+    front = F.exp(
+        log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)
     ) / a
-    c, d, total = 1.0, 0.0, 1.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            term = 1.0
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + term * d or 1e-300)
-        c = 1.0 + term / (c or 1e-300)
-        total *= c * d
-        if i and abs(c * d - 1.0) < 1e-15:
-            break
-    return front * (total - 1.0)
-
-
-@F.pandas_udf(DoubleType())
-def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a correlation from its t statistic; the input is one row per feature."""
-    def one(r, k):
-        if r is None or k is None or math.isnan(r) or k < 3:
-            return float("nan")
-        if abs(r) >= 1.0:
-            return 0.0
-        free = k - 2.0
-        t2 = r * r * free / (1.0 - r * r)
-        return _beta_tail(free / 2.0, 0.5, free / (free + t2))
-
-    return pd.Series([one(r, k) for r, k in zip(rho, n)])
+
+    def safe(value: Column) -> Column:
+        return F.when(F.abs(value) < 1e-300, F.lit(1e-300)).otherwise(value)
+
+    def step(held: Column, i: Column) -> Column:
+        m = F.floor(i / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        term = F.when(i % 2 == 0, even).otherwise(odd)
+        d = F.lit(1.0) / safe(F.lit(1.0) + term * held["d"])
+        c = safe(F.lit(1.0) + term / held["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (held["total"] * c * d).alias("total"))
+
+    # the first step has the numerator 1
+    start = F.struct(F.lit(2.0).alias("c"), F.lit(1.0).alias("d"), F.lit(2.0).alias("total"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), start, step)
+    return front * (walked["total"] - F.lit(1.0))
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function, from the side where the fraction settles fast."""
+    right = x > (a + 1.0) / (a + b + 2.0)
+    return (
+        F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
+        .when(right, F.lit(1.0) - _beta_fraction(b, a, F.lit(1.0) - x)).otherwise(_beta_fraction(a, b, x))
+    )
+
+
+def correlation_p_value(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation from its t statistic; null below three rows or without a correlation."""
+    free = n - 2.0
+    # free / (free + t^2) with t^2 = rho^2 free / (1 - rho^2)
+    tail = incomplete_beta(free / 2.0, F.lit(0.5), F.lit(1.0) - rho * rho)
+    return F.when(rho.isNull() | F.isnan(rho) | (n < 3), F.lit(None).cast("double")).when(
+        F.abs(rho) >= 1.0, F.lit(0.0)).otherwise(tail)
+
+
+def normal_share(z: Column) -> Column:
+    """Share of the standard normal distribution below ``z``: the series of the error function, all terms of one sign."""
+    x = F.least(F.greatest(z, F.lit(-6.0)), F.lit(6.0))
+    start = F.struct(x.alias("term"), x.alias("total"))
+
+    def step(held: Column, i: Column) -> Column:
+        term = held["term"] * x * x / (F.lit(2.0) * i + 1.0)
+        return F.struct(term.alias("term"), (held["total"] + term).alias("total"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(ERROR_TERMS)), start, step)
+    return F.lit(0.5) + walked["total"] * F.exp(-x * x / 2.0) * F.lit(1 / math.sqrt(2 * math.pi))
 
 
 def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_rows: int = 100) -> DataFrame:
@@ -117,7 +147,8 @@ def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_row
 def spearman_report(v: DataFrame, columns: list[str], target: str = TARGET, min_rows: int = 100) -> DataFrame:
     """Correlations with p-values, strongest first."""
     found = spearman_rho(v, columns, target, min_rows)
-    return found.withColumn("p_value", correlation_p_value("rho", F.col("n").cast("double"))).orderBy(
+    p_value = correlation_p_value(F.col("rho"), F.col("n").cast("double"))
+    return found.withColumn("p_value", p_value).orderBy(
         F.desc(F.abs("rho")), "feature"
     )
 
@@ -145,26 +176,32 @@ def acf(series: DataFrame, value: str = "value", nlags: int = 20) -> DataFrame:
     return sums.select("topic", "n", F.inline(cells)).where(F.col("lag") < F.col("n")).select("topic", "lag", "acf")
 
 
-def _partial(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Durbin-Levinson on one topic's autocorrelations (at most ``nlags + 1`` rows)."""
-    pdf = pdf.sort_values("lag")
-    n = float(pdf["n"].iloc[0])
-    lags = pdf["lag"].to_numpy()
-    r = pdf["acf"].to_numpy(dtype=float) * n / (n - lags)
-    out, phi, error = [1.0], np.zeros(0), 1.0
-    for k in range(1, len(r)):
-        last = (r[k] - phi @ r[k - 1:0:-1]) / error if error else np.nan
-        phi = np.append(phi - last * phi[::-1], last)
-        error *= 1.0 - last * last
-        out.append(last)
-    return pd.DataFrame({"topic": pdf["topic"], "lag": lags, "pacf": out})
-
-
 def pacf(series: DataFrame, value: str = "value", nlags: int = 20) -> DataFrame:
-    """``topic, lag, pacf`` (Yule-Walker with sample-size adjusted autocovariances)."""
+    """``topic, lag, pacf`` (Yule-Walker with sample-size adjusted autocovariances), null where undefined.
+
+    The recursion of Durbin and Levinson is a fold over a topic's autocorrelations, an array of at most ``nlags`` + 1.
+    """
     sizes = series.where(F.col(value).isNotNull()).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
     table = acf(series, value, nlags).join(sizes, "topic").where(F.col("lag") <= F.col("n") / 2)
-    return table.groupBy("topic").applyInPandas(_partial, "topic string, lag int, pacf double")
+    adjusted = F.col("acf") * F.col("n") / (F.col("n") - F.col("lag"))
+    arrays = table.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("lag", adjusted.alias("r")))).alias("_r"))
+    r = F.col("_r.r")
+    one = F.nullif(F.lit(1.0), F.lit(0.0))  # of a type that may become null on the way
+    start = F.struct(F.array().cast("array<double>").alias("phi"), one.alias("error"), F.array(one).alias("out"))
+
+    def step(held: Column, k: Column) -> Column:
+        known = F.zip_with(held["phi"], F.reverse(F.slice(r, F.lit(2), k - 1)), lambda a, b: a * b)
+        carried = F.aggregate(known, F.lit(0.0), lambda total, x: total + x)
+        last = F.try_divide(F.get(r, k) - carried, held["error"])
+        turned = F.zip_with(held["phi"], F.reverse(held["phi"]), lambda a, b: a - last * b)
+        return F.struct(
+            F.concat(turned, F.array(last)).alias("phi"), (held["error"] * (F.lit(1.0) - last * last)).alias("error"),
+            F.concat(held["out"], F.array(last)).alias("out"),
+        )
+
+    lags = F.when(F.size("_r") > 1, F.sequence(F.lit(1), F.size("_r") - 1)).otherwise(F.array().cast("array<int>"))
+    folded = arrays.select("topic", F.aggregate(lags, start, step, lambda held: held["out"]).alias("_out"))
+    return folded.select("topic", F.posexplode("_out").alias("lag", "pacf"))
 
 
 # Published response-surface coefficients (MacKinnon 1994, constant only, one series)
@@ -173,63 +210,77 @@ UNIT_ROOT_SMALL = (2.1659, 1.4412, 0.038269)
 UNIT_ROOT_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
-def unit_root_p_value(statistic: float) -> float:
-    if statistic > UNIT_ROOT_MAX:
-        return 1.0
-    if statistic < UNIT_ROOT_MIN:
-        return 0.0
-    terms = UNIT_ROOT_SMALL if statistic <= UNIT_ROOT_STAR else UNIT_ROOT_LARGE
-    z = sum(c * statistic ** i for i, c in enumerate(terms))
-    return 0.5 * (1.0 + math.erf(z / math.sqrt(2.0)))
-
-
-def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, their standard errors, residual sum of squares."""
-    beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-    rest = y - x @ beta
-    sse = float(rest @ rest)
-    free = max(len(y) - x.shape[1], 1)
-    spread = np.sqrt(np.maximum(np.diag(np.linalg.pinv(x.T @ x)) * sse / free, 0.0))
-    return beta, spread, sse
-
-
-def _unit_root(pdf: pd.DataFrame, max_lags: int | None = None) -> pd.DataFrame:
-    """Augmented Dickey-Fuller regression of one topic's daily series, lag count by AIC, ``max_lags`` at most."""
-    pdf = pdf.sort_values("date")
-    y = pdf["value"].to_numpy(dtype=float)
-    n = len(y)
-    most = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
-    if max_lags is not None:
-        most = min(most, max_lags)
-    topic = pdf["topic"].iloc[0]
-    if most < 0 or np.ptp(y) == 0:
-        return pd.DataFrame({"topic": [topic], "statistic": [np.nan], "p_value": [np.nan], "lags": [0], "n_used": [0]})
-    step = np.diff(y)
-
-    def design(lags: int, skip: int):
-        rows = np.arange(skip, len(step))
-        cols = [y[rows]] + [step[rows - k] for k in range(1, lags + 1)] + [np.ones(len(rows))]
-        return np.column_stack(cols), step[rows]
-
-    scores = []
-    for lags in range(most + 1):
-        x, target = design(lags, most)
-        _, _, sse = _least_squares(x, target)
-        m = len(target)
-        scores.append(m * math.log(max(sse, 1e-300) / m) + 2 * x.shape[1])
-    best = int(np.argmin(scores))
-    x, target = design(best, best)
-    beta, spread, _ = _least_squares(x, target)
-    stat = float(beta[0] / spread[0]) if spread[0] > 0 else float("nan")
-    return pd.DataFrame({
-        "topic": [topic], "statistic": [stat], "p_value": [unit_root_p_value(stat)],
-        "lags": [best], "n_used": [len(target)],
-    })
+#: The squared error counts as at least this share of the steps' own, so that a perfect fit has a defined lag count.
+PERFECT = 1e-10
+
+
+def _lag_limit(days: Column) -> Column:
+    return F.least(F.ceil(F.lit(12.0) * F.pow(days / 100.0, F.lit(0.25))), F.floor(days / 2) - 2).cast("int")
+
+
+def unit_root_p_value(statistic: Column) -> Column:
+    def surface(terms: tuple) -> Column:
+        return sum((F.lit(c) * F.pow(statistic, F.lit(float(i))) for i, c in enumerate(terms[1:], 1)), F.lit(terms[0]))
+
+    z = F.when(statistic <= UNIT_ROOT_STAR, surface(UNIT_ROOT_SMALL)).otherwise(surface(UNIT_ROOT_LARGE))
+    outside = F.when(statistic > UNIT_ROOT_MAX, F.lit(1.0)).when(statistic < UNIT_ROOT_MIN, F.lit(0.0))
+    return F.when(statistic.isNotNull(), outside.otherwise(normal_share(z)))
 
 
 def adf_test(series: DataFrame, value: str = "value", max_lags: int | None = None) -> DataFrame:
-    """``topic, statistic, p_value, lags, n_used``; one small task per topic, bounded by its days."""
-    rows = series.where(F.col(value).isNotNull()).select("topic", "date", num(value).alias("value"))
-    return rows.groupBy("topic").applyInPandas(
-        lambda pdf: _unit_root(pdf, max_lags), "topic string, statistic double, p_value double, lags int, n_used int"
+    """``topic, statistic, p_value, lags, n_used`` of the augmented Dickey-Fuller regression, lag count by AIC.
+
+    The days of a topic, an array bounded by the calendar, give one moment matrix of the constant, the level, the lagged
+    steps and the step.  Sweeping it on one lag after the other gives the error of every lag count; then the matrix over the days
+    that the best count leaves is swept once.  Up to ``12 (n / 100) ** 0.25`` lags, or ``max_lags``.  A topic that never
+    changes or has too few days has null results, 0 lags and 0 days.
+    """
+    rows = series.where(F.col(value).isNotNull()).select("topic", "date", num(value).alias("v"))
+    days = rows.groupBy("topic").agg(
+        F.array_sort(F.collect_list(F.struct("date", "v"))).alias("_days"), F.avg("v").alias("_mean"),
+        F.count(F.lit(1)).alias("n"), (F.max("v") > F.min("v")).alias("moves"),
+    )
+    # a level shifted by its mean changes nothing beside a constant and keeps the sums small
+    levels = F.transform("_days.v", lambda v: v - F.col("_mean"))
+    limit = _lag_limit(F.col("n"))
+    placed = days.select("topic", "n", "moves", (limit if max_lags is None else F.least(limit, F.lit(max_lags))).alias("most"), levels.alias("y"))
+    n = F.col("n").cast("int")
+
+    def columns(step: Column, skip: Column, lags: Column) -> Column:
+        """Constant, level before, lagged steps and step of the days from step ``skip`` on."""
+        used = n - 1 - skip
+        lagged = F.transform(counting(F.lit(1), lags), lambda k: F.slice(step, skip + 1 - k, used))
+        return F.concat(
+            F.array(F.array_repeat(F.lit(1.0), used), F.slice("y", skip + 1, used)), lagged, F.array(F.slice(step, skip + 1, used))
+        )
+
+    def judge(step: Column) -> Column:
+        most = F.col("most")
+        tried = sweep(moment_matrix(columns(step, most, most)), most + 3, most + 2)["errors"]
+        used = n - 1 - most
+        floor = F.aggregate(F.slice(step, most + 1, used), F.lit(0.0), lambda total, x: total + x * x) * PERFECT
+        scores = let(floor, lambda least: F.transform(
+            F.slice(tried, F.lit(2), most + 1),
+            lambda sse, lags: used * F.log(F.greatest(sse, least) / used) + 2 * (lags + 2),
+        ))
+        return let(let(scores, lambda x: F.array_position(x, F.array_min(x)).cast("int") - 1), lambda lags: fitted(step, lags))
+
+    def fitted(step: Column, lags: Column) -> Column:
+        size, used = lags + 3, n - 1 - lags
+
+        def statistic(matrix: Column) -> Column:
+            return let(sweep(matrix, size, lags + 2)["m"], lambda m: F.struct(
+                F.when(F.get(m, size + 1) < 0, F.try_divide(coefficient(m, size, 1), F.sqrt(
+                    -F.get(m, size + 1) * F.greatest(F.element_at(m, -1), F.element_at(matrix, -1) * PERFECT)
+                    / F.greatest(used - lags - 2, F.lit(1))
+                ))).alias("statistic"), lags.alias("lags"), used.alias("n_used"),
+            ))
+
+        return let(moment_matrix(columns(step, lags, lags)), statistic)
+
+    steps = F.zip_with(F.slice("y", F.lit(2), n - 1), F.slice("y", F.lit(1), n - 1), lambda b, a: b - a)
+    found = F.when(F.col("moves") & (F.col("most") >= 0), let(steps, judge)).alias("_t")
+    return placed.select("topic", found).select(
+        "topic", "_t.statistic", unit_root_p_value(F.col("_t.statistic")).alias("p_value"),
+        F.coalesce("_t.lags", F.lit(0)).alias("lags"), F.coalesce("_t.n_used", F.lit(0)).alias("n_used"),
     )

@@ -199,6 +199,11 @@ def q(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
 
 
+def qr(ctes: str, body: str) -> str:
+    """As :func:`q`, for tables that are built from themselves."""
+    return f"WITH RECURSIVE {ctes.strip()}\n{body.strip()}"
+
+
 SUMMARY_LONGS = (
     "video_id", "author_id", *SNAPSHOT_NAMES, "is_english", "follower_count", "incr_plays_3_30", "incr_likes_3_30",
     "incr_comments_3_30", "incr_shares_3_30", "velocity_0_1", "creator_median_plays30", "creator_video_count",
@@ -456,6 +461,152 @@ trend AS (
   FROM points p JOIN slopes s ON p.topic = s.topic JOIN alls a ON a.topic = p.topic
   LEFT JOIN means m ON p.topic = m.topic AND p.wd = m.wd WHERE NOT is_train)"""
 
+_AWAY = """,
+away AS (SELECT topic, date, total_plays - avg(total_plays) OVER (PARTITION BY topic) AS d FROM topics WHERE topic IS NOT NULL),
+placed_days AS (SELECT topic, d, row_number() OVER (PARTITION BY topic ORDER BY date) AS i FROM away)"""
+
+#: Durbin-Levinson, one lag a step; the coefficients so far travel as a list.
+PACF = TOPICS + _AWAY + """,
+sized AS (SELECT topic, count(*) AS n, sum(d * d) AS own FROM placed_days GROUP BY topic),
+adjusted AS (
+  SELECT a.topic, b.i - a.i AS k, sum(a.d * b.d) / any_value(s.own) * any_value(s.n) / (any_value(s.n) - (b.i - a.i)) AS r
+  FROM placed_days a JOIN placed_days b ON a.topic = b.topic AND b.i - a.i BETWEEN 0 AND 20 JOIN sized s ON s.topic = a.topic
+  GROUP BY a.topic, b.i - a.i, s.n HAVING b.i - a.i <= s.n / 2),
+lists AS (SELECT topic, list(r ORDER BY k) AS r FROM adjusted GROUP BY topic),
+levinson AS (
+  SELECT topic, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS error, CAST(1 AS DOUBLE) AS last FROM lists
+  UNION ALL
+  SELECT topic, k + 1, list_append(list_transform(phi, lambda p, j: p - now * phi[len(phi) + 1 - j]), now), error * (1 - now * now), now
+  FROM (SELECT v.*, (l.r[k + 2] - coalesce(list_sum(list_transform(phi, lambda p, j: p * l.r[k + 2 - j])), 0)) / nullif(error, 0) AS now,
+               len(l.r) AS most FROM levinson v JOIN lists l ON l.topic = v.topic WHERE k + 1 < len(l.r)))"""
+
+#: One sweep a step on column ``k`` of a symmetric matrix ``m`` (row order) of ``w`` columns, if it isn't collinear.
+_SWEPT = """CASE WHEN m[k * w + k + 1] > 1e-10 * scale[k + 1] THEN list_transform(m, lambda x, spot: CASE
+    WHEN (spot - 1) // w = k AND (spot - 1) % w = k THEN -1 / m[k * w + k + 1]
+    WHEN (spot - 1) // w = k OR (spot - 1) % w = k THEN x / m[k * w + k + 1]
+    ELSE x - m[(spot - 1) // w * w + k + 1] * m[k * w + (spot - 1) % w + 1] / m[k * w + k + 1] END) ELSE m END"""
+
+
+def _moments(name: str, source: str, steps: str) -> str:
+    """The moment matrix per topic of the list ``x`` in ``source``, and what is left after each of ``steps`` sweeps."""
+    return f"""{name}_cells AS (
+  SELECT topic, i, j, any_value({steps}) AS steps, len(any_value(x)) AS w, count(*) AS n, sum(x[i] * x[j]) AS s
+  FROM {source}, range(1, len(x) + 1) a(i), range(1, len(x) + 1) b(j) GROUP BY topic, i, j),
+{name} AS (
+  SELECT topic, any_value(w) AS w, any_value(n) AS n, any_value(steps) AS steps, list(s ORDER BY i, j) AS m0,
+         list(s ORDER BY i) FILTER (i = j) AS scale FROM {name}_cells GROUP BY topic),
+{name}_swept AS (
+  SELECT topic, w, n, steps, scale, m0 AS m, CAST(0 AS BIGINT) AS k FROM {name}
+  UNION ALL
+  SELECT topic, w, n, steps, scale, {_SWEPT}, k + 1 FROM {name}_swept WHERE k < steps)"""
+
+
+#: Lag counts are compared over the days that the largest leaves; the best is fitted over its own.
+ADF = TOPICS + """,
+levels AS (
+  SELECT topic, date, CAST(total_plays AS DOUBLE) - avg(CAST(total_plays AS DOUBLE)) OVER (PARTITION BY topic) AS y,
+         row_number() OVER (PARTITION BY topic ORDER BY date) - 1 AS spot, count(*) OVER (PARTITION BY topic) AS n,
+         max(total_plays) OVER (PARTITION BY topic) > min(total_plays) OVER (PARTITION BY topic) AS moves
+  FROM topics WHERE topic IS NOT NULL AND total_plays IS NOT NULL),
+ordered AS (SELECT topic, list(y ORDER BY spot) AS ys FROM levels GROUP BY topic),
+days AS (
+  SELECT l.topic, spot, ys, least(ceil(12 * (n / CAST(100 AS DOUBLE)) ** CAST(0.25 AS DOUBLE)), n // 2 - 2) AS most
+  FROM levels l JOIN ordered o ON o.topic = l.topic WHERE moves AND spot > 0),
+wide AS (
+  SELECT topic, spot, most, [CAST(1 AS DOUBLE), ys[spot]] || list_transform(range(1, CAST(most AS BIGINT) + 1), lambda k:
+           CASE WHEN spot - k > 0 THEN ys[spot + 1 - k] - ys[spot - k] ELSE 0 END) || [ys[spot + 1] - ys[spot]] AS x
+  FROM days WHERE most >= 0),
+late AS (SELECT * FROM wide WHERE spot > most),
+""" + _moments("tried", "late", "most + 2") + """,
+scores AS (
+  SELECT topic, k - 2 AS lags, n * ln(greatest(m[w * w], 1e-10 * scale[w]) / n) + 2 * k AS aic FROM tried_swept WHERE k >= 2),
+best AS (SELECT topic, arg_min(lags, (aic, lags)) AS lags FROM scores GROUP BY topic),
+fitting AS (
+  SELECT w.topic, b.lags, x[1:b.lags + 2] || [x[-1]] AS x FROM wide w JOIN best b ON b.topic = w.topic WHERE w.spot > b.lags),
+""" + _moments("fit", "fitting", "lags + 2") + """,
+tested AS (
+  SELECT topic, n AS m, steps - 2 AS lags,
+         m[2 * w] / sqrt(-m[w + 2] * greatest(m[w * w], 1e-10 * scale[w]) / greatest(n - steps, 1)) AS statistic
+  FROM fit_swept WHERE k = steps AND m[w + 2] < 0)"""
+
+_SMALL = " + ".join(f"({c}) * statistic ** {i}" for i, c in enumerate((2.1659, 1.4412, 0.038269)))
+_LARGE = " + ".join(f"({c}) * statistic ** {i}" for i, c in enumerate((1.7339, 0.93202, -0.12745, -0.010368)))
+_Z = f"least(greatest(CASE WHEN statistic <= -1.61 THEN {_SMALL} ELSE {_LARGE} END, -6), 6)"
+#: The normal distribution by the series of its density's integral; the terms are a running product.
+UNIT_ROOT_P = f"""CASE WHEN statistic IS NULL THEN NULL WHEN statistic > 2.74 THEN 1 WHEN statistic < -18.83 THEN 0 ELSE 0.5 + exp(-(({_Z}) ** 2) / 2) / sqrt(2 * pi()) *
+  list_sum(list_transform(range(0, 121), lambda i: ({_Z}) * CASE WHEN i = 0 THEN 1 ELSE
+    list_product(list_transform(range(1, i + 1), lambda j: ({_Z}) ** 2 / (2 * j + 1))) END)) END"""
+
+#: The continued fraction of the incomplete beta function, one step a round, from the side where it settles fast.
+P_VALUES = SPEARMAN + """,
+sides AS (
+  SELECT feature, n, rho, (n - 2) / CAST(2 AS DOUBLE) AS half, 1 - rho * rho AS share FROM rhos),
+asked AS (
+  SELECT *, share > (half + 1) / (half + 2.5) AS turned FROM sides WHERE rho IS NOT NULL AND abs(rho) < 1),
+given AS (
+  SELECT feature, CASE WHEN turned THEN CAST(0.5 AS DOUBLE) ELSE half END AS a, CASE WHEN turned THEN half ELSE CAST(0.5 AS DOUBLE) END AS b,
+         CASE WHEN turned THEN rho * rho ELSE share END AS x, turned FROM asked),
+fraction AS (
+  SELECT feature, a, b, x, turned, 0 AS i, CAST(2 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS d, CAST(2 AS DOUBLE) AS total FROM given
+  UNION ALL
+  SELECT feature, a, b, x, turned, i + 1, 1 + term / c, 1 / (1 + term * d), total * (1 + term / c) / (1 + term * d)
+  FROM (SELECT *, CASE WHEN i % 2 = 1 THEN (i + 1) // 2 * (b - (i + 1) // 2) * x / ((a + i) * (a + i + 1))
+                  ELSE -(a + i // 2) * (a + b + i // 2) * x / ((a + i) * (a + i + 1)) END AS term FROM fraction WHERE i < 400)),
+tails AS (
+  SELECT feature, turned, x, CASE WHEN x <= 0 THEN 0 ELSE
+         exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a * (total - 1) END AS tail FROM fraction WHERE i = 400),
+judged AS (
+  SELECT r.feature, r.n, r.rho, CASE WHEN abs(r.rho) >= 1 THEN 0 WHEN turned THEN 1 - tail ELSE tail END AS p
+  FROM rhos r LEFT JOIN tails t ON t.feature = r.feature)"""
+
+#: Two least squares per topic over lists of earlier steps, then one day a round.
+SEASONAL = TOPICS + """,
+trained AS (
+  SELECT topic, list(value ORDER BY date) AS ys FROM numbered WHERE position <= floor(length * CAST(0.8 AS DOUBLE)) GROUP BY topic),
+stepped AS (
+  SELECT topic, ys, list_transform(range(9, len(ys) + 1), lambda t: ys[t] - ys[t - 7] - ys[t - 1] + ys[t - 8]) AS ws FROM trained WHERE len(ys) >= 28),
+long_rows AS (
+  SELECT topic, list_reverse(ws[t - 7:t - 1]) || [ws[t]] AS x FROM stepped, range(8, len(ws) + 1) r(t)),
+""" + _moments("long", "long_rows", "7") + """,
+firsts_found AS (
+  SELECT topic, list_transform(range(0, 7), lambda i: CASE WHEN m[i * w + i + 1] < 0 THEN m[(i + 1) * w] ELSE 0 END) AS first
+  FROM long_swept WHERE k = steps),
+shocked AS (
+  SELECT s.topic, ys, ws, list_transform(range(1, len(ws) + 1), lambda t: CASE WHEN t > 7
+    THEN ws[t] - list_sum(list_transform(range(1, 8), lambda i: first[i] * ws[t - i])) ELSE 0 END) AS es
+  FROM stepped s JOIN firsts_found f ON f.topic = s.topic),
+short_rows AS (
+  SELECT topic, [ws[t - 1], ws[t - 7], ws[t - 8], es[t - 1], ws[t]] AS x FROM shocked, range(10, len(ws) + 1) r(t)),
+""" + _moments("short", "short_rows", "4") + """,
+betas AS (
+  SELECT topic, list_transform(range(0, 4), lambda i: CASE WHEN m[i * w + i + 1] < 0 THEN m[(i + 1) * w] ELSE 0 END) AS b
+  FROM short_swept WHERE k = steps),
+rolled AS (
+  SELECT s.topic, 0 AS i, b, ws[-8:] AS w, ys[-8:] AS y, es[-1] AS e FROM shocked s JOIN betas b ON b.topic = s.topic
+  UNION ALL
+  SELECT topic, i + 1, b, w[2:] || [now], y[2:] || [now + y[8] + y[2] - y[1]], 0
+  FROM (SELECT *, b[1] * w[8] + b[2] * w[2] + b[3] * w[1] + b[4] * e AS now FROM rolled WHERE i < 3000)
+  WHERE i < (SELECT max(length) FROM numbered n WHERE n.topic = topic)),
+held_out AS (
+  SELECT topic, date, value, row_number() OVER (PARTITION BY topic ORDER BY date) AS i FROM numbered
+  WHERE position > floor(length * CAST(0.8 AS DOUBLE))),
+foreseen AS (
+  SELECT h.topic, h.date, h.value AS actual, r.y[8] AS forecast FROM held_out h LEFT JOIN rolled r ON r.topic = h.topic AND r.i = h.i)"""
+
+def _column_totals(name: str, table: str, columns: dict[str, bool]) -> str:
+    cells = ", ".join(
+        f"{{'measure': '{c}', 'known': count({c}), 'total': {f'round(sum(CAST({c} AS DOUBLE)), 6) + 0.0' if number else 'CAST(NULL AS DOUBLE)'}}}"
+        for c, number in columns.items()
+    )
+    return f"SELECT '{name}' AS table_name, unnest([{cells}], recursive := true) FROM {table}"
+
+
+def _long_contents(name: str, sql: str, texts: tuple[str, ...]) -> str:
+    label, numbers = ", ".join(texts), f"COLUMNS(* EXCLUDE ({', '.join(texts)}))"
+    return f"""SELECT '{name}' AS table_name, concat_ws(' | ', {label}) AS label, measure, round(value, 6) + 0.0 AS value FROM (
+UNPIVOT (SELECT {label}, CAST({numbers} AS DOUBLE) FROM ({sql})) ON {numbers} INTO NAME measure VALUE value)"""
+
+
 _PANEL = ", ".join(f"({i + 1}, {d})" for i, d in enumerate(fixed.PANEL_DAYS))
 
 
@@ -468,7 +619,14 @@ def sql() -> dict[str, str]:
     out["scan_raw_creator"] = q(RAW, "SELECT author_id, strftime(date, '%Y-%m-%d') AS date, follower_count, following_count, total_favorited, enterprise_verified FROM creator_daily")
     out["scan_processed"] = q(TOPICS, TOPIC_BODY)
     out["sink_processed"] = out["scan_processed"]
-    out["scan_strategy_inputs"] = q(SUMMARY, "SELECT 'creator' AS table_name, count(*) AS row_count FROM creator_daily UNION ALL SELECT 'summary', count(*) FROM summary UNION ALL SELECT 'videos', count(*) FROM videos UNION ALL SELECT 'engagement', count(*) FROM engagement_daily")
+    summary_columns = {**dict.fromkeys((*SUMMARY_LONGS, *SUMMARY_DOUBLES), True), "create_date": False, "topic": False}
+    out["scan_strategy_inputs"] = q(SUMMARY, " UNION ALL ".join(_column_totals(*x) for x in (
+        ("creator", "creator_daily", {**dict.fromkeys(("author_id", "follower_count", "following_count", "total_favorited", "enterprise_verified"), True), "date": False}),
+        ("summary", "summary", summary_columns),
+        ("videos", "videos", {**dict.fromkeys(("video_id", "author_id", "is_english", "duration", *fixed.TEXT_COLUMNS, *fixed.EMOTIONS), True),
+                              **dict.fromkeys(("create_date", "topic", "music_selected_from"), False)}),
+        ("engagement", "engagement_daily", {**dict.fromkeys(("video_id", "days_since_post", "play_count", "like_count", "comment_count", "share_count"), True), "date": False}),
+    )))
     out["row_counts"] = q(RAW, "SELECT 'videos' AS table_name, count(*) AS row_count FROM videos UNION ALL SELECT 'engagement_daily', count(*) FROM engagement_daily UNION ALL SELECT 'creator_daily', count(*) FROM creator_daily")
     out["dataset_profile"] = q(SUMMARY, "SELECT count(*) AS row_count, CAST(52 AS BIGINT) AS column_count, count(incr_plays_3_30) AS target_count FROM summary")
 
@@ -554,12 +712,13 @@ FROM authors WHERE primary_topic IS NOT NULL GROUP BY primary_topic"""
     out["conversion_extremes"] = q(AUTHORS + f",\nreport AS ({topic_report}),\nplaced AS (SELECT *, row_number() OVER (ORDER BY median_conversion DESC, primary_topic) AS place, count(*) OVER () AS places FROM report)",
         "SELECT place, clean_topic, median_conversion FROM placed WHERE place IN (1, 3) OR place = places")
 
-    out["strategy_bundle"] = q(AUTHORS + ASSIGNED[len(SUMMARY):], f"""SELECT 'topic_conversion' AS table_name, count(DISTINCT primary_topic) AS row_count FROM authors
-UNION ALL SELECT 'duration_conversion', 3 UNION ALL SELECT 'cadence_summary', 5 UNION ALL SELECT 'hashtag_summary', 6
-UNION ALL SELECT 'music_summary', count(DISTINCT {_music()}) FROM videos v JOIN summary s ON v.video_id = s.video_id
-UNION ALL SELECT 'archetype_shares', count(DISTINCT archetype) FROM assigned
-UNION ALL SELECT 'archetype_curves', {" + ".join(f"count(DISTINCT CASE WHEN day_{d} IS NOT NULL THEN archetype END)" for d in fixed.CURVE_DAYS)} FROM assigned
-UNION ALL SELECT 'topic_archetypes', count(DISTINCT s.topic) FROM assigned a JOIN summary s ON a.video_id = s.video_id""")
+    out["strategy_bundle"] = " UNION ALL ".join(_long_contents(name, out[query], texts) for name, query, texts in (
+        ("topic_conversion", "follower_conversion_topic", ("clean_topic", "primary_topic")),
+        ("duration_conversion", "follower_conversion_duration", ("duration_bucket",)),
+        ("cadence_summary", "posting_cadence", ("cadence_bucket",)), ("hashtag_summary", "hashtag_payoff", ("hashtag_bucket",)),
+        ("music_summary", "music_payoff", ("music_category",)), ("archetype_shares", "archetype_shares", ("archetype",)),
+        ("archetype_curves", "archetype_curves", ("archetype",)), ("topic_archetypes", "topic_archetype_crosstab", ("topic",)),
+    ))
 
     # profiles and exploration
     out["topic_profile"] = q(SUMMARY, f"SELECT topic, count(*) AS video_count, {r6('median(plays_day30)', 'avg_plays_30')}, {r6('median(incr_plays_3_30)', 'avg_incr')}, {r6('median(duration)', 'median_duration')}, {r6('quantile_cont(duration, 0.25)', 'p25_duration')}, {r6('quantile_cont(duration, 0.75)', 'p75_duration')}, {r6('median(follower_count)', 'avg_follower_count')} FROM summary WHERE topic IS NOT NULL GROUP BY topic")
@@ -592,6 +751,12 @@ UNION ALL SELECT 'topic_archetypes', count(DISTINCT s.topic) FROM assigned a JOI
         TOPICS + ",\ndiffs AS (SELECT topic, CAST(total_plays AS DOUBLE) - lag(CAST(total_plays AS DOUBLE)) OVER w AS d, lag(CAST(total_plays AS DOUBLE)) OVER w AS x FROM topics WHERE topic IS NOT NULL AND total_plays IS NOT NULL WINDOW w AS (PARTITION BY topic ORDER BY date)),\nfits AS (SELECT topic, count(*) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) - regr_slope(d, x) * regr_sxy(d, x) AS sse FROM diffs WHERE x IS NOT NULL GROUP BY topic)",
         f"SELECT topic, {r6('b / sqrt(sse / (n - 2) / sxx)', 'statistic')}, n AS n_used FROM fits WHERE n >= 3 AND sxx > 0")
 
+    out["pacf"] = qr(PACF, f"SELECT topic, CAST(k AS BIGINT) AS lag, {r6('last', 'pacf')} FROM levinson")
+    out["adf_test"] = qr(ADF, f"""SELECT t.topic, {r6('statistic', 'statistic')}, {r6(UNIT_ROOT_P, 'p_value')},
+       CAST(coalesce(lags, 0) AS BIGINT) AS lags, CAST(coalesce(m, 0) AS BIGINT) AS n_used
+FROM (SELECT DISTINCT topic FROM topics WHERE topic IS NOT NULL AND total_plays IS NOT NULL) t LEFT JOIN tested ON t.topic = tested.topic""")
+    out["spearman_p_values"] = qr(P_VALUES, f"SELECT feature, n, {r6s('rho')}, {r6('p', 'p_value')} FROM judged")
+
     # ranks, encoding, splits
     out["global_rank_pct"] = q(SUMMARY, f"SELECT video_id, {pick(RANKS)} FROM summary")
     out["topic_rank_pct"] = q(SUMMARY, f"SELECT video_id, {r6(topic_rank('plays_day3'), 'plays_day3_topic_rank_pct')}, {r6(topic_rank('velocity_1_3'), 'velocity_1_3_topic_rank_pct')} FROM summary")
@@ -614,14 +779,17 @@ FROM tr a LEFT JOIN tr b ON a.author_id = b.author_id AND a.f <> b.f GROUP BY a.
     out["features_gpu_variant"] = feature_sql("gpu")
     out["coerce_numeric"] = q(RAW, "SELECT video_id, coalesce(try_cast(music_selected_from AS DOUBLE), 0) + 0.0 AS music_number, coalesce(try_cast(CAST(duration AS VARCHAR) AS DOUBLE), 0) + 0.0 AS duration_number FROM videos")
 
-    levels = ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-    flags = {f"topic_{t}": f"CASE WHEN topic = {text(t)} THEN 1 ELSE 0 END" for t in levels}
-    out["one_hot_topic"] = q(SUMMARY, f"SELECT video_id, {pick(flags)} FROM summary")
+    hot = "topic_size, CASE WHEN topic_place < topic_size THEN topic_place END AS topic_place"
+    places = SUMMARY + """,
+places AS (SELECT topic, row_number() OVER (ORDER BY topic DESC) - 1 AS topic_place, count(*) OVER () - 1 AS topic_size
+           FROM (SELECT DISTINCT topic FROM summary WHERE topic IS NOT NULL)),
+placed AS (SELECT s.*, p.topic_place, (SELECT max(topic_size) FROM places) AS topic_size FROM summary s LEFT JOIN places p ON s.topic = p.topic)"""
+    out["one_hot_topic"] = q(places, f"SELECT video_id, {hot} FROM placed")
     first_generation = {
         **{f"{c}_log": f"ln(1 + CAST(coalesce({c}, 0) AS DOUBLE))" for c in ("plays_day0", "plays_day1", "plays_day3", "likes_day3", "follower_count")},
-        **{c: f"coalesce({c}, 0)" for c in ("duration", "speaking_rate", "joy", "sadness", "anger")}, **flags,
+        **{c: f"coalesce({c}, 0)" for c in ("duration", "speaking_rate", "joy", "sadness", "anger")},
     }
-    out["feat_v1"] = q(SUMMARY, f"SELECT video_id, create_date, {r6(_lp('plays_day30'), 'y')}, {pick(first_generation)} FROM summary")
+    out["feat_v1"] = q(places, f"SELECT video_id, create_date, {r6(_lp('plays_day30'), 'y')}, {pick(first_generation)}, {hot} FROM placed")
 
     # metrics, baselines, leaderboards
     out["baseline_mean"] = q(SUMMARY + "," + BASELINES, f"SELECT video_id, {r6s('y', 'yhat')} FROM mean_pred")
@@ -660,6 +828,9 @@ original AS (SELECT model, exp(ly) - 1 AS y, greatest(exp(lh) - 1, 0) AS yhat, l
     out["momentum_trend"] = q(SUMMARY, f"SELECT video_id, CASE WHEN acceleration > 0 THEN {text(fixed.TREND_UP)} ELSE {text(fixed.TREND_DOWN)} END AS trend FROM summary")
     curve = ", ".join(f"({d}, power(CAST({w} AS DOUBLE), CAST(0.7 AS DOUBLE)))" for d, w in zip(fixed.FORECAST_DAYS, fixed.FORECAST_WEIGHTS))
     start, med = P3, f"greatest({Y}, 0)"
+    power = "(CAST(10 AS DOUBLE) ** floor(log10(abs(forecast))))"
+    digits = f"CASE WHEN forecast = 0 THEN 0 ELSE round(forecast / {power}, 8) * {power} END"
+    out["forecast_seasonal_ar"] = qr(SEASONAL, f"SELECT topic, date, {r6('actual', 'actual')}, {r6(digits, 'forecast')} FROM foreseen")
     out["forecast_curve"] = q(SUMMARY, f"SELECT video_id, CAST(c.day AS BIGINT) AS day, {r6(f'{start} + {med} * w', 'median')}, {r6(f'{start} + {med} * 0.5 * w', 'low')}, {r6(f'{start} + {med} * 2 * w', 'high')} FROM summary CROSS JOIN (VALUES {curve}) AS c(day, w)")
     out["draft_defaults"] = q(DRAFTS, f"SELECT draft_id, topic, {r6s('duration', 'follower_count', 'creator_median_plays30', 'speaking_rate', 'hashtag_count', 'is_english', 'word_count', 'comment_rate', 'share_rate', 'plays_day0', 'plays_day1', 'plays_day3')}, {r6('plays_day3 * 1.15', 'plays_day7')}, {r6('plays_day3 * 0.08', 'likes_day3')} FROM filled")
     out["profile_lookup"] = q(DRAFTS, f"SELECT d.draft_id, coalesce(p.topic, 'Others') AS topic, {r6('p.mid', 'median_duration')}, {r6('p.p25', 'p25_duration')}, {r6('p.p75', 'p75_duration')} FROM drafts d LEFT JOIN profiles p ON d.topic = p.topic")

@@ -17,7 +17,6 @@ from reelscope.plans.pipeline import Workspace
 from reelscope.sources import tables
 
 IMPUTED = ("duration", *fixed.TEXT_COLUMNS, *fixed.EMOTIONS)
-# small settings for the registered model runs; the functions default to full-size models
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -50,7 +49,7 @@ def sink_processed(ws: Workspace, name: str = "topics"):
 
 def scan_strategy_inputs(ws: Workspace):
     ws.processed()
-    return tables.row_counts(tables.scan_strategy_inputs(ws.spark, ws.folder, ws.folder))
+    return tables.column_totals(tables.scan_strategy_inputs(ws.spark, ws.folder, ws.folder))
 
 
 def row_counts(ws: Workspace):
@@ -153,8 +152,7 @@ def semi_join_sample(ws: Workspace):
 
 def strategy_bundle(ws: Workspace):
     videos, engagement, creator = ws.raw()
-    reports = strategy.strategy_bundle(creator, ws.summary, videos, engagement)
-    return tables.row_counts(reports)
+    return tables.long_contents(strategy.strategy_bundle(creator, ws.summary, videos, engagement))
 
 
 # --- features ----------------------------------------------------------------------------------------
@@ -177,14 +175,12 @@ def feat_impute(ws: Workspace):
 
 
 def feat_v1(ws: Workspace):
-    v = ws.summary
-    return features.feat_v1(v, features.topic_levels(v)[1:])
+    rows = features.feat_v1(ws.summary)
+    return rows.select(*[c for c in rows.columns if c != "topic_vec"], *features.hot_place())
 
 
 def one_hot_topic(ws: Workspace):
-    v = ws.summary
-    levels = features.topic_levels(v)[1:]
-    return features.one_hot_topic(v, levels).select("video_id", *[f"`topic_{t}`" for t in levels])
+    return features.one_hot_topic(ws.summary).select("video_id", *features.hot_place())
 
 
 def coerce_numeric(ws: Workspace):
@@ -234,6 +230,13 @@ def log_scale_metrics(ws: Workspace):
     return metrics.log_scale_metrics(metrics.long_predictions(v, "y", {"day 3 level": "up", "negative": "down"}))
 
 
+def seasonal_forecast(ws: Workspace):
+    """The paths may grow without bound, so they are shown to nine digits, not to decimals."""
+    size = F.pow(F.lit(10.0), F.floor(F.log10(F.abs("forecast"))))
+    shown = F.when(F.col("forecast") == 0, F.lit(0.0)).otherwise(F.round(F.col("forecast") / size, 8) * size)
+    return forecast.forecast_seasonal_ar(series(ws)).withColumn("forecast", shown)
+
+
 def trend_metrics(ws: Workspace):
     rows = forecast.forecast_trend_weekly(series(ws)).select(F.col("actual").alias("y"), F.col("forecast").alias("yhat"))
     return metrics.error_metrics(rows, by=()).select(F.lit("Trend + weekday").alias("model"), "*")
@@ -283,11 +286,12 @@ def quantile_forest(ws: Workspace):
 
 
 def hyper_search(ws: Workspace):
-    return models.hyper_search(training(ws).where("is_train"), "elastic_net")
+    found = ws.cached("trials", lambda: models.hyper_search(training(ws).where("is_train"), "gbt_mape"))
+    return found.orderBy(F.asc_nulls_last("smape"), "trial")
 
 
 def expanding_cv(ws: Workspace):
-    return ws.cached("expanding_cv", lambda: models.expanding_cv(ws.summary, "elastic_net"))
+    return ws.cached("expanding_cv", lambda: models.expanding_cv(ws.summary, "gbt_mape", params={"trees": 300}))
 
 
 def feature_importance(ws: Workspace):
@@ -403,9 +407,7 @@ def live_curve(ws: Workspace):
 
 
 def hyper_search_refit(ws: Workspace):
-    frame = training(ws)
-    trials = models.hyper_search(frame.where("is_train"), "ridge")
-    return models.refit_best(frame, trials, "ridge")[1]
+    return models.refit_best(training(ws), hyper_search(ws), "gbt_mape")[1]
 
 
 def rank_ideas(ws: Workspace):
@@ -611,7 +613,7 @@ QUERIES = {
     "track_leaderboards": track_leaderboards,
     "track_leaderboards_models": track_leaderboards_models,
     "forecast_trend_weekly": lambda ws: forecast.forecast_trend_weekly(series(ws)),
-    "forecast_seasonal_ar": lambda ws: forecast.forecast_seasonal_ar(series(ws)),
+    "forecast_seasonal_ar": seasonal_forecast,
     "forecast_metrics": lambda ws: forecast.forecast_metrics(series(ws)),
     "gbt_mape": model_run("gbt_mape"),
     "gbt_mae": model_run("gbt_mae"),
