@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelscope.functions.columns import optional
 from reelscope.functions.fixed_values import CREATOR_COLUMNS, VIDEO_COLUMNS
@@ -18,18 +19,52 @@ def valid_days(engagement: DataFrame) -> DataFrame:
     return engagement.where(F.col("days_since_post") >= 0)
 
 
-def dedup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: the smallest row in column order.
+#: Types that a hash aggregate can keep a minimum of.
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
-    A minimum combines map-side, so copies collapse before the shuffle however many there are, and the
-    choice does not depend on arrival order.
+
+def dedup_keys(df: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
+    """One row per key: the smallest row in column order, nulls first.
+
+    The choice doesn't depend on arrival order.  It is a minimum of the rest of the row, which combines before the shuffle, so copies
+    cost one row a task (a sort aggregate: Spark has no hash aggregate for a minimum of structs).
+
+    ``by`` (one of the keys, of a table of numbers and dates) has two phases instead.  The rows are dealt out by that key alone, once, and
+    what follows lies as it needs it, also a join or an aggregate on that key afterwards.  A key whose columns all have one value,
+    as copies have, is done after one hash aggregate; only the others take the ordered choice.  Rows without the key
+    ``by`` are dropped.  A value of ``by`` with a large share of all rows is one task, in which copies collapse as they come.
     """
     rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.distinct()
-    return (
-        df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
-        .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    if by is None or not rest or not all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in rest):
+        return _smallest(df, keys, rest).select(*df.columns) if rest else df.distinct()
+    rows = df.where(F.col(by).isNotNull()).repartition(by)
+    n = F.count(F.lit(1))
+    one_value = F.lit(True)
+    for c in rest:
+        one_value = one_value & ((F.count(c) == 0) | ((F.count(c) == n) & (F.min(c) == F.max(c))))
+    told = rows.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest], one_value.alias("_one"))
+
+    def same_key(left: str, right: str) -> Column:
+        """Equal on ``by``, by which both sides lie together; the other keys are compared there, null with null."""
+        found = F.col(f"{left}.{by}") == F.col(f"{right}.{by}")
+        for c in keys:
+            if c != by:
+                x, y = F.col(f"{left}.{c}"), F.col(f"{right}.{c}")
+                found = found & (((x <= y) & (x >= y)) | (x.isNull() & y.isNull()))
+        return found
+
+    differing = rows.distinct().alias("r").join(  # behind the same shuffle
+        told.where("not _one").select(*keys).hint("shuffle_hash").alias("k"), same_key("r", "k"), "left_semi"
+    )
+    chosen = _smallest(differing, keys, rest).select(*keys, F.struct(*rest).alias("_row")).hint("shuffle_hash")
+    joined = told.alias("t").join(chosen.alias("c"), same_key("t", "c"), "left")
+    values = {c: F.when(F.col("_row").isNull(), F.col(f"t.{c}")).otherwise(F.col(f"_row.{c}")).alias(c) for c in rest}
+    return joined.select(*[values.get(c, F.col(f"t.{c}")) for c in df.columns])
+
+
+def _smallest(df: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(
+        *keys, *[F.col(f"_row.{c}").alias(c) for c in rest]
     )
 
 
@@ -46,7 +81,8 @@ def clean_videos(videos: DataFrame) -> DataFrame:
 
 
 def clean_engagement(engagement: DataFrame) -> DataFrame:
-    return dedup_keys(cast_dates(valid_days(engagement), "date"), ["video_id", "date"])
+    """One row per video and date, dealt out by video: the pivot and the join with videos take it as it lies."""
+    return dedup_keys(cast_dates(valid_days(engagement), "date"), ["video_id", "date"], "video_id")
 
 
 def clean_creator(creator: DataFrame) -> DataFrame:

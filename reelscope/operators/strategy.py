@@ -14,19 +14,22 @@ from reelscope.sources.tables import materialize
 
 def creator_span(creator: DataFrame) -> DataFrame:
     """Per author: first and last date, followers at both ends, gain and active weeks."""
-    known = F.when(F.col("follower_count").isNotNull(), F.struct("date", "follower_count"))
-    span = creator.withColumn("date", F.to_date("date")).groupBy("author_id").agg(
+    followers = F.col("follower_count")
+    # the counts of a date first, so that each end is one number a date and hash aggregates do
+    daily = creator.withColumn("date", F.to_date("date")).groupBy("author_id", "date").agg(
+        F.min(followers).alias("_low"), F.max(followers).alias("_high")
+    )
+    known = F.when(F.col("_low").isNotNull(), F.col("date"))
+    span = daily.groupBy("author_id").agg(
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
-        F.min(known).alias("_a"),
-        F.max(known).alias("_b"),
+        F.min_by("_low", known).alias("start_followers"),
+        F.max_by("_high", known).alias("end_followers"),
     )
     days = F.datediff("end_date", "start_date")
     return span.select(
-        "author_id", "start_date", "end_date",
-        F.col("_a.follower_count").alias("start_followers"),
-        F.col("_b.follower_count").alias("end_followers"),
-        (F.col("_b.follower_count") - F.col("_a.follower_count")).alias("follower_gain"),
+        "author_id", "start_date", "end_date", "start_followers", "end_followers",
+        (F.col("end_followers") - F.col("start_followers")).alias("follower_gain"),
         days.alias("total_days"),
         F.greatest(F.lit(1.0), days / F.lit(7.0).cast("double")).alias("active_weeks"),
     )
@@ -35,10 +38,9 @@ def creator_span(creator: DataFrame) -> DataFrame:
 def primary_topic(v: DataFrame) -> DataFrame:
     """Most frequent topic per author, the first by name on ties."""
     counted = v.where(F.col("topic").isNotNull()).groupBy("author_id", "topic").agg(F.count(F.lit(1)).alias("_n"))
-    best = F.min(F.struct((-F.col("_n")).alias("_r"), F.col("topic").alias("topic")))
-    return counted.groupBy("author_id").agg(best.alias("_t")).select(
-        "author_id", F.col("_t.topic").alias("primary_topic")
-    )
+    most = counted.groupBy("author_id").agg(F.max("_n").alias("_most"))
+    level = counted.join(most, "author_id").where("_n = _most")
+    return level.groupBy("author_id").agg(F.min("topic").alias("primary_topic"))
 
 
 def author_video_stats(v: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RAW_TABLES = ("videos", "engagement_daily", "creator_daily")
 SUMMARY_TABLE = "processed_video_30d"
@@ -43,19 +45,24 @@ def write_table(df: DataFrame, folder: str, name: str, cluster_by: str | None =
     df.write.mode("overwrite").parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+#: Folders of sessions on a local master that name none, by application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that every executor can reach: the one the session names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder.
+    Only a local master may do without; it gets a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="reelscope-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="reelscope-")
+    return _local_folders[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -82,6 +89,43 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def column_totals(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, measure, known, total``: for every column the number of known values, and the sum of numbers.
+
+    One aggregate over each table.
+    """
+    parts = []
+    for name, df in tables.items():
+        numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+        cells = [
+            F.struct(
+                F.lit(c).alias("measure"), F.count(c).alias("known"),
+                (F.sum(F.col(c).cast("double")) if c in numbers else F.lit(None).cast("double")).alias("total"),
+            )
+            for c in df.columns
+        ]
+        parts.append(df.agg(F.array(*cells).alias("_cells")).select(F.lit(name).alias("table_name"), F.inline("_cells")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def long_contents(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, label, measure, value``: every known number of reports that have different columns.
+
+    The label of a row puts its text columns together, in the order of their names.
+    """
+    parts = []
+    for name, df in tables.items():
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        texts = sorted(c for c, kind in kinds.items() if isinstance(kind, T.StringType))
+        cells = [
+            F.struct(F.lit(c).alias("measure"), F.col(f"`{c}`").cast("double").alias("value"))
+            for c, kind in kinds.items() if isinstance(kind, T.NumericType)
+        ]
+        label = F.concat_ws(" | ", *[F.col(f"`{c}`") for c in texts])
+        parts.append(df.select(F.lit(name).alias("table_name"), label.alias("label"), F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts).where("value is not null")
+
+
 def dataset_profile(df: DataFrame, target: str) -> DataFrame:
     """Rows, columns and rows with a target."""
     return df.agg(

@@ -147,3 +147,50 @@ def test_bundle_is_reused_until_forced(spark, tmp_path):
     assert tables.reuse_bundle(spark, folder, ["a"], build)["a"].count() == 1
     assert tables.reuse_bundle(spark, folder, ["a"], build)["a"].count() == 1
     assert tables.reuse_bundle(spark, folder, ["a"], build, force=True)["a"].count() == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_shuffle_of_the_engagement_table(spark, raw, tmp_path):
+    """Dedup, pivot and join with videos share it, also without broadcasts, and no aggregate over that table sorts."""
+    v, e, _ = raw
+    e.write.parquet(str(tmp_path / "e"))
+    v.write.parquet(str(tmp_path / "v"))
+    e, v = spark.read.parquet(str(tmp_path / "e")), spark.read.parquet(str(tmp_path / "v"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, x in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, x)  # the plan as it runs
+    try:
+        clean = cleaning.clean_engagement(e)
+        for result, more in ((clean, 0), (summary.pivot_snapshots(clean), 0),
+                             (cleaning.join_engagement_video(clean, cleaning.clean_videos(v)), 1)):
+            lines = plan_of(result).splitlines()
+            shuffles = [x for x in lines if "Exchange hashpartitioning" in x and "Reused" not in x]
+            assert len(shuffles) == 1 + more, lines
+        sorted_ = [x for x in plan_of(clean).splitlines() if "SortAggregate" in x]
+        assert all("struct(" in x for x in sorted_) and len(sorted_) == 2  # over the rows that differ
+        assert clean.count() == 10
+    finally:
+        for k, x in held.items():
+            spark.conf.set(k, x)
+
+
+def test_dedup_of_numbers_equals_the_ordered_choice(spark):
+    import random
+
+    chance = random.Random(2)
+    rows = [tuple(chance.choice([None, 1, 2]) for _ in range(2)) + (chance.choice([None, 0, 1]), chance.choice([None, 0, 5]), chance.choice([None, 0.0, 2.5])) for _ in range(300)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "a int, b int, x int, y long, z double").repartition(6)
+    order = lambda r: tuple((x is not None, x or 0) for x in r[2:])  # noqa: E731  nulls first
+    want = {}
+    for r in rows:
+        want[r[:2]] = min(want.get(r[:2], r), r, key=order)
+    for by in (None, "a", "b"):
+        got = [tuple(r) for r in cleaning.dedup_keys(df, ["a", "b"], by).collect()]
+        known = {r for k, r in want.items() if by is None or k["ab".index(by)] is not None}
+        assert len(got) == len(known) and set(got) == known
+    assert cleaning.dedup_keys(df.select("a", "b"), ["a", "b"]).count() == len(want)
+    assert cleaning.dedup_keys(df.where("false"), ["a", "b"]).count() == 0
