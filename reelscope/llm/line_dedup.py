@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import materialize, plain_text, table
+from reelscope.llm.common import lookup, materialize, plain_text, table
 
 #: A line is boilerplate from so many sites on, and in as many different texts.
 SITES = 5
@@ -29,23 +29,27 @@ def spread_lines(docs: DataFrame, sites: int = SITES, min_chars: int = MIN_CHARS
         docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"),
                     F.md5(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line", "_raw"))
         .withColumn("_raw", F.trim("_raw")).where(F.char_length("_raw") >= min_chars)
-        .select("doc_id", "site", "text_hash", "line", F.xxhash64("_raw").alias("hash")),
+        .select("doc_id", "site", "text_hash", "line", F.unhex(F.md5("_raw")).alias("hash")),
         "lines",
     )
     low, high = sites * (1 - NEAR) - 1, sites * (1 + NEAR) + 1
     sketched = lines.groupBy("hash").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("n_sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("text_hash", F.lit(SKETCH_BITS))).alias("n_texts"),
-        F.min("text_hash").alias("first"),
+        F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("n"),
     ).withColumn("least", F.least("n_sites", "n_texts")).where(F.col("least") >= low)
-    suspects = materialize(sketched.select("hash", "first", (F.col("least") <= high).alias("near")), "line-suspects")
-    places = materialize(lines.join(suspects, "hash"), "line-places")
+    suspects = materialize(sketched.select("hash", "first", "n", (F.col("least") <= high).alias("near")), "line-suspects")
+    # few suspects are left after the sketches, but one of them may stand in a third of all texts
+    places = materialize(lookup(lines, suspects, "hash", "n").where("first is not null"), "line-places")
     counted = (
         places.where("near").groupBy("hash").agg(
-            F.count_distinct("site").alias("n_sites"), F.count_distinct("text_hash").alias("n_texts")
-        ).where(F.least("n_sites", "n_texts") < sites).select("hash")
+            F.count_distinct("site").alias("n_sites"), F.count_distinct("text_hash").alias("n_texts"),
+            F.count(F.lit(1)).alias("n"),
+        ).select("hash", "n", (F.least("n_sites", "n_texts") >= sites).alias("spread"))
     )
-    return places.join(counted, "hash", "left_anti").where("text_hash != first").select("doc_id", "text_hash", "line")
+    judged = lookup(places.where("near").drop("n"), materialize(counted, "line-counts"), "hash", "n")
+    found = places.where("not near").unionByName(judged.where("spread").select(places.columns))
+    return found.where("text_hash != first").select("doc_id", "text_hash", "line")
 
 
 def remove_spread_lines(
@@ -64,7 +68,10 @@ def remove_spread_lines(
         found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("text_hash")), "left"
     )
     text = F.col("row.text")
-    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i))
+    # the lines that stay are picked by number, so a long text costs as much a line as a short one
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(text, "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.transform(stay, lambda i: F.get("lines", i))
     cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
     columns = [cleaned.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in own]
     if not counts:
