@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import SPACES, byte_kinds, mix, table, text_slices, word_hashes
+from reelscope.llm.common import SPACES, byte_kinds, materialize, mix, table, text_slices, word_hashes
 
 BITS = 18
 SAMPLE_ROWS = 6000
+#: Bytes of all texts of a sample together.
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 3
 THRESHOLD = 0.3
 HELD_OUT = 5
@@ -73,18 +75,30 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled training texts (``doc_id, quality, text``), chosen by a hash of the id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES
+) -> DataFrame:
+    """At most ``rows`` labelled training texts of ``size`` bytes in all (``doc_id, quality, text``), by a hash of the id.
 
     Rows whose id falls in the held-out fifth, and rows without a label, are never chosen.  An id with two labels has
-    the larger one.  The chosen ids are a bounded list, so the texts are found without moving the documents.
+    the larger one, an id with several texts the smallest.  The chosen ids are a bounded list, so the texts are found
+    without moving the documents; the texts of an id collapse before the shuffle.  Texts are taken in the order of the hash
+    as long as their bytes add up to no more than ``size``; one that is too long is left out.
     """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0))
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    fitting = F.coalesce(F.octet_length("text"), F.lit(0)) <= size
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(fitting)
+    sample = materialize(
+        texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "labelled"
+    )
+    ordered = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lengths = sample.select("doc_id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(ordered).alias("_upto"))
+    taken = lengths.where(F.col("_upto") <= size).select("doc_id")  # at most ``rows`` ids, as the sample
+    return sample.join(F.broadcast(taken), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> np.ndarray:

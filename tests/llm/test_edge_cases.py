@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from reelscope.llm import (
     chat_format, exact_dedup, license_scan, line_crf, line_dedup, near_dedup, packing, parity_join, quality_classifier,
@@ -92,3 +93,49 @@ def test_chats_with_nulls_and_ties(spark):
     assert {k: r["n_turns"] for k, r in found.items()} == {1: 3, None: 1, 2: 2}
     assert found[1]["loss_chars"] == 2 and found[2]["loss_chars"] == 1
     assert chat_format.read_back(chat_format.format_chats(turns.where("false"))).collect() == []
+
+
+def test_samples_are_bounded_by_rows_and_bytes(spark):
+    """An id that stands in many rows is one text; texts count as long as their bytes add up."""
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.lit(200)).alias("text")))
+    docs = docs.unionByName(spark.createDataFrame([(50, None), (51, "long " * 5000)], "doc_id long, text string"))
+    labels = spark.range(1, 60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    whole = quality_classifier.labelled_sample(docs, labels, 100, 20_000).collect()
+    assert len({r["doc_id"] for r in whole}) == len(whole) <= 41 and 51 not in {r["doc_id"] for r in whole}
+    assert sum(len(r["text"] or "") for r in whole) <= 20_000
+    few = quality_classifier.labelled_sample(docs, labels, 10).collect()
+    assert len(few) <= 10
+
+
+def test_a_line_in_most_texts_stays_spread(spark):
+    """Without broadcasts by size and without adaptive splitting, no task gets the rows of a frequent line."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id"), F.when(F.col("id") % 10 > 0, "\n" + "boilerplate " * 4).otherwise("")).alias("text"),
+        (F.col("id") % 50).cast("string").alias("source"),
+    ).repartition(8)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, x in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(k, x)
+    try:
+        found = line_dedup.spread_lines(rows)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3599 and max(sizes) < 1800
+    finally:
+        for k, x in held.items():
+            spark.conf.set(k, x)
+
+
+def test_long_texts_lose_lines_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"a line of more than twenty characters, number {i}" for i in range(n))
+        docs = spark.createDataFrame([(i, f"{text}\nown {i}", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+        start = time.perf_counter()
+        removed = sorted(r["n_removed"] for r in line_dedup.remove_spread_lines(docs).collect())
+        assert removed == [0, n, n, n, n, n] or sum(removed) == 5 * n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(20_000) < 4 * seconds(10_000) + 2
