@@ -14,9 +14,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.llm.buckets import linked_classes, read_sets
 from reelscope.llm.common import BLANK_WORDS, lookup, materialize, mix, single_spaced, table, text_slices, word_hashes
 
 SHINGLE = 5
@@ -26,10 +27,6 @@ BAND_ROWS = 5
 #: Pairs whose marks (8 bits a component, 1280 in all) differ in more bits are not verified.  At a similarity of 0.8, 128 bits
 #: differ on average with a standard deviation of 22, so this is five deviations off.
 MOST_BITS = 240
-#: Members of a bucket that are compared with the whole bucket in one round, at the start.
-PIVOTS = 1024
-#: Up to so many ids of asked texts are broadcast to the scan of the documents; more go through a shuffle join.
-BROADCAST_IDS = 500_000
 
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _PIECE = np.uint64(0x8CB92BA72F3D8DD7)
@@ -186,159 +183,14 @@ def _texts_to_sets(batches):
         )
 
 
-def _alike(left: str, right: str) -> Column:
+def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the packed marks of two sides differ in at most ``MOST_BITS`` bits."""
-    return sum(F.bit_count(F.col(f"{left}.{m}").bitwiseXOR(F.col(f"{right}.{m}"))) for m in _MARKS) <= MOST_BITS
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= MOST_BITS
 
 
-def _linked(left: str, right: str) -> Column:
+def _linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the exact multiset similarity is at least 0.8: nine overlaps against four sums of sizes."""
-    a, b = F.col(f"{left}.bag"), F.col(f"{right}.bag")
-    return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
-
-
-def _sets(docs: DataFrame, units: DataFrame, asked: DataFrame) -> DataFrame:
-    """``unit, bag`` of the asked units, read again from their texts.
-
-    The ids are broadcast if there are few, so only asked texts move; otherwise the texts meet them in a shuffle.
-    """
-    named = materialize(
-        units.join(asked.distinct(), "unit").select("unit", "key", F.col("rep").alias("doc_id")), "near-asked"
-    )
-    texts = docs.select("doc_id", "text")
-    if named.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(named), "doc_id")
-    else:
-        texts = texts.join(named, "doc_id")
-    return materialize(
-        texts.select("unit", "key", "text").mapInArrow(_texts_to_sets, "unit long, bag array<bigint>"), "near-sets"
-    )
-
-
-def _short_cuts(batches):
-    """Edges (u, v) of a batch to edges from each node to the smallest node of its component within the batch."""
-    for batch in batches:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root[up]
-            return x
-
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(u), find(v)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        ends = [(x, find(x)) for x in root]
-        ends = [(x, r) for x, r in ends if x != r]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in ends], pa.int64()), pa.array([r for _, r in ends], pa.int64())], names=["u", "v"]
-        )
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``unit, class`` for the nodes of ``u, v`` edges: the smallest node of each connected component.
-
-    Batches of edges become stars first; then alternating large-star and small-star steps, each written, so nothing is
-    gathered and no lineage grows, until every node has one edge and no centre has one.
-    """
-    now = materialize(edges.where("u != v").mapInArrow(_short_cuts, "u long, v long").distinct(), "stars")
-    while True:
-        roles = now.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).unionByName(
-            now.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("centre"))
-        )
-        open_ = roles.groupBy("x").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where(
-            "out > 1 or out = 1 and centre = 1"
-        )
-        if open_.isEmpty():
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            down.select("u", F.col("m").alias("v"))
-        )
-        now = materialize(small.where("u != v").distinct(), "stars")
-    roots = now.select(F.col("v").alias("unit"), F.col("v").alias("class"))
-    return now.select(F.col("u").alias("unit"), F.col("v").alias("class")).unionByName(roots).distinct()
-
-
-def _links(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """The classes (``unit, class``) of all units that have a partner.
-
-    In every bucket (equal band) one member, the pivot, is compared with all others.  Links merge classes; buckets
-    whose members are all of one class are done.  In the others, more members of all but the largest class are
-    compared with every member of another class, 1024 a bucket, then 1024 times as many …, and leave the bucket.  At the end every
-    two members of a bucket have been compared or are in one class already, so no link is lost.  Comparing happens
-    inside the joins: marks first, exact sets after, and only links come out.
-    """
-    spread = units.select("unit", F.explode("bands").alias("band"))
-    buckets = materialize(
-        spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("pivot")).where("n > 1").drop("n"),
-        "near-buckets",
-    )
-    held = materialize(spread.join(buckets, "band"), "near-members")
-    marks = units.select("unit", F.struct(*_MARKS).alias("marks"), "bands")
-    asked = held.where("unit != pivot").select(F.col("unit").alias("a"), F.col("pivot").alias("b")).distinct()
-    close = materialize(
-        asked.join(marks.select(F.col("unit").alias("a"), F.col("marks").alias("x")), "a")
-        .join(marks.select(F.col("unit").alias("b"), F.col("marks").alias("y")), "b").where(_alike("x", "y"))
-        .select("a", "b"), "near-pairs",
-    )
-    sets = _sets(docs, units, close.select(F.col("a").alias("unit")).unionByName(close.select(F.col("b").alias("unit"))))
-    own = F.struct("bag")
-    found = (
-        close.join(sets.select(F.col("unit").alias("a"), own.alias("x")), "a")
-        .join(sets.select(F.col("unit").alias("b"), own.alias("y")), "b").where(_linked("x", "y"))
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
-    members = held.where("unit != pivot").select("band", "unit")
-    classes, pivots = materialize(components(found), "near-classes"), PIVOTS
-    while True:
-        known = materialize(
-            members.join(classes, "unit", "left").select("band", "unit", F.coalesce("class", "unit").alias("class")),
-            "near-members",
-        )
-        sizes = known.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("band").agg(
-            F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("kinds"),
-            (F.sum("n") - F.max("n")).alias("rest"),
-        ).where("kinds > 1")
-        turn = (F.col("class") != F.col("largest")) & (
-            F.pmod(F.xxhash64("unit", F.lit(pivots)), F.greatest(F.lit(1), F.ceil(F.col("rest") / pivots))) == 0
-        )
-        open_ = materialize(
-            known.join(mixed, "band").join(marks, "unit")
-            .select("band", "unit", "class", "marks", "bands", turn.alias("turn")),
-            "near-open",
-        )
-        if open_.isEmpty():
-            return classes
-        compared = materialize(_compare(docs, units, open_), "near-links")
-        if not compared.isEmpty():
-            stars = classes.select(F.col("unit").alias("u"), F.col("class").alias("v"))
-            classes = materialize(components(stars.unionByName(compared)), "near-classes")
-        members = open_.where("not turn").select("band", "unit")
-        pivots *= PIVOTS
-
-
-def _compare(docs: DataFrame, units: DataFrame, open_: DataFrame) -> DataFrame:
-    """Links (``u, v``) between the members whose turn it is and the members of other classes in their buckets."""
-    other = (F.col("p.band") == F.col("e.band")) & (F.col("p.class") != F.col("e.class"))
-    # a pair that shares several buckets is compared in the first of them only
-    first = F.get(F.array_intersect("p.bands", "e.bands"), 0) == F.col("p.band")
-    likely = other & _alike("p.marks", "e.marks") & first
-    probes = materialize(
-        open_.where("turn").alias("p").join(open_.alias("e"), likely, "left_semi").drop("turn"), "near-probes"
-    )
-    partners = materialize(open_.alias("e").join(probes.alias("p"), likely, "left_semi").drop("turn"), "near-partners")
-    sets = _sets(docs, units, probes.select("unit").unionByName(partners.select("unit")))
-    return (
-        probes.join(sets, "unit").alias("p")
-        .join(partners.join(sets, "unit").alias("e"), likely & _linked("p", "e"))
-        .select(F.col("p.unit").alias("u"), F.col("e.unit").alias("v"))
-    )
+    return shared * 9 >= (a + b) * 4
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -372,7 +224,10 @@ def _judged(docs: DataFrame) -> DataFrame:
         ).withColumn("unit", F.monotonically_increasing_id()),
         "near-units",
     )
-    classes = _links(given, units)
+    classes = linked_classes(
+        units.select("unit", F.explode("bands").alias("filed")), units.select("unit", F.array(*_MARKS).alias("sign")),
+        _fits, lambda asked: read_sets(given, units, asked, _texts_to_sets), _linked,
+    )
     whole = units.select("unit", "key", "n", "rep").join(classes, "unit", "left").withColumn(
         "class", F.coalesce("class", "unit")
     )
@@ -402,9 +257,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.sum(stays.cast("int")).alias("stay")
     ).where("rows > 1 or stay = 0 or doc_id is null"), "near-ids")
     gone = ids.where("stay = 0").select("doc_id")
-    few = gone.count() <= BROADCAST_IDS  # else the ids meet the texts in a shuffle
     named = docs.where("doc_id is not null")
-    left = named.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    left = named.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")  # one plan at every size
     often = ids.where("stay > 0 and doc_id is not null").where("rows > 1").select("doc_id")
     nameless = ids.where("doc_id is null and stay > 0")
     key = "_key"

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.llm.buckets import components
 from reelscope.llm.common import lookup, materialize, mix, table
-from reelscope.llm.near_dedup import components
 
 WINDOW = 2048
 END_ID = 1

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelscope.llm.buckets import linked_classes, read_sets
 from reelscope.llm.common import lookup, materialize, mix, table, text_slices
-from reelscope.llm.near_dedup import components, shingles
+from reelscope.llm.near_dedup import shingles
 
 SHINGLE = 3
 #: The least similarity, as a fraction: linked sets share LEAST of OF of their union.
@@ -25,9 +26,6 @@ LEAST, OF = 9, 10
 BAND = 4 / 3
 #: 64-bit words of a folded sketch.
 FOLDED = 16
-#: Members of a bucket that are compared with as many others in one block.
-PART = 256
-
 _FOLDS = [f"f{i}" for i in range(FOLDED)]
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,7 +143,7 @@ def _sign(batches):
         )
 
 
-def _read_sets(batches):
+def _to_sets(batches):
     """(unit, key, text) to (unit, bag): the sets of the texts that have the key."""
     for batch, data, offsets in text_slices(batches, "text"):
         tokens, starts = shingle_sets(data, offsets)
@@ -157,111 +155,15 @@ def _read_sets(batches):
         )
 
 
-def _likely(x: str, y: str) -> Column:
-    """Whether sizes and folded sketches of two sides leave a link possible."""
-    a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
-    bits = sum(F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in _FOLDS)
-    return (F.least(a, b) * OF >= F.greatest(a, b) * LEAST) & (bits * (OF + LEAST) <= (a + b) * (OF - LEAST))
+def _fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes (the first word) and folded sketches leave a link possible."""
+    a, b = x[..., 0].astype(np.int64), y[..., 0].astype(np.int64)
+    bits = np.bitwise_count(x[..., 1:] ^ y[..., 1:]).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(a, b) * OF >= np.maximum(a, b) * LEAST) & (bits * (OF + LEAST) <= (a + b) * (OF - LEAST))
 
 
-def _verified(docs: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (``u, v``) whose sets are linked; the sets are read again from the texts of these units only.
-
-    The texts meet the units in a shuffle at every size, so nothing that grows with the data is broadcast.
-    """
-    ends = pairs.select(F.col("u").alias("unit")).unionByName(pairs.select(F.col("v").alias("unit"))).distinct()
-    asked = units.join(ends.hint("shuffle_hash"), "unit", "left_semi").select("unit", "key", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").hint("merge").join(asked, "doc_id").select("unit", "key", "text")
-    sets = materialize(
-        texts.mapInArrow(_read_sets, "unit long, bag array<bigint>").dropDuplicates(["unit"]), "parity-sets"
-    )
-    left = sets.select(F.col("unit").alias("u"), F.col("bag").alias("x"))
-    right = sets.select(F.col("unit").alias("v"), F.col("bag").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = shared * OF >= (F.size("x") + F.size("y") - shared) * LEAST
-    return pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").where(linked).select("u", "v")
-
-
-def _compare(batches):
-    """Pairs of parts of a bucket (same, and both parts' unit, class, size and sketch arrays) to likely pairs ``u, v``."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            sides = []
-            for at in (1, 5):
-                unit, kind, size, words = (batch.column(c)[row].values.to_numpy() for c in range(at, at + 4))
-                sides.append((unit, kind, size, words.view(np.uint64).reshape(-1, FOLDED)))
-            (u, c, a, x), (v, d, b, y) = sides
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for i in range(len(u)):
-                bits = np.bitwise_count(y ^ x[i]).sum(axis=1, dtype=np.int64)
-                fits = (bits * (OF + LEAST) <= (a[i] + b) * (OF - LEAST)) & (d != c[i])
-                fits &= np.minimum(a[i], b) * OF >= np.maximum(a[i], b) * LEAST
-                if batch.column(0)[row].as_py():
-                    fits[: i + 1] = False
-                near = np.flatnonzero(fits)
-                found.append((np.full(len(near), u[i]), v[near]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                names=["u", "v"],
-            )
-
-
-def _open_pairs(held: DataFrame, classes: DataFrame, folded: DataFrame) -> DataFrame:
-    """Likely pairs of different classes in the buckets that hold several: every such pair of members meets once.
-
-    A bucket is dealt into parts of about 256 members by a hash, and each pair of parts is a row of its own, so the
-    comparisons within a large bucket are spread over the tasks; only likely pairs come out.
-    """
-    known = held.join(classes, "unit", "left").select("filed", "unit", F.coalesce("class", "unit").alias("class"))
-    several = known.groupBy("filed").agg(
-        F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("n")
-    ).where("least != most").select("filed", F.ceil(F.col("n") / PART).alias("parts"))
-    member = F.struct("unit", "class", "size", F.array(*_FOLDS).alias("words"))
-    parts = materialize(
-        known.join(several, "filed").join(folded, "unit")
-        .withColumn("part", F.pmod(F.xxhash64("unit"), F.col("parts")))
-        .groupBy("filed", "part").agg(F.collect_list(member).alias("held"))
-        .select("filed", "part", F.col("held.unit").alias("unit"), F.col("held.class").alias("class"),
-                F.col("held.size").alias("size"), F.flatten("held.words").alias("words")), "parity-parts",
-    )
-    heads = parts.select("filed", "part")
-    pairs = heads.join(heads.select("filed", F.col("part").alias("other")), "filed").where("part <= other")
-    columns = ["unit", "class", "size", "words"]
-    left = parts.select("filed", "part", *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = parts.select("filed", F.col("part").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    met = pairs.join(left, ["filed", "part"]).join(right, ["filed", "other"])
-    shown = [f"{c}_a" for c in columns] + [f"{c}_b" for c in columns]
-    return met.select(F.col("part") == F.col("other"), *shown).mapInArrow(_compare, "u long, v long").distinct()
-
-
-def _links(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """The classes (``unit, class``) of all units that are linked with another.
-
-    In every bucket all members first meet one pivot, the member whose buckets are the fullest, which is the likely
-    original of copies; links merge classes.  Then all members of different classes meet in the buckets that still hold
-    several.  So every two members of a bucket have been compared or are in one class already.
-    """
-    spread = units.select("unit", F.explode("filed").alias("filed"))
-    fullness = spread.groupBy("filed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = materialize(spread.join(fullness, "filed"), "parity-held")
-    weights = held.groupBy("unit").agg(F.sum("n").alias("weight"))
-    pivots = held.join(weights, "unit").groupBy("filed").agg(F.max_by("unit", "weight").alias("pivot"))
-    asked = held.join(pivots, "filed").where("unit != pivot").select(
-        F.least("unit", "pivot").alias("u"), F.greatest("unit", "pivot").alias("v")
-    ).distinct()
-    folded = units.select("unit", "size", *_FOLDS)
-    sides = [folded.select(F.col("unit").alias(name), F.struct("size", *_FOLDS).alias(f"_{name}")) for name in "uv"]
-    likely = materialize(
-        asked.join(sides[0], "u").join(sides[1], "v").where(_likely("_u", "_v")).select("u", "v"), "parity-pairs"
-    )
-    links = _verified(docs, units, likely)
-    classes = materialize(components(links), "parity-classes")
-    more = materialize(_open_pairs(held, classes, folded), "parity-pairs")
-    if more.isEmpty():
-        return classes
-    links = _verified(docs, units, more)
-    stars = classes.select(F.col("unit").alias("u"), F.col("class").alias("v"))
-    return materialize(components(stars.unionByName(links)), "parity-classes")
+def _linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return shared * OF >= (a + b - shared) * LEAST
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -287,8 +189,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             *[F.first(f).alias(f) for f in _FOLDS],
         ).withColumn("unit", F.monotonically_increasing_id()), "parity-units",
     )
+    classes = linked_classes(
+        units.select("unit", F.explode("filed").alias("filed")), units.select("unit", F.array("size", *_FOLDS).alias("sign")),
+        _fits, lambda asked: read_sets(given, units, asked, _to_sets), _linked,
+    )
     whole = materialize(
-        units.select("unit", "key", "n", "rep").join(_links(given, units), "unit", "left")
+        units.select("unit", "key", "n", "rep").join(classes, "unit", "left")
         .select("key", "n", "rep", F.coalesce("class", "unit").alias("class")), "parity-whole",
     )
     names = whole.groupBy("class").agg(F.min("rep").alias("component_id"))

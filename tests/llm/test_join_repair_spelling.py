@@ -12,9 +12,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reelscope.llm import conversation_repair as repair
-from reelscope.llm import parity_join, spelling_variants
+from reelscope.llm import buckets, near_dedup, parity_join, spelling_variants
 from tests.llm import cases
 from tests.llm.test_against_brute_force import sql_rows
 
@@ -198,7 +199,7 @@ def test_awkward_documents_equal_sql(spark):
 
 def test_group_of_alike_texts_without_an_original(spark, monkeypatch):
     """Texts that differ in a few words each, some of them linked, most not; parts are small so that blocks are many."""
-    monkeypatch.setattr(parity_join, "PART", 8)
+    monkeypatch.setattr(buckets, "PART", 8)
     chance = random.Random(8)
     base = [f"w{i}" for i in range(160)]
     texts = []
@@ -219,6 +220,54 @@ def test_group_of_alike_texts_without_an_original(spark, monkeypatch):
     assert found == {i: (len(s), root[i]) for i, s in enumerate(sets)}
 
 
+def test_bucket_of_alike_texts_is_dealt_out(spark, monkeypatch):
+    """5,000 units under one key, all alike by signature, few linked: rows stay few, and no part has many members."""
+    monkeypatch.setattr(buckets, "PART", 512)
+    n = 5000
+    units = spark.range(n).select(F.col("id").alias("unit")).repartition(8)
+    held = units.select("unit", F.lit(7).cast("long").alias("filed"), F.lit(n).alias("n"))
+    signed = units.select("unit", F.array("unit").alias("sign"))
+    bags = units.select("unit", F.array(F.col("unit") % 2500, F.col("unit") + 10_000, F.lit(-1).cast("long")).alias("bag"))
+    none = units.limit(0).select("unit", F.col("unit").alias("class"))
+    links = buckets._open_links(
+        held, none, signed, lambda x, y: (x[..., 0] != y[..., 0]), lambda asked: bags.join(asked, "unit"),
+        lambda shared, a, b: shared * 2 >= 4,
+    ).collect()
+    assert {frozenset((r["u"], r["v"])) for r in links} == {frozenset((i, i + 2500)) for i in range(2500)}
+    parts = buckets._part_pairs(held, ["unit"], F.lit(0), "test").select(F.size("unit_a").alias("n")).collect()
+    assert len(parts) == 10 * 11 // 2 and max(r["n"] for r in parts) < 2 * 512
+
+
+def test_shared_elements(monkeypatch):
+    monkeypatch.setattr(buckets, "COLUMNS", 3)
+    chance = np.random.default_rng(3)
+    left, right = ([np.unique(chance.integers(0, 12, n)) for n in chance.integers(0, 9, k)] for k in (5, 7))
+    got = buckets.shared_elements(left, right)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert buckets.shared_elements(left, [np.array([99])]).tolist() == [[0]] * 5
+
+
+def test_near_duplicates_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "PART", 4)
+    chance = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in chance.sample(range(90), chance.choice([0, 1, 2, 4])):
+            words[at] = f"v{chance.randrange(4)}"
+        texts.append(" ".join(words))
+    bags = [collections.Counter(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(60))
+    for i, j in itertools.combinations(range(60), 2):
+        if 10 * sum((bags[i] & bags[j]).values()) >= 8 * sum((bags[i] | bags[j]).values()):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == dict(enumerate(root))
+
+
 def test_rows_without_ids(spark):
     docs = spark.createDataFrame(
         [(None, "a b c d"), (None, ""), (3, "a b c d"), (None, "e f g h"), (None, "e f g h"), (4, None)], "doc_id long, text string")
