@@ -67,6 +67,14 @@ TIERS = (
      "Top-tier breakout content with heavy sharing and exponential reach."),
 )
 
+TRIAGE_START, TRIAGE_LEAST, TRIAGE_MOST = 40.0, 5.0, 99.0
+# per signal: above or below an edge, points; the first that holds counts
+TRIAGE_POINTS = {
+    "decay_level_ratio": (("above", 1.25, 25), ("above", 1.0, 15), ("below", 0.6, -20)),
+    "acceleration": (("above", 50, 20), ("below", -50, -15)),
+    "like_rate": (("above", 0.08, 15), ("below", 0.03, -10)),
+    "increment": (("above", 20000, 20), ("below", 1000, -15)),
+}
 # (lowest score, status, colour, recommendation)
 TRIAGE_STATUSES = (
     (70.0, "Boost with Paid Budget (High Priority)", "#10b981",

@@ -56,16 +56,12 @@ def live_signals() -> dict[str, Column]:
 
 def triage_points(increment: str = "pred_incr") -> Column:
     """Score from 5 to 99 of a video at day 3."""
-    s = live_signals()
-    decay, accel, likes, gain = s["decay_level_ratio"], s["acceleration"], s["like_rate"], num(increment)
-    total = (
-        F.lit(40.0)
-        + _points([(decay > 1.25, 25), (decay > 1.0, 15), (decay < 0.6, -20)])
-        + _points([(accel > 50, 20), (accel < -50, -15)])
-        + _points([(likes > 0.08, 15), (likes < 0.03, -10)])
-        + _points([(gain > 20000, 20), (gain < 1000, -15)])
-    )
-    return F.least(F.greatest(total, F.lit(5.0)), F.lit(99.0))
+    signals = {**live_signals(), "increment": num(increment)}
+    total = F.lit(fixed.TRIAGE_START)
+    for name, steps in fixed.TRIAGE_POINTS.items():
+        x = signals[name]
+        total = total + _points([(x > edge if side == "above" else x < edge, points) for side, edge, points in steps])
+    return F.least(F.greatest(total, F.lit(fixed.TRIAGE_LEAST)), F.lit(fixed.TRIAGE_MOST))
 
 
 def triage_score(df: DataFrame, increment: str = "pred_incr", digits: bool = True) -> DataFrame:
