@@ -219,6 +219,31 @@ def test_bag_minhash_is_unbiased():
         assert abs((signatures[0] == signatures[1]).mean() - expected) < 0.02
 
 
+def test_ftrl_equals_a_plain_loop():
+    """Ten updates of the proximal leader, slot by slot as published."""
+    chance = random.Random(12)
+    model = quality_classifier.Ftrl(8, alpha=0.3, beta=1.0, l1=0.02, l2=0.1)
+    z, n = [0.0] * 9, [0.0] * 9
+
+    def weight(i):
+        if abs(z[i]) <= 0.02:
+            return 0.0
+        return -(z[i] - (0.02 if z[i] > 0 else -0.02)) / ((1.0 + n[i] ** 0.5) / 0.3 + 0.1)
+
+    for _ in range(10):
+        at = sorted(chance.sample(range(8), 3)) + [8]
+        value, label = [chance.random() for _ in at], chance.choice([0.0, 1.0])
+        w = [weight(i) for i in at]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, value))))
+        for i, x, own in zip(at, value, w):
+            g = (p - label) * x
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.3 * own
+            n[i] += g * g
+        model.update(np.array(at), np.array(value), label)
+    np.testing.assert_allclose(model.z, z, atol=1e-12)
+    np.testing.assert_allclose(model.weights(), [weight(i) for i in range(9)], atol=1e-12)
+
+
 def test_token_counts_equal_whole_texts(spark, docs, texts):
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     awkward = {100_000 + i: r[1] or "" for i, r in enumerate(cases.rows()) if len(r[1] or "") < 50_000}
