@@ -95,19 +95,6 @@ def test_chats_with_nulls_and_ties(spark):
     assert chat_format.read_back(chat_format.format_chats(turns.where("false"))).collect() == []
 
 
-def test_samples_are_bounded_by_rows_and_bytes(spark):
-    """An id that stands in many rows is one text; texts count as long as their bytes add up."""
-    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
-    docs = docs.unionByName(spark.range(2, 40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.lit(200)).alias("text")))
-    docs = docs.unionByName(spark.createDataFrame([(50, None), (51, "long " * 5000)], "doc_id long, text string"))
-    labels = spark.range(1, 60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
-    whole = quality_classifier.labelled_sample(docs, labels, 100, 20_000).collect()
-    assert len({r["doc_id"] for r in whole}) == len(whole) <= 41 and 51 not in {r["doc_id"] for r in whole}
-    assert sum(len(r["text"] or "") for r in whole) <= 20_000
-    few = quality_classifier.labelled_sample(docs, labels, 10).collect()
-    assert len(few) <= 10
-
-
 def test_a_line_in_most_texts_stays_spread(spark):
     """Without broadcasts by size and without adaptive splitting, no task gets the rows of a frequent line."""
     rows = spark.range(4000).select(
