@@ -22,8 +22,10 @@ def train_bundle(v: DataFrame, params: dict | None = None, forest: dict | None =
     frame = models.training_frame(v)
     train = frame.where("is_train")
     inputs = models.input_columns(frame)
-    point = models.fit("gbt_mape", train, params, inputs)
-    spread = models.fit_quantile_forest(train, forest, {"p10": 0.1, "p90": 0.9}, inputs)
+    point, spread = models.side_by_side(v.sparkSession, lambda fit: fit(), [
+        lambda: models.fit("gbt_mape", train, params, inputs),
+        lambda: models.fit_quantile_forest(train, forest, {"p10": 0.1, "p90": 0.9}, inputs),
+    ])
     fitted, overall = encoding.target_encode_fit(train, "topic")
     _, author_mean = encoding.target_encode_fit(train, "author_id")
     medians = feature_medians(train, [c for c in inputs if c not in models.ENCODED])

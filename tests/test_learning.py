@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 import warnings
 
 import numpy as np
@@ -357,6 +358,20 @@ def test_large_leaves_keep_steps(table, monkeypatch):
     assert max(abs(a - b) for i in got for a, b in zip(got[i], exact[i])) < 0.4  # targets run from 0 to 4
 
 
+def test_one_forest_serves_both_and_fits_run_side_by_side(table, monkeypatch):
+    frame = table.withColumn("is_train", F.col("video_id") % 3 > 0)
+    params = {"trees": 4, "depth": 3, "leaf": 20, "bins": 32}
+    apart = {n: models.run_models(frame, n, params).first().asDict() for n in ("random_forest", "quantile_forest")}
+    fitted, plain = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda name, *rest: fitted.append(name) or plain(name, *rest))
+    together = models.run_models(frame, ["random_forest", "quantile_forest"], params).collect()
+    assert fitted == ["random_forest"]
+    for row in together:
+        assert row.asDict() == pytest.approx(apart[row.model])
+    meeting = threading.Barrier(3, timeout=60)  # opens only when three calls run at once
+    assert models.side_by_side(table.sparkSession, lambda i: meeting.wait() and 0 or i, [3, 1, 2], 3) == [3, 1, 2]
+
+
 def dated(table):
     return table.withColumn("create_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("video_id").cast("int")))
 
