@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import plain_text, table
+from reelscope.llm.common import materialize, plain_text, table
 
 #: Share of a template's words that must stand in place.
 MIN_SHARE = 0.5
@@ -72,10 +72,22 @@ def licence_words(docs: DataFrame, *keep: Column) -> DataFrame:
     return docs.select(*keep, F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words"))
 
 
-def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
-    """In how many documents each word of the key phrases stands; at most as many rows as there are such words."""
+def template_words(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """``doc_id, n_words, words``, written: the texts are split into words once, for the counts and for the scan.
+
+    Words that no template has are null, so the table is a small part of the texts.
+    """
+    known = sorted({w for t in templates for w in t.words})
+    return materialize(licence_words(docs, F.col("doc_id")).select(
+        "doc_id", F.size("words").cast("long").alias("n_words"),
+        F.transform("words", lambda w: F.when(w.isin(*known), w)).alias("words"),
+    ), "licence-words")
+
+
+def document_frequencies(rows: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
+    """In how many rows of :func:`template_words` each word of the key phrases stands; at most one number a word."""
     asked = sorted({w for t in templates for w in t.key})
-    found = licence_words(docs).select(F.explode(F.array_intersect("words", F.array(*map(F.lit, asked)))).alias("w"))
+    found = rows.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, asked)))).alias("w"))
     return {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -87,7 +99,8 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     0 without one.  A null or empty text has no words and empty labels.  Repeated rows are scanned row by
     row; an empty table gives an empty result; only the id and the text are read.
     """
-    df = document_frequencies(docs, templates)
+    split = template_words(docs, templates)
+    df = document_frequencies(split, templates)
     filed: dict[str, list[tuple[int, int]]] = {}
     for number, t in enumerate(templates):
         rare = min(range(len(t.key)), key=lambda i: (df.get(t.key[i], 0), i))
@@ -96,8 +109,7 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     places = F.filter(
         F.transform(words, lambda w, i: F.when(w.isin(*filed), i)), lambda i: i.isNotNull()
     )
-    rows = licence_words(docs, F.col("doc_id")).select("doc_id", "words", F.size("words").cast("long").alias("n_words"),
-                                                       places.alias("places"))
+    rows = split.select("doc_id", "words", "n_words", places.alias("places"))
 
     def starts(number: int, word: str, at: int) -> Column:
         """Starts at which the key phrase of a template stands, from the postings of its rare word."""

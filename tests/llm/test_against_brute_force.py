@@ -63,6 +63,13 @@ def test_awkward_rows_equal_sql(spark, operator, sql):
     assert cases.collected(operator(cases.documents(spark)).select(*columns)) == sorted(map(tuple, expected), key=repr)
 
 
+def test_licence_scan_splits_texts_once(spark, monkeypatch):
+    calls, plain = [], license_scan.licence_words
+    monkeypatch.setattr(license_scan, "licence_words", lambda *a: calls.append(1) or plain(*a))
+    found = license_scan.license_scan(cases.documents(spark))
+    assert calls == [1] and found.where("doc_id = 20").first().base_labels == "cc-by,gpl,reserved"
+
+
 def test_exact_groups_tell_colliding_hashes_apart(spark):
     rows = cases.documents(spark)
     weak = exact_dedup.exact_groups(rows, hashed=lambda t: F.substring(t, 1, 1))
