@@ -36,6 +36,24 @@ _worker: dict = {}
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
+def latin(text: str) -> bool:
+    """Whether no character is beyond U+024F; most texts need only the quick test for Latin-1."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _BEYOND_LATIN.search(text)
+
+
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The sorted different ids, as ``np.unique`` gives them, without its overhead for short arrays."""
+    ids = np.sort(ids)
+    fresh = np.empty(len(ids), bool)
+    fresh[:1] = True
+    np.not_equal(ids[1:], ids[:-1], out=fresh[1:])
+    return ids[fresh]
+
+
 class Ids:
     """Token ids of texts as ``tokenizers`` gives them.
 
@@ -63,7 +81,7 @@ class Ids:
             )
 
     def of(self, text: str) -> np.ndarray:
-        if self.fast and not _BEYOND_LATIN.search(text):
+        if self.fast and latin(text):
             return self.fast.encode_to_numpy(text, allowed_special="all")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -124,7 +142,7 @@ def _frequencies(window: int):
         fragments = 0
         for batch in batches:
             for n, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.unique(_unpack(rest, n, window)).astype(np.int64)
+                ids = distinct(_unpack(rest, n, window)).astype(np.int64)
                 if len(ids):
                     fragments += 1
                     if ids[-1] >= len(seen):
@@ -148,8 +166,8 @@ def _sketches(window: int, known):
         for batch in batches:
             sketches = []
             for n, rest in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids = np.unique(_unpack(rest, n, window))
-                sketches.append(ids[draws[ids].argmin(axis=0)].astype(">u2").tobytes())
+                ids = distinct(_unpack(rest, n, window))
+                sketches.append(ids[draws.take(ids, axis=0).argmin(axis=0)].astype(">u2").tobytes())
             tokens = [n % window for n in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(tokens, pa.int64()), pa.array(sketches, pa.binary())],

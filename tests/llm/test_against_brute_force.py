@@ -70,6 +70,13 @@ def test_licence_scan_splits_texts_once(spark, monkeypatch):
     assert calls == [1] and found.where("doc_id = 20").first().base_labels == "cc-by,gpl,reserved"
 
 
+def test_packing_shortcuts_equal_the_plain_ways():
+    for ids in ([], [7], [3, 3, 3], [9, 1, 65535, 1, 0]):
+        np.testing.assert_array_equal(packing.distinct(np.array(ids, "<u2")), np.unique(np.array(ids, "<u2")))
+    for text in ("", "plain", "caf\xe9 \xff", "\u0100\u024f", "a\u0250", "\u2019", "\U00010348 z"):
+        assert packing.latin(text) == all(c <= "\u024f" for c in text)
+
+
 def test_exact_groups_tell_colliding_hashes_apart(spark):
     rows = cases.documents(spark)
     weak = exact_dedup.exact_groups(rows, hashed=lambda t: F.substring(t, 1, 1))
