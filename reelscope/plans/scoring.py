@@ -12,8 +12,8 @@ from reelscope.operators.features import feature_medians
 from reelscope.operators.metrics import log_scale_metrics
 from reelscope.sources.tables import materialize
 
-BUNDLE_TABLES = ("centers", "topic_encoding", "topic_profiles", "importances", "leaves", "holdout")
-BUNDLE_MODELS = ("point_model", "forest_model")
+BUNDLE_TABLES = ("centers", "topic_encoding", "topic_profiles", "importances", "leaves", "holdout", "forest_trees")
+BUNDLE_MODELS = ("point_model",)
 LIVE_COUNTERS = ("plays_day0", "plays_day1", "plays_day3", "likes_day3")
 
 
@@ -33,7 +33,7 @@ def train_bundle(v: DataFrame, params: dict | None = None, forest: dict | None =
         "topic_te": overall.scalar(), "author_id_te": author_mean.scalar(),
     })
     return {
-        "point_model": point, "forest_model": spread.model, "leaves": spread.leaves, "centers": centers,
+        "point_model": point, "forest_trees": spread.model.table(v.sparkSession), "leaves": spread.leaves, "centers": centers,
         "topic_encoding": fitted, "topic_profiles": profiles.topic_profile(v),
         "importances": models.feature_importance(point, v),
         "holdout": log_scale_metrics(models.predict(point, frame.where(~F.col("is_train"))), by=()),
@@ -44,7 +44,7 @@ def score_drafts(drafts: DataFrame, bundle: dict, row_id: str = "draft_id") -> D
     """Fill the drafts, build model inputs, predict median, floor and ceiling, add total and tier."""
     from reelscope.operators.distribution import lookup_join
 
-    point, forest = bundle["point_model"], bundle["forest_model"]
+    point, forest = bundle["point_model"], models.Forest.read(bundle["forest_trees"])
     inputs = point.stages[0].getInputCols()
     filled = decisions.draft_defaults(drafts)
     known = lookup_join(filled, bundle["topic_encoding"].drop("rows"), ["topic"]).withColumnRenamed(

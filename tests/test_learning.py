@@ -4,10 +4,11 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reelscope.operators import baselines, encoding, features, forecast, leaderboard, metrics, models, splits, stats
+from reelscope.operators import baselines, encoding, features, forecast, forest, leaderboard, metrics, models, splits, stats
 
 
 def days(n, start=dt.date(2024, 1, 1)):
@@ -446,3 +447,44 @@ def test_baselines_and_boards(spark):
     assert {r.y for r in baselines.baseline_mean(v, "drop").collect()} == {10.0, 30.0, None}
     board = leaderboard.leaderboard_sort(leaderboard.leaderboard_union({"A": [baselines.run_baselines(v)], "B": [spark.createDataFrame([("s", 1.0, 2.0)], "model string, smape double, extra double")]}))
     assert board.first().model == "s" and "extra" in board.columns and board.count() == 5
+
+
+def test_forest_is_the_same_split_by_levels_or_in_one_task(table):
+    shape = {"trees": 5, "depth": 6, "least": 5, "bins": 32}
+    whole = forest.fit_forest(table, ["a", "b"], **shape)
+    by_levels = forest.fit_forest(table.repartition(7), ["a", "b"], **shape, local_rows=60)
+    both = table.select("y", "a", "b")
+    one, other = (f.transform(both).orderBy("a").toPandas() for f in (whole, by_levels))
+    np.testing.assert_allclose(one.yhat, other.yhat)
+    assert 1 - ((one.yhat - one.y) ** 2).sum() / ((one.y - one.y.mean()) ** 2).sum() > 0.5
+    assert sorted(len(t) for t in whole.trees) == sorted(len(t) for t in by_levels.trees)
+    for nodes in by_levels.trees:
+        leaf = nodes["feature"] < 0
+        assert nodes["size"][leaf].min() >= 5 and leaf.sum() == 1 + (~leaf).sum()
+    again = forest.Forest.read(by_levels.table(table.sparkSession))
+    assert again.inputs == ["a", "b"] and all((x == y).all() for x, y in zip(again.trees, by_levels.trees))
+
+
+def test_targets_of_large_leaves_are_not_gathered(table, monkeypatch):
+    fitted = models.fit("random_forest", table, {"trees": 3, "depth": 4, "leaf": 20, "bins": 32})
+    near = {(r.tree, r.leaf): r for r in forest.leaf_targets(fitted, table, 16).collect()}
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 40)  # some leaves hold more than that
+    far = {(r.tree, r.leaf): r for r in forest.leaf_targets(fitted, table, 16).collect()}
+    assert near.keys() == far.keys() and len(near) > 6
+    for key, r in near.items():
+        assert sum(r.shares) == pytest.approx(1.0)
+        np.testing.assert_allclose(*(np.array(sorted(zip(x.targets, x.shares))) for x in (r, far[key])))
+    assert any(t["size"][t["feature"] < 0].max() > 40 for t in fitted.trees)
+
+
+def test_rows_ask_for_a_leaf_once(table, monkeypatch):
+    fitted = models.fit_quantile_forest(table, {"trees": 4, "depth": 3, "leaf": 20, "bins": 32})
+    want = {r.video_id: r.asDict() for r in fitted.predict(table).collect()}
+    monkeypatch.setattr(models, "BROADCAST_TARGETS", 0)
+    monkeypatch.setattr(models, "ASKING_ROWS", 50)
+    got = {r.video_id: r.asDict() for r in fitted.predict(table).collect()}
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i] == pytest.approx(want[i])
+    part = pa.table({"_part": [7] * 600, "_leaves": [r.at for r in table.select(fitted.model.leaf_places(table).alias("at")).collect()]})
+    assert models._asked_leaves(part).num_rows == fitted.leaves.count()
