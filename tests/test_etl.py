@@ -194,3 +194,15 @@ def test_dedup_of_numbers_equals_the_ordered_choice(spark):
         assert len(got) == len(known) and set(got) == known
     assert cleaning.dedup_keys(df.select("a", "b"), ["a", "b"]).count() == len(want)
     assert cleaning.dedup_keys(df.where("false"), ["a", "b"]).count() == 0
+
+
+def test_only_differing_keys_are_compared_whole(spark, raw, tmp_path):
+    """Whole rows are made distinct behind the lookup of the keys whose rows differ, not before it."""
+    raw[1].write.parquet(str(tmp_path / "e"))
+    clean = cleaning.clean_engagement(spark.read.parquet(str(tmp_path / "e")))
+    lines = clean._jdf.queryExecution().analyzed().toString().splitlines()
+    whole = [i for i, x in enumerate(lines) if "Distinct" in x or "Deduplicate" in x]
+    assert whole
+    for i in whole:
+        below = next(x for x in lines[i + 1:] if "Project" not in x)
+        assert "Join" in below, below
