@@ -32,6 +32,14 @@ BATCH_ROWS = 1000
 SKETCH, ORDERS, REACH = 32, 8, 2
 K1, B = 1.2, 0.75
 
+#: The pattern that splits texts before the merges, written so that it doesn't go back; both split every text alike.
+_SPLITS = {
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s""",
+}
+#: A window takes so many neighbours one at a time; if it needs more, the others are sorted.
+TAKEN_SINGLY = 16
+
 _worker: dict = {}
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
@@ -54,6 +62,19 @@ def distinct(ids: np.ndarray) -> np.ndarray:
     return ids[fresh]
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different ids and how often each occurs, as ``np.unique`` gives them."""
+    ids = np.sort(ids)
+    fresh = np.empty(len(ids), bool)
+    fresh[:1] = True
+    np.not_equal(ids[1:], ids[:-1], out=fresh[1:])
+    starts = np.flatnonzero(fresh)
+    times = np.empty_like(starts)
+    np.subtract(starts[1:], starts[:-1], out=times[:-1])
+    times[-1:] = len(ids) - starts[-1:]
+    return ids[starts], times
+
+
 class Ids:
     """Token ids of texts as ``tokenizers`` gives them.
 
@@ -77,7 +98,8 @@ class Ids:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
             special = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
             self.fast = tiktoken.Encoding(
-                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special
+                "ranks", pat_str=_SPLITS.get(public_tokenizers.PATTERN, public_tokenizers.PATTERN),
+                mergeable_ranks=merges, special_tokens=special,
             )
 
     def of(self, text: str) -> np.ndarray:
@@ -264,7 +286,7 @@ class Bm25Shard:
     def __init__(self, fragments: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         docs, tokens, weights = [], [], []
         for i, ids in enumerate(fragments):
-            which, tf = np.unique(ids, return_counts=True)
+            which, tf = counted(ids)
             useful = idf[which] > 0
             which, tf = which[useful], tf[useful]
             docs.append(np.full(len(which), i, np.int32))
@@ -276,17 +298,33 @@ class Bm25Shard:
         order = np.argsort(token, kind="stable")
         self.docs = np.concatenate(docs)[order] if docs else np.empty(0, np.int32)
         self.weights = np.concatenate(weights)[order] if weights else np.empty(0)
-        self.bounds = np.searchsorted(token[order], np.arange(len(idf) + 1))
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(idf)))])
+        self.places = np.arange(len(token))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every fragment for the terms of fragment ``seed``."""
         starts, stops = self.bounds[self.terms[seed]], self.bounds[self.terms[seed] + 1]
         lengths = stops - starts
-        total = int(lengths.sum())
+        upto = np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else 0
         if not total:
             return np.zeros(self.size)
-        at = np.repeat(starts - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(total)
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.size)
+        at = np.repeat(starts - upto + lengths, lengths)
+        at += self.places[:total]
+        return np.bincount(self.docs.take(at), weights=self.weights.take(at), minlength=self.size)
+
+
+def best_first(score: np.ndarray, unused: np.ndarray):
+    """The unused fragments by falling score, the first of equals first; the few that a window mostly takes need no sort."""
+    left = np.where(unused, score, -np.inf)
+    for _ in range(TAKEN_SINGLY):
+        i = int(left.argmax())
+        if left[i] == -np.inf:
+            return
+        left[i] = -np.inf
+        yield i
+    order = np.flatnonzero(left > -np.inf)
+    yield from order[np.argsort(-left[order], kind="stable")].tolist()
 
 
 def fill_windows(lengths: list[int], neighbours, window: int) -> list[list[tuple[int, int, int]]]:
@@ -321,10 +359,7 @@ def fill_windows(lengths: list[int], neighbours, window: int) -> list[list[tuple
 
         take(seed)
         if room:
-            score = neighbours(seed)
-            order = np.flatnonzero(unused)
-            order = order[np.argsort(-score[order], kind="stable")]
-            for i in order.tolist():
+            for i in best_first(neighbours(seed), unused):
                 take(i)
                 if not room:
                     break

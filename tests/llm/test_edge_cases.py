@@ -126,3 +126,31 @@ def test_long_texts_lose_lines_in_linear_time(spark):
 
     seconds(1000)
     assert seconds(20_000) < 4 * seconds(10_000) + 2
+
+
+def test_packing_takes_neighbours_in_order_without_sorting_all():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    from reelscope.llm import packing
+
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 16, 17, 60):
+        score, unused = rng.integers(0, 6, n).astype(float), rng.random(n) < 0.7
+        order = np.flatnonzero(unused)
+        assert list(packing.best_first(score, unused)) == order[np.argsort(-score[order], kind="stable")].tolist()
+        ids = rng.integers(0, 9, n).astype("<u2")
+        for got, want in zip(packing.counted(ids), np.unique(ids, return_counts=True)):
+            assert got.tolist() == want.tolist()
+    assert [len(x) for x in packing.counted(np.empty(0, "<u2"))] == [0, 0]
+    fast = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).fast
+    assert fast._pat_str != public_tokenizers.PATTERN  # the form that doesn't go back
+    plain = tiktoken.Encoding(
+        "plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=fast._mergeable_ranks, special_tokens=fast._special_tokens)
+    chance = random.Random(3)
+    for _ in range(4000):
+        text = "".join(chance.choice(" \t\n\r\x0b\xa0\x85'sdmtlvreSab09²½.,!<|>ß$") for _ in range(chance.randint(0, 24)))
+        assert fast.encode(text, allowed_special="all") == plain.encode(text, allowed_special="all")
