@@ -194,6 +194,29 @@ class Forest:
 
         return places(*self._doubles(df))
 
+    def row_bins(self, df: DataFrame):
+        """A column: the bins of the inputs, a byte each; rows with the same bins lie in the same leaf of every tree."""
+        sent = self.sent(df.sparkSession)
+
+        @F.pandas_udf("binary")
+        def packed(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in parts:
+                yield pd.Series([row.tobytes() for row in binned(columns, sent.value[0])])
+
+        return packed(*self._doubles(df))
+
+    def bin_places(self, df: DataFrame, bins: str):
+        """A column as :meth:`leaf_places` gives it, from a column as :meth:`row_bins` gives it."""
+        sent, inputs = self.sent(df.sparkSession), len(self.inputs)
+
+        @F.pandas_udf("binary")
+        def places(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for held in parts:
+                at = _all_places(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), inputs), sent.value[1])
+                yield pd.Series([row.tobytes() for row in at])
+
+        return places(F.col(bins))
+
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``yhat``, the mean over the trees, and with ``leaf`` if the forest was asked for it."""
         sent = self.sent(df.sparkSession)

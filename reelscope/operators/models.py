@@ -215,26 +215,31 @@ class QuantileForest:
     def predict(self, df: DataFrame, row_id: str = "video_id", keep=("y",)) -> DataFrame:
         """``row_id, keep…`` and one log prediction per quantile; ``row_id`` must be unique.
 
-        Up to ``BROADCAST_TARGETS`` kept targets are broadcast, and then the leaves of a row meet them where the row lies
-        and are merged as they come.  With more, the rows are put into parts of ``ASKING_ROWS``; a part asks for each of
-        its leaves once, and its rows meet what it found in one task.
+        Rows whose inputs lie in the same bins share all leaves, so each such kind of row is predicted once.
+        Up to ``BROADCAST_TARGETS`` kept targets are broadcast, and then the leaves of a kind meet them where it lies
+        and are merged as they come.  With more, the kinds are put into parts of ``ASKING_ROWS``, in the order of their bins,
+        so that neighbours share leaves; a part asks for each of its leaves once, and its kinds meet what it found in one task.
         """
-        placed = df.select(row_id, *keep, self.model.leaf_places(df).alias("_leaves"))
+        spark = df.sparkSession
+        rows = materialize(df.select(row_id, *keep, self.model.row_bins(df).alias("_bins")), "binned")
+        kinds = rows.select("_bins").distinct()
+        sorted_ = kinds.repartitionByRange(spark.sparkContext.defaultParallelism, "_bins").sortWithinPartitions("_bins")
+        placed = sorted_.select("_bins", self.model.bin_places(sorted_, "_bins").alias("_leaves"))
         held = self.leaves.agg(F.sum(F.size("targets"))).first()[0] or 0
-        kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         names = sorted(self.probs, key=self.probs.get)
-        out = ", ".join([f"`{c}` {kinds[c]}" for c in (row_id, *keep)] + [f"`{n}` double" for n in names])
+        out = ", ".join(["_bins binary"] + [f"`{n}` double" for n in names])
         probs = [self.probs[n] for n in names]
         if held <= BROADCAST_TARGETS:
-            spread = placed.mapInArrow(
-                _leaf_rows(len(keep) + 1), ", ".join([*[f"`{c}` {kinds[c]}" for c in (row_id, *keep)], "tree int, leaf int"]))
+            spread = placed.mapInArrow(_leaf_rows(1), "_bins binary, tree int, leaf int")
             met = spread.join(F.broadcast(self.leaves), ["tree", "leaf"], "left")  # keeps the order of the rows
-            return met.select(row_id, *keep, "targets", "shares").mapInArrow(_merge_leaves(probs, len(keep) + 1, names), out)
-        part = F.floor(F.monotonically_increasing_id() / F.lit(ASKING_ROWS))  # of neighbours in a task
-        rows = materialize(placed.withColumn("_part", part), "placed")
-        asked = rows.groupBy("_part").applyInArrow(_asked_leaves, "_part long, tree int, leaf int")
-        found = asked.join(self.leaves, ["tree", "leaf"]).groupBy("_part")
-        return rows.groupBy("_part").cogroup(found).applyInArrow(_meet_leaves(probs, (row_id, *keep), names), out)
+            found = met.select("_bins", "targets", "shares").mapInArrow(_merge_leaves(probs, 1, names), out)
+        else:
+            part = F.floor(F.monotonically_increasing_id() / F.lit(ASKING_ROWS))  # of neighbours in a task
+            parted = materialize(placed.withColumn("_part", part), "placed")
+            asked = parted.groupBy("_part").applyInArrow(_asked_leaves, "_part long, tree int, leaf int")
+            answers = asked.join(self.leaves, ["tree", "leaf"]).groupBy("_part")
+            found = parted.groupBy("_part").cogroup(answers).applyInArrow(_meet_leaves(probs, ("_bins",), names), out)
+        return lookup_join(rows, materialize(found, "quantiles"), ["_bins"]).select(row_id, *keep, *names)
 
 
 def _places(column) -> np.ndarray:

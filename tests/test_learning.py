@@ -349,6 +349,20 @@ def test_quantile_forest_equals_weighted_targets(table, monkeypatch, most):
         np.testing.assert_allclose(got[i], want[i])
 
 
+@pytest.mark.parametrize("most", [models.BROADCAST_TARGETS, 0])
+def test_rows_of_the_same_bins_are_predicted_once(table, monkeypatch, most):
+    monkeypatch.setattr(models, "BROADCAST_TARGETS", most)
+    forest = models.fit_quantile_forest(table, {"trees": 4, "depth": 3, "leaf": 20, "bins": 8})
+    copies = table.select(*table.columns, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("copy"))
+    rows = copies.withColumn("video_id", F.col("video_id") * 4 + F.col("copy")).drop("copy")
+    want = {r.video_id: (r.p10, r.p90) for r in forest.predict(table).collect()}
+    written, write = {}, models.materialize
+    monkeypatch.setattr(models, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    got = {r.video_id: (r.p10, r.p90) for r in forest.predict(rows).collect()}
+    assert len(got) == 2400 and all(got[i] == pytest.approx(want[i // 4]) for i in got)
+    assert 1 < written["quantiles"].count() <= 600
+
+
 def test_large_leaves_keep_steps(table, monkeypatch):
     monkeypatch.setattr(models, "LEAF_STEPS", 16)
     forest = models.fit_quantile_forest(table, {"trees": 3, "depth": 1, "leaf": 100, "bins": 32})
