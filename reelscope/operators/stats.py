@@ -108,21 +108,21 @@ def normal_share(z: Column) -> Column:
 def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_rows: int = 100) -> DataFrame:
     """``feature, rho, n``: rank correlation of each column with the target over rows that have both.
 
-    All features share one long table.  Equal (x, y) pairs collapse first; ranks come from counted
-    values and return by a lookup that spreads heavy ties, so no feature is sorted in one task.
+    All features share one long table, in which a feature is a number.  Ranks come from counted values.  Those of the target
+    return to the pairs by a lookup that spreads heavy ties; they are added up per value of a feature, so only these sums
+    meet the ranks of the feature, one row a value.  The squares of the ranks need no pairs.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), num(c).alias("x")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), num(c).alias("x")) for i, c in enumerate(columns)])
     pairs = materialize(
         v.where(F.col(target).isNotNull())
         .select(num(target).alias("y"), F.inline(cells))
-        .where(F.col("x").isNotNull() & ~F.isnan("x"))
-        .groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")),
+        .where(F.col("x").isNotNull() & ~F.isnan("x")),
         "spearman-pairs",
     )
 
     def ranks(axis: str) -> DataFrame:
         counted = with_ranges(
-            pairs.groupBy("feature", F.col(axis).alias("v")).agg(F.sum("n").alias("n")), ["feature"]
+            pairs.groupBy("feature", F.col(axis).alias("v")).agg(F.count(F.lit(1)).alias("n")), ["feature"]
         )
         table = rank_counts(counted, ["feature"])
         return table.select(
@@ -130,18 +130,20 @@ def spearman_rho(v: DataFrame, columns: list[str], target: str = TARGET, min_row
             ((F.col("avg_rank") - F.lit(0.5)) / F.col("total") - F.lit(0.5)).alias(f"r_{axis}"),
         )
 
-    at_x = lookup_join(pairs, ranks("x"), ["feature", "x"], "n_x")
-    at_xy = lookup_join(at_x, ranks("y"), ["feature", "y"], "n_y")
-    n = F.col("n")
-    sums = at_xy.groupBy("feature").agg(
-        F.sum(n).alias("n"),
-        F.sum(n * F.col("r_x") * F.col("r_y")).alias("xy"),
-        F.sum(n * F.col("r_x") * F.col("r_x")).alias("xx"),
-        F.sum(n * F.col("r_y") * F.col("r_y")).alias("yy"),
+    of_x, of_y = ranks("x"), materialize(ranks("y"), "spearman-ranks")  # the lookup reads it several times
+    at_x = lookup_join(pairs, of_y, ["feature", "y"], "n_y").groupBy("feature", "x").agg(F.sum("r_y").alias("s_y"))
+    sums = at_x.join(of_x, ["feature", "x"]).groupBy("feature").agg(
+        F.sum("n_x").alias("n"),
+        F.sum(F.col("s_y") * F.col("r_x")).alias("xy"),
+        F.sum(F.col("n_x") * F.col("r_x") * F.col("r_x")).alias("xx"),
     )
+    squares = of_y.groupBy("feature").agg(F.sum(F.col("n_y") * F.col("r_y") * F.col("r_y")).alias("yy"))
     # ranks are centred: their mean is (n + 1) / 2, so the mean of r is 0
     rho = F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))
-    return sums.where(F.col("n") >= min_rows).select("feature", rho.alias("rho"), "n")
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.join(squares, "feature").where(F.col("n") >= min_rows).select(
+        F.get(names, F.col("feature")).alias("feature"), rho.alias("rho"), "n"
+    )
 
 
 def spearman_report(v: DataFrame, columns: list[str], target: str = TARGET, min_rows: int = 100) -> DataFrame:

@@ -120,6 +120,21 @@ def test_spearman_with_ties_and_nulls(spark):
     assert got["x"].p_value < 1e-20
 
 
+def test_spearman_reads_only_written_tables_more_than_once(spark, monkeypatch):
+    v = spark.range(3000).select(
+        (F.col("id") * 7919 % 3001).cast("double").alias("incr_plays_3_30"), (F.col("id") % 1501).cast("double").alias("x"),
+        F.when(F.col("id") % 5 > 0, F.col("id") * 31 % 2999).cast("double").alias("z"))
+    looked, lookup = [], stats.lookup_join
+    monkeypatch.setattr(stats, "lookup_join", lambda df, table, *more: looked.append((df, table)) or lookup(df, table, *more))
+    got = {r.feature: r for r in stats.spearman_rho(v, ["x", "z"]).collect()}
+    pdf = v.toPandas()
+    for c in ("x", "z"):
+        part = pdf[[c, "incr_plays_3_30"]].dropna()
+        assert got[c].rho == pytest.approx(part[c].rank().corr(part["incr_plays_3_30"].rank())) and got[c].n == len(part)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for pair in looked for x in pair]
+    assert len(looked) == 1 and not any(w in p for p in plans for w in ("Exchange", "Join"))
+
+
 @pytest.fixture(scope="module")
 def series(spark):
     rng = np.random.default_rng(1)
