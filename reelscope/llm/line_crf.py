@@ -8,6 +8,7 @@ content lines decides whether the document stays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -262,15 +263,15 @@ def quality_rules(docs: DataFrame, crf: Crf) -> DataFrame:
 
 
 def keep_content(docs: DataFrame, crf: Crf) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+    """The documents that the rules keep, with their columns; only the texts go to the Python workers, and none comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([judge(shared.value, (x or "").encode())[6] for x in texts], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def content(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array([judge(shared.value, (x.as_py() or "").encode())[6] for x in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(content(F.col("text").cast("string")))
 
 
 def line_labels(docs: DataFrame, crf: Crf) -> DataFrame:

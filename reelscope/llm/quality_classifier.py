@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -157,17 +159,17 @@ def quality_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The documents predicted to be of label 1, with their columns."""
+    """The documents predicted to be of label 1, with their columns; only the texts go to the Python workers, and none comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    kept = score_batches(shared)
+    score = score_batches(shared)
 
-    def run(batches):
-        for batch in batches:
-            scores = [x.column(0) for x in kept(iter([batch.select(["text"])]))]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate([x.to_numpy() for x in scores]) >= THRESHOLD))
+    @F.arrow_udf("boolean")
+    def good(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            found = [x.column(0).to_numpy() for x in score([pa.RecordBatch.from_arrays([texts], names=["text"])])]
+            yield pa.array(np.concatenate([np.empty(0), *found]) >= THRESHOLD)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col("text").cast("string")))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
