@@ -57,3 +57,11 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(stay)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in pieces.collect()} == stay
+
+
+def test_filters_get_only_a_verdict_from_python(spark):
+    docs = table(spark, cases.SF, "documents")
+    weights = quality_classifier.Ftrl(1 << quality_classifier.BITS).weights()
+    for kept in (line_crf.keep_content(docs, line_crf.Crf()), quality_classifier.keep_good(docs, weights)):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
