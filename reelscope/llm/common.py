@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from reelscope.sources.tables import materialize
 
-__all__ = ["materialize", "table", "plain_text", "single_spaced", "lookup", "text_slices", "word_hashes", "mix"]
+__all__ = [
+    "materialize", "table", "plain_text", "single_spaced", "lookup", "small_batches", "text_slices", "word_hashes", "mix",
+]
 
 #: The white space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -52,6 +55,21 @@ def lookup(rows: DataFrame, answers: DataFrame, key: str, size: str, share: int
     return near.unionByName(far)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs that run inside hand their Python workers about ``size`` at once, not Spark's 64 MB; then the setting is put back.
+
+    A batch lies in the executor outside its heap, up to twice while it grows, and again in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 2048
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.llm.buckets import linked_classes, read_sets
-from reelscope.llm.common import BLANK_WORDS, lookup, materialize, mix, single_spaced, table, text_slices, word_hashes
+from reelscope.llm.common import (
+    BLANK_WORDS, lookup, materialize, mix, single_spaced, small_batches, table, text_slices, word_hashes,
+)
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,6 +29,8 @@ BAND_ROWS = 5
 #: Pairs whose marks (8 bits a component, 1280 in all) differ in more bits are not verified.  At a similarity of 0.8, 128 bits
 #: differ on average with a standard deviation of 22, so this is five deviations off.
 MOST_BITS = 240
+#: Bytes of text whose shingles a worker holds at once: at its peak it has nearly 30 times as much.
+SLICE = 1 << 20
 
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _PIECE = np.uint64(0x8CB92BA72F3D8DD7)
@@ -148,7 +152,7 @@ _MARKS = [f"m{i}" for i in range(WORDS)]
 
 def _sign(batches):
     """(doc_id, text) to (doc_id, key, bands, m0 …): eight bits of each component, packed into longs."""
-    for batch, data, offsets in text_slices(batches, "text"):
+    for batch, data, offsets in text_slices(batches, "text", SLICE):
         n = len(offsets) - 1
         found, owners = shingles(data, offsets)
         owner, element, weight = bags(found, owners)
@@ -168,7 +172,7 @@ def _sign(batches):
 
 def _texts_to_sets(batches):
     """(unit, key, text) to (unit, bag): the shingles as a set, where the text is the one that has the key."""
-    for batch, data, offsets in text_slices(batches, "text"):
+    for batch, data, offsets in text_slices(batches, "text", SLICE):
         found, owners = as_set(*shingles(data, offsets))
         cuts = np.searchsorted(owners, np.arange(len(offsets)))
         raw = data.tobytes()
@@ -211,23 +215,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """:func:`near_duplicates` with the key of the words, and the one key among those of the class's smallest id that stays."""
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = given.schema["doc_id"].dataType.simpleString()
-    signed = materialize(
-        given.mapInArrow(
-            _sign, f"doc_id {kind}, key binary, bands array<bigint>, " + ", ".join(f"{m} long" for m in _MARKS)
-        ), "near-signed",
-    )
-    units = materialize(
-        signed.groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"),
-            *[F.first(m).alias(m) for m in _MARKS],
-        ).withColumn("unit", F.monotonically_increasing_id()),
-        "near-units",
-    )
-    classes = linked_classes(
-        units.select("unit", F.explode("bands").alias("filed")), units.select("unit", F.array(*_MARKS).alias("sign")),
-        _fits, lambda asked: read_sets(given, units, asked, _texts_to_sets), _linked,
-    )
+    with small_batches(docs.sparkSession):
+        kind = given.schema["doc_id"].dataType.simpleString()
+        signed = materialize(
+            given.mapInArrow(
+                _sign, f"doc_id {kind}, key binary, bands array<bigint>, " + ", ".join(f"{m} long" for m in _MARKS)
+            ), "near-signed",
+        )
+        units = materialize(
+            signed.groupBy("key").agg(
+                F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"),
+                *[F.first(m).alias(m) for m in _MARKS],
+            ).withColumn("unit", F.monotonically_increasing_id()),
+            "near-units",
+        )
+        classes = linked_classes(
+            units.select("unit", F.explode("bands").alias("filed")), units.select("unit", F.array(*_MARKS).alias("sign")),
+            _fits, lambda asked: read_sets(given, units, asked, _texts_to_sets), _linked,
+        )
     whole = units.select("unit", "key", "n", "rep").join(classes, "unit", "left").withColumn(
         "class", F.coalesce("class", "unit")
     )

@@ -154,3 +154,45 @@ def test_packing_takes_neighbours_in_order_without_sorting_all():
     for _ in range(4000):
         text = "".join(chance.choice(" \t\n\r\x0b\xa0\x85'sdmtlvreSab09²½.,!<|>ß$") for _ in range(chance.randint(0, 24)))
         assert fast.encode(text, allowed_special="all") == plain.encode(text, allowed_special="all")
+
+
+def test_near_dedup_hands_python_few_megabytes_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from reelscope.llm import common, near_dedup
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sign = spark.conf.get(setting), near_dedup._sign
+
+    def watched(batches):
+        def seen():
+            for batch in batches:
+                assert batch.nbytes < 12 << 20
+                yield batch
+        return sign(seen())
+
+    monkeypatch.setattr(near_dedup, "_sign", watched)
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.concat(F.col("id"), F.lit("x"), i)), " ")
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text"))  # 20 MB in one partition
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 5000
+    assert spark.conf.get(setting) == before
+    try:
+        with common.small_batches(spark):
+            raise KeyError
+    except KeyError:
+        assert spark.conf.get(setting) == before  # put back after a failure too
+
+    def most(mb):
+        texts = [" ".join(f"{i}x{j}" for j in range(1300)) for i in range(100 * mb)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in sign(iter([batch]))) == len(texts)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    most(1)  # fills the tables that a worker keeps
+    assert most(6) < 1.6 * most(1)
