@@ -153,6 +153,14 @@ def _pipeline(spec: ModelSpec, inputs: list[str], params: dict) -> Pipeline:
     return Pipeline(stages=[*stages, spec.make({**spec.defaults, **params})])
 
 
+def _fit_rows(spec: ModelSpec, train: DataFrame, inputs: list[str], late: Column | None) -> DataFrame:
+    """What a model is fitted on: ``y``, the inputs, ``late`` for boosted trees and the weight of a weighted model."""
+    rows = train.select("y", *inputs, *([late.alias("late")] if spec.boosted and late is not None else []))
+    if spec.weighted:  # absolute error relative to the size of the target
+        rows = rows.withColumn("weight", F.lit(1.0) / F.greatest(F.abs("y"), F.lit(1.0)))
+    return rows
+
+
 def fit(
     name: str, train: DataFrame, params: dict | None = None, inputs: list[str] | None = None, late: Column | None = None
 ) -> PipelineModel | Forest:
@@ -169,13 +177,8 @@ def fit(
     if spec.boosted and late is None and "create_date" in train.columns:
         marked = splits.time_split(train.drop("is_train"), GROWN_ON)
         train, late = marked, F.coalesce(~F.col("is_train"), F.lit(False))
-    if spec.boosted and late is not None:
-        rows = train.select("y", *inputs, late.alias("late"))
-        params["late"] = True
-    else:
-        rows = train.select("y", *inputs)
-    if spec.weighted:  # absolute error relative to the size of the target
-        rows = rows.withColumn("weight", F.lit(1.0) / F.greatest(F.abs("y"), F.lit(1.0)))
+    params |= {"late": True} if spec.boosted and late is not None else {}
+    rows = _fit_rows(spec, train, inputs, late)
     if name == "ridge":
         params.setdefault("n", rows.count())
     return _pipeline(spec, inputs, params).fit(rows)
@@ -444,8 +447,8 @@ def hyper_search(
     """``trial, smape`` and the parameters of each trial, best first; ``held`` parameters hold in all trials.
 
     The later part of the training rows (in time order) is the validation set, by which boosted trees also stop.
-    Up to ``threads`` trials run side by side over one written table; they share nothing else, so their number
-    changes no result.  The driver holds one number a trial.
+    Up to ``threads`` trials run side by side over one written table, for boosted trees over its vectors, kept by the
+    executors in memory or on their disks; they share nothing else, so their number changes no result.  The driver holds one number a trial.
     """
     spark = train.sparkSession
     marked = materialize(splits.positional_split(train, head), "search")
@@ -453,15 +456,26 @@ def hyper_search(
     inputs = [c for c in input_columns(train) if c != "is_head"]
     measure = SmapeEvaluator()
 
+    boosted = name in MODELS and MODELS[name].boosted
+    if boosted:  # a fit reads its rows several times, and so does every trial: they are put into vectors once
+        rows = _fit_rows(MODELS[name], marked, inputs, ~F.col("is_head"))
+        ready = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error").transform(rows).drop(*inputs).persist()
+
     def run(drawn: dict) -> float:
         params = {**(held or {}), **drawn}
         if name == "quantile_forest":
             return measure.evaluate(fit_predict(name, early, late, params))
-        grown = (marked, ~F.col("is_head")) if MODELS[name].boosted else (early, None)
-        return measure.evaluate(predict(fit(name, grown[0], params, inputs, grown[1]), late))
+        if boosted:
+            model = MODELS[name].make({**MODELS[name].defaults, **params, "late": True}).fit(ready)
+            return measure.evaluate(predict(model, ready.where("late"), ("y",)))
+        return measure.evaluate(predict(fit(name, early, params, inputs), late))
 
     drawn = draw_trials(space or SPACES.get(name, GBT_SPACE), trials, seed)
-    found = side_by_side(spark, run, drawn, threads)
+    try:
+        found = side_by_side(spark, run, drawn, threads)
+    finally:
+        if boosted:
+            ready.unpersist()
     rows = F.array(*[
         F.struct(
             F.lit(i).alias("trial"), F.nanvl(F.lit(s), F.lit(None).cast("double")).alias("smape"),

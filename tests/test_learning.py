@@ -422,6 +422,23 @@ def test_search_is_the_same_with_any_threads(table):
     assert set(one[0].asDict()) == {"trial", "smape", *models.GBT_SPACE}
 
 
+def test_search_puts_rows_into_vectors_once(table, monkeypatch):
+    space = {**models.GBT_SPACE, "trees": ("int", 3, 6), "depth": ("int", 2, 3)}
+    calls, plain = [], models.VectorAssembler._transform
+    monkeypatch.setattr(models.VectorAssembler, "_transform", lambda self, df: calls.append(1) or plain(self, df))
+    kept = table.sparkSession.sparkContext._jsc.getPersistentRDDs().size()
+    found = models.hyper_search(dated(table), "gbt_mape", space, trials=3, threads=2, held={"bins": 32}).collect()
+    assert len(calls) == 1
+    assert table.sparkSession.sparkContext._jsc.getPersistentRDDs().size() <= kept
+    marked = models.splits.positional_split(dated(table), 0.85).localCheckpoint()
+    inputs = models.input_columns(table)
+    drawn = models.draw_trials(space, 3)
+    for row in found:  # as fitted and scored one by one
+        model = models.fit("gbt_mape", marked, {"bins": 32, **drawn[row.trial]}, inputs, ~F.col("is_head"))
+        alone = models.SmapeEvaluator().evaluate(models.predict(model, marked.where("not is_head")))
+        assert row.smape == pytest.approx(alone, rel=0.05)  # the sampling follows the partitions
+
+
 def test_error_of_the_search_is_that_of_the_board(table):
     scored = table.select("y", (F.col("y") * 0.9 - 0.1).alias("yhat"))
     board = metrics.log_scale_metrics(scored, by=()).first().smape
