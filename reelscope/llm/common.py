@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from reelscope.sources.tables import materialize
 
 __all__ = [
-    "materialize", "table", "plain_text", "single_spaced", "lookup", "small_batches", "text_slices", "word_hashes", "mix",
+    "materialize", "table", "plain_text", "single_spaced", "lookup", "small_batches", "measured_joins", "text_slices", "word_hashes",
+    "mix",
 ]
 
 #: The white space between words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -24,6 +25,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _CHUNK = 1 << 20
+#: A table of answers of up to so many rows, counted, is broadcast.
+FEW = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +47,16 @@ def lookup(rows: DataFrame, answers: DataFrame, key: str, size: str, share: int
 
     ``size`` says how many rows have the key.  Keys with at least 1/``share`` of all rows, so at most
     ``share`` of them, are broadcast and their rows don't move; the others go through a shuffle join in which no key
-    has more than 1/``share`` of the rows.  ``rows`` and ``answers`` are read twice: pass written tables.
+    has more than 1/``share`` of the rows, unless ``answers`` has at most ``FEW`` rows.  ``rows`` and ``answers`` are read
+    twice: pass written tables.
     """
-    total = answers.agg(F.sum(size)).first()[0] or 0
+    total, n = answers.agg(F.sum(size), F.count(F.lit(1))).first()
+    total = total or 0
     hot = answers.where(F.col(size) * share >= F.lit(total))
     near = rows.join(F.broadcast(hot), key)
+    rest = answers.where(F.col(size) * share < F.lit(total))
     far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(
-        answers.where(F.col(size) * share < F.lit(total)), key, "left"
+        F.broadcast(rest) if n <= FEW else rest.hint("merge"), key, "left"
     )
     return near.unionByName(far)
 
@@ -61,13 +67,33 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
 
     A batch lies in the executor outside its heap, up to twice while it grows, and again in the worker.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+    with _settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size}):
+        yield
+
+
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside broadcast a side of a join only by its size in a shuffle, as it is measured there.
+
+    Spark's guess from files takes compressed bytes for rows and an array for one element, so what is exploded from a small
+    file passes for small.  A frame that is read after the block needs hints of its own.
+    """
+    size = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    most = spark.conf.get(size[1], None) or spark.conf.get(size[0])
+    with _settings(spark, {size[0]: "-1", size[1]: most}):
+        yield
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def text_slices(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelscope.llm.common import lookup, materialize, plain_text, table
+from reelscope.llm.common import lookup, materialize, measured_joins, plain_text, table
 
 #: A line is boilerplate from so many sites on, and in as many different texts.
 SITES = 5
@@ -61,7 +61,9 @@ def remove_spread_lines(
     a site of its own.  Repeated rows lose the same lines.  A text of boilerplate alone becomes empty; no document goes.
     All other columns are kept, except that ``counts`` replaces a column named ``n_lines`` or ``n_removed``.
     """
-    found = spread_lines(docs, sites, min_chars).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    with measured_joins(docs.sparkSession):
+        found = spread_lines(docs, sites, min_chars)
+    found = found.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")).hint("merge")
     own = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.md5(plain_text()).alias("md5"))
     joined = whole.join(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from reelscope.llm.buckets import linked_classes, read_sets
 from reelscope.llm.common import (
-    BLANK_WORDS, lookup, materialize, mix, single_spaced, small_batches, table, text_slices, word_hashes,
+    BLANK_WORDS, lookup, materialize, measured_joins, mix, single_spaced, small_batches, table, text_slices, word_hashes,
 )
 
 SHINGLE = 5
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """:func:`near_duplicates` with the key of the words, and the one key among those of the class's smallest id that stays."""
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), measured_joins(docs.sparkSession):
         kind = given.schema["doc_id"].dataType.simpleString()
         signed = materialize(
             given.mapInArrow(
@@ -233,17 +233,17 @@ def _judged(docs: DataFrame) -> DataFrame:
             units.select("unit", F.explode("bands").alias("filed")), units.select("unit", F.array(*_MARKS).alias("sign")),
             _fits, lambda asked: read_sets(given, units, asked, _texts_to_sets), _linked,
         )
-    whole = units.select("unit", "key", "n", "rep").join(classes, "unit", "left").withColumn(
-        "class", F.coalesce("class", "unit")
-    )
-    whole = materialize(whole, "near-whole")
-    names = whole.groupBy("class").agg(
-        F.min("rep").alias("class_id"), F.sum("n").alias("class_size"),
-        F.min_by("key", F.struct(F.col("rep").isNull(), "rep", "key")).alias("kept_key"),
-    )
-    answers = materialize(
-        whole.join(names, "class").select("key", "n", "class_id", "class_size", "kept_key"), "near-answers"
-    )
+        whole = units.select("unit", "key", "n", "rep").join(classes, "unit", "left").withColumn(
+            "class", F.coalesce("class", "unit")
+        )
+        whole = materialize(whole, "near-whole")
+        names = whole.groupBy("class").agg(
+            F.min("rep").alias("class_id"), F.sum("n").alias("class_size"),
+            F.min_by("key", F.struct(F.col("rep").isNull(), "rep", "key")).alias("kept_key"),
+        )
+        answers = materialize(
+            whole.join(names, "class").select("key", "n", "class_id", "class_size", "kept_key"), "near-answers"
+        )
     found = lookup(signed.select("doc_id", "key"), answers, "key", "n")
     return found.select(
         "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "key", "kept_key"
@@ -264,7 +264,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = ids.where("stay = 0").select("doc_id")
     named = docs.where("doc_id is not null")
     left = named.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")  # one plan at every size
-    often = ids.where("stay > 0 and doc_id is not null").where("rows > 1").select("doc_id")
+    often = ids.where("stay > 0 and doc_id is not null").where("rows > 1").select("doc_id").hint("merge")
     nameless = ids.where("doc_id is null and stay > 0")
     key = "_key"
     while key in docs.columns:
@@ -274,11 +274,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         once = left.join(often, "doc_id", "left_anti")
         several = named.join(often, "doc_id", "left_semi").withColumn(key, words)
         kept = found.where(stays).join(often, "doc_id", "left_semi").select("doc_id", F.col("key").alias(key)).distinct()
-        several = several.join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+        several = several.join(kept.hint("merge"), ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
         left = once.unionByName(several.drop(key))
     if not nameless.isEmpty():
         kept = found.where(stays).where("doc_id is null").select(F.col("key").alias(key)).distinct()
-        several = docs.where("doc_id is null").withColumn(key, words).join(kept, key, "left_semi").dropDuplicates([key])
+        several = docs.where("doc_id is null").withColumn(key, words).join(kept.hint("merge"), key, "left_semi").dropDuplicates([key])
         left = left.unionByName(several.drop(key))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelscope.llm.buckets import components
-from reelscope.llm.common import lookup, materialize, mix, table
+from reelscope.llm.common import lookup, materialize, measured_joins, mix, table
 
 WINDOW = 2048
 END_ID = 1
@@ -418,8 +418,9 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, wi
         )
 
     rests = fragments.select("uid", "doc_id", "doc_tokens", "rest")
-    shards = _shards(fragments, known, window, SHARD_TOKENS) if many else None
-    placed = rests.join(shards, "uid") if many else rests.withColumn("shard", F.lit(0).cast("long"))
+    with measured_joins(docs.sparkSession):
+        shards = _shards(fragments, known, window, SHARD_TOKENS) if many else None
+    placed = rests.join(shards.hint("merge"), "uid") if many else rests.withColumn("shard", F.lit(0).cast("long"))
     filled = placed.groupBy("shard").applyInArrow(fill, schema)
     blocks = cut.select("doc_id", "doc_tokens", "first_block", F.posexplode("blocks").alias("k", "ids_crc32")).select(
         "doc_id", (F.col("k") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"),

@@ -2,9 +2,11 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from reelscope.llm import line_crf, quality_classifier
-from reelscope.llm.common import materialize, table
+from reelscope.llm import buckets, line_crf, line_dedup, near_dedup, packing, quality_classifier
+from reelscope.llm.common import materialize, measured_joins, table
 from tests.llm import cases
 from tests.llm.test_against_brute_force import brute_classes
 
@@ -65,3 +67,40 @@ def test_filters_get_only_a_verdict_from_python(spark):
     for kept in (line_crf.keep_content(docs, line_crf.Crf()), quality_classifier.keep_good(docs, weights)):
         plan = kept._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_no_join_is_broadcast_by_the_size_of_files(spark, monkeypatch):
+    written = []
+
+    def seen(df, name):
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    def unhinted(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return [x for x in plan if x.lstrip(" :+-").startswith("Join ") and "strategy=" not in x]
+
+    monkeypatch.setattr(buckets, "materialize", seen)
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1 << 14)
+    docs = table(spark, cases.SF, "documents").limit(300)
+    docs = materialize(docs.unionByName(docs.withColumn("text", F.lit("the same words under every id"))), "test-documents")
+    left = [near_dedup.keep_one(docs), line_dedup.remove_spread_lines(docs), packing.pack_documents(docs)]
+    assert len(written) > 10 and not any("Broadcast" in plan for plan in written)
+    assert [unhinted(df) for df in left] == [[], [], []]
+
+
+def test_measured_joins_shuffle_what_is_exploded_from_a_small_file(spark):
+    rows = spark.range(40_000).select("id", F.array_repeat(F.lit(7), 32).alias("keys"))
+    few = materialize(rows.coalesce(1), "test-few")  # some 200 KB for 1,280,000 exploded rows
+    keys = few.select("id", F.explode("keys").alias("key"))
+    other = materialize(spark.range(80_000).withColumnRenamed("id", "other"), "test-other")
+
+    def joined():
+        return other.join(keys, F.col("other") == F.col("id"))._jdf.queryExecution().executedPlan().toString()
+
+    names = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = [spark.conf.get(name, None) for name in names]
+    assert "BroadcastHashJoin" in joined()
+    with measured_joins(spark):
+        assert "SortMergeJoin" in joined()
+    assert [spark.conf.get(name, None) for name in names] == before
