@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 import threading
+import time
 import warnings
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelscope.operators import baselines, encoding, features, forecast, forest, leaderboard, metrics, models, splits, stats
+from reelscope.sources import tables
 
 
 def days(n, start=dt.date(2024, 1, 1)):
@@ -534,3 +537,21 @@ def test_rows_ask_for_a_leaf_once(table, monkeypatch):
         assert got[i] == pytest.approx(want[i])
     part = pa.table({"_part": [7] * 600, "_leaves": [r.at for r in table.select(fitted.model.leaf_places(table).alias("at")).collect()]})
     assert models._asked_leaves(part).num_rows == fitted.leaves.count()
+
+
+def shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in local for top, _, names in os.walk(d) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = spark.range(10_000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    assert tables.materialize(rows, "test-counts").count() == 7
+    assert spark.conf.get(name) == setting
+    for _ in range(50):
+        if left := shuffle_files(spark) - before:
+            time.sleep(0.1)  # files are removed a little later
+    assert len(left) <= 1  # that of the count above
