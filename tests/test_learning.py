@@ -555,3 +555,50 @@ def test_written_tables_leave_no_shuffle_files(spark):
         if left := shuffle_files(spark) - before:
             time.sleep(0.1)  # files are removed a little later
     assert len(left) <= 1  # that of the count above
+
+
+def test_trees_take_turns(table, monkeypatch):
+    shape = {"trees": 5, "depth": 6, "leaf": 5, "bins": 32}
+    whole = models.fit_quantile_forest(table, shape)
+    turns, finish = [], forest._finish
+    monkeypatch.setattr(forest, "MOVED_BYTES", 5_000)  # those of one tree
+    monkeypatch.setattr(forest, "_finish", lambda rows, trees, small, *rest: turns.append(list(small)) or finish(rows, trees, small, *rest))
+    parted = models.fit_quantile_forest(table, shape)
+    assert turns == [[0], [1], [2], [3], [4]]
+    assert all((x == y).all() for x, y in zip(whole.model.trees, parted.model.trees))
+    one, other = ({(r.tree, r.leaf): (r.targets, r.shares) for r in q.leaves.collect()} for q in (whole, parted))
+    assert one == other
+
+
+def test_parts_take_turns(table, monkeypatch):
+    fitted = models.fit_quantile_forest(table, {"trees": 4, "depth": 3, "leaf": 20, "bins": 32})
+    want = {r.video_id: r.asDict() for r in fitted.predict(table).collect()}
+    monkeypatch.setattr(models, "BROADCAST_TARGETS", 0)
+    monkeypatch.setattr(models, "ASKING_ROWS", 10)
+    monkeypatch.setattr(models, "ASKED_BYTES", 1)
+    names, write = [], models.materialize
+    monkeypatch.setattr(models, "materialize", lambda df, name: names.append(name) or write(df, name))
+    rows = table.where("video_id % 7 = 0")
+    got = {r.video_id: r.asDict() for r in fitted.predict(rows).collect()}
+    assert names.count("quantiles") > 1 and len(got) == rows.count()
+    for i in got:
+        assert got[i] == pytest.approx(want[i])
+
+
+def test_quantiles_by_cells_equal_sorted_targets(monkeypatch):
+    monkeypatch.setattr(models, "CELL_CUTS", 7)
+    monkeypatch.setattr(models, "CELL_ROWS", 50)
+    rng, probs = np.random.default_rng(5), [0.1, 0.5, 0.9, 1.0]
+    held = [(t, leaf, rng.choice([0.0, 0.0, *rng.random(9).round(2)], rng.integers(1, 30))) for t in range(6) for leaf in range(0, 40, 2)]
+    order = rng.permutation(len(held))
+    held = [held[i] for i in order]
+    shares = [np.full(len(v), 1 / len(v)) for *_, v in held]
+    at = rng.integers(0, 40, (170, 6))  # odd leaves keep nothing
+    at[3] = 1
+    got = models.leaf_quantiles(
+        at, np.array([t for t, *_ in held]), np.array([x for _, x, _ in held]), np.array([len(v) for *_, v in held]),
+        np.concatenate([v for *_, v in held]), np.concatenate(shares), probs)
+    for i, leaves in enumerate(at):
+        own = [k for k, (t, leaf, _) in enumerate(held) if leaves[t] == leaf]
+        values, weights = (np.concatenate([x[k] for k in own] or [[]]) for x in ([v for *_, v in held], shares))
+        np.testing.assert_array_equal(got[i], models.weighted_quantiles(values, weights, probs))
